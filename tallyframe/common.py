@@ -50,39 +50,42 @@ def spread_join(
     right: DataFrame,
     keys: Sequence[str],
     how: str = "inner",
+    extra: Column | None = None,
     max_heavy: int = MAX_HEAVY,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join whose left side may have hot keys.
 
     Left rows of a heavy key are dealt over ``salts`` sub-keys and the matching right rows are
-    repeated once per sub-key; all other keys are joined as usual. ``how`` is a join type that
-    keeps every left row at most where it is (inner, left, left_semi, left_anti).
+    repeated once per sub-key; all other keys are joined as usual. ``how`` is inner, left,
+    left_semi or left_anti. ``extra`` is a further join condition on non-key columns.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"spread_join does not support {how!r}")
-    hot = heavy_keys(left, keys, max_heavy).select(
-        *[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")
-    )
-    hot = F.broadcast(hot)
+    hot = F.broadcast(heavy_keys(left, keys, max_heavy).select(
+        *[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")))
 
-    def flagged(df: DataFrame) -> DataFrame:
+    def flagged(df: DataFrame, prefix: str = "") -> DataFrame:
         cond = F.lit(True)
         for k in keys:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"__h_{k}"))
+            cond = cond & F.col(f"{prefix}{k}").eqNullSafe(F.col(f"__h_{k}"))
         return df.join(hot, cond, "left").drop(*[f"__h_{k}" for k in keys])
 
-    row_salt = F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in left.columns
-                                                          if not isinstance(left.schema[c].dataType, T.MapType)]),
-                      F.lit(salts)).cast("int")
-    salted_left = flagged(left.withColumn("__row_salt", row_salt)).withColumn(
-        "__salt", F.when(F.col("__hot"), F.col("__row_salt")).otherwise(F.lit(0))
-    ).drop("__hot", "__row_salt")
+    hashable = [F.col(f"`{f.name}`") for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
+    # Equal rows hash alike, so the input partition takes part in the salt.
+    row_salt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.lit(salts)).cast("int")
+    dealt = flagged(left.withColumn("__row_salt", row_salt)).withColumn(
+        "__salt", F.when(F.col("__hot"), F.col("__row_salt")).otherwise(F.lit(0))).drop("__hot", "__row_salt")
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_right = flagged(right).withColumn(
-        "__salt", F.explode(F.when(F.col("__hot"), all_salts).otherwise(F.array(F.lit(0))))
-    ).drop("__hot")
-    return salted_left.join(salted_right, [*keys, "__salt"], how).drop("__salt")
+    repeated = flagged(renamed, "__r_").withColumn(
+        "__r_salt", F.explode(F.when(F.col("__hot"), all_salts).otherwise(F.array(F.lit(0))))).drop("__hot")
+    cond = F.col("__salt") == F.col("__r_salt")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"__r_{k}"))
+    if extra is not None:
+        cond = cond & extra
+    return dealt.join(repeated, cond, how).drop("__salt", "__r_salt", *[f"__r_{k}" for k in keys])
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, ties: bool = False) -> DataFrame:

@@ -100,8 +100,9 @@ def scd2(versions: DataFrame, keys: Sequence[str], changed_at: str, end: str = "
 
 def lookup_as_of(facts: DataFrame, dim: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     """The dimension version valid at the time of every fact (keys + interval)."""
-    j = spread_join(facts, dim, keys, "inner")
-    return j.where((F.col("valid_from") <= F.col(at)) & (F.col(at) < F.col("valid_to")))
+    from tallyframe.operators.relational import interval_join
+
+    return interval_join(facts, dim, keys, at, "valid_from", "valid_to", "inner", bucket_days=365)
 
 
 RETENTION_UNIT_DAYS = {"d": 1, "w": 7, "m": 30, "y": 365}
