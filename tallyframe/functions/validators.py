@@ -48,26 +48,37 @@ def ipv4_in_cidr(c: Column, cidr: str) -> Column:
     return F.shiftright(ipv4_number(c), shift) == F.lit(int(net.network_address) >> shift).cast("long")
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ipv6_groups(c: Column) -> Column:
     """The eight 16-bit numbers of an address, NULL when the text is none."""
-    s = F.lower(F.trim(c))
-    # A dotted tail is written as two groups first.
-    tail = F.regexp_extract(s, rf"({_OCTET}(\.{_OCTET}){{3}})$", 1)
-    n = ipv4_number(tail)
-    hex_tail = F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(n.bitwiseAND(F.lit(65535).cast("long")))))
-    s = F.when(tail != "", F.concat(F.left(s, F.length(s) - F.length(tail)), hex_tail)).otherwise(s)
-    gaps = F.size(F.split(s, "::")) - 1
+    def hex_tail(tail: Column) -> Column:
+        n = ipv4_number(tail)
+        low = n.bitwiseAND(F.lit(65535).cast("long"))
+        return F.concat(F.lower(F.hex(F.shiftright(n, 16))), F.lit(":"), F.lower(F.hex(low)))
+
+    def dotted(s: Column) -> Column:
+        """A dotted tail is written as two groups."""
+        tail = F.regexp_extract(s, rf"({_OCTET}(\.{_OCTET}){{3}})$", 1)
+        return F.when(s.contains("."), F.concat(F.left(s, F.length(s) - F.length(tail)), hex_tail(tail))).otherwise(s)
 
     def groups(part: Column) -> Column:
         return F.when(part == "", F.array().cast("array<string>")).otherwise(F.split(part, ":"))
 
-    halves = F.split(s, "::")
-    left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    have = F.size(left) + F.size(right)
-    full = F.when((gaps == 0) & (have == 8), left).when(
-        (gaps == 1) & (have <= 7), F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - have), right))
-    return F.when(F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$")),
-                  F.transform(full, lambda g: F.conv(g, 16, 10).try_cast("int")))
+    def expand(halves: Column) -> Column:
+        left, right = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+        have = F.size(left) + F.size(right)
+        return F.when((F.size(halves) == 1) & (have == 8), left).when(
+            (F.size(halves) == 2) & (have <= 7), F.concat(left, F.array_repeat(F.lit("0"), F.lit(8) - have), right))
+
+    def numbers(full: Column) -> Column:
+        return F.when(F.forall(full, lambda g: g.rlike("^[0-9a-f]{1,4}$")),
+                      F.transform(full, lambda g: F.conv(g, 16, 10).try_cast("int")))
+
+    return _let(F.lower(F.trim(c)), lambda s: _let(F.split(dotted(s), "::"), lambda h: _let(expand(h), numbers)))
 
 
 def ipv6(c: Column) -> Column:
@@ -77,15 +88,17 @@ def ipv6(c: Column) -> Column:
 def ipv6_in_cidr(c: Column, cidr: str) -> Column:
     """The first prefix-length bits must be those of the network, compared group by group."""
     net = ipaddress.IPv6Network(cidr, strict=False)
-    g = ipv6_groups(c)
-    ok = g.isNotNull()
-    left = net.prefixlen
-    for i in range(8):
-        bits = min(16, max(0, left - 16 * i))
-        if bits:
-            want = (int(net.network_address) >> (16 * (7 - i))) & 0xFFFF
-            ok = ok & (F.shiftright(F.get(g, F.lit(i)), 16 - bits) == F.lit(want >> (16 - bits)))
-    return ok
+
+    def inside(g: Column) -> Column:
+        ok = g.isNotNull()
+        for i in range(8):
+            bits = min(16, max(0, net.prefixlen - 16 * i))
+            if bits:
+                want = (int(net.network_address) >> (16 * (7 - i))) & 0xFFFF
+                ok = ok & (F.shiftright(F.get(g, F.lit(i)), 16 - bits) == F.lit(want >> (16 - bits)))
+        return ok
+
+    return _let(ipv6_groups(c), inside)
 
 
 def npi(c: Column) -> Column:

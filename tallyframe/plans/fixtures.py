@@ -249,3 +249,40 @@ cte("edges", """
 SELECT DISTINCT src, dst FROM (
   SELECT o_custkey // 2 AS src, o_custkey AS dst FROM orders WHERE o_custkey > 0
   UNION ALL SELECT o_custkey // 3, o_custkey FROM orders WHERE o_custkey > 0)""")
+
+
+# ---- people derived from customers -------------------------------------------------------------
+
+def persons(t: Tables):
+    k = F.col("c_custkey")
+    text = lambda c: c.cast("string")
+    pad = lambda c, n: F.lpad(text(c), n, "0")
+    return t.customer.select(
+        "c_custkey",
+        F.when(k % 10 != 0, F.replace("c_name", F.lit("#"), F.lit(" "))).alias("full_name"),
+        F.concat(F.lit("c"), text(k), F.lit("@example"), text(k % 5), F.lit(".com")).alias("email"),
+        F.concat(F.lit("+1 555 "), pad(k % 10000, 4)).alias("phone"),
+        F.when(k % 4 == 0, F.lit("none")).otherwise(F.concat_ws("-", pad(k % 900, 3), pad(k % 90, 2), pad(k % 9000, 4))).alias("ssn"),
+        F.when(k % 3 == 0, "4111 1111 1111 1111").when(k % 3 == 1, "5500-0000-0000-0004")
+        .otherwise(F.concat(F.lit("4111 1111 1111 "), pad(k % 10000, 4))).alias("credit_card"),
+        F.concat_ws(".", text(k % 300), text(k % 256), text(k % 7), text(k % 99)).alias("ip_addr"),
+        F.concat_ws("-", text(1950 + k % 50), pad(1 + k % 12, 2), pad(1 + k % 28, 2)).alias("birth_date"),
+        F.when(k % 2 == 0, "DE89370400440532013000").otherwise(F.concat(F.lit("DE89370400440532"), pad(k % 1000000, 6))).alias("iban"),
+        F.concat(F.lit("client "), text(k)).alias("remark"),
+        "c_acctbal",
+    )
+
+
+cte("persons", """
+SELECT c_custkey, CASE WHEN c_custkey % 10 <> 0 THEN replace(c_name, '#', ' ') END AS full_name,
+ 'c' || c_custkey || '@example' || (c_custkey % 5) || '.com' AS email,
+ '+1 555 ' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS phone,
+ CASE WHEN c_custkey % 4 = 0 THEN 'none' ELSE lpad((c_custkey % 900)::VARCHAR, 3, '0') || '-' || lpad((c_custkey % 90)::VARCHAR, 2, '0')
+   || '-' || lpad((c_custkey % 9000)::VARCHAR, 4, '0') END AS ssn,
+ CASE c_custkey % 3 WHEN 0 THEN '4111 1111 1111 1111' WHEN 1 THEN '5500-0000-0000-0004'
+   ELSE '4111 1111 1111 ' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') END AS credit_card,
+ (c_custkey % 300) || '.' || (c_custkey % 256) || '.' || (c_custkey % 7) || '.' || (c_custkey % 99) AS ip_addr,
+ (1950 + c_custkey % 50) || '-' || lpad((1 + c_custkey % 12)::VARCHAR, 2, '0') || '-' || lpad((1 + c_custkey % 28)::VARCHAR, 2, '0') AS birth_date,
+ CASE WHEN c_custkey % 2 = 0 THEN 'DE89370400440532013000' ELSE 'DE89370400440532' || lpad((c_custkey % 1000000)::VARCHAR, 6, '0') END AS iban,
+ 'client ' || c_custkey AS remark, c_acctbal
+FROM customer""")

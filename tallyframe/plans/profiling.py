@@ -59,7 +59,7 @@ def _(t):
     return pr.deep_profile(t.orders, ["o_orderstatus", "o_orderpriority", "o_totalprice"])["top_values"]
 
 
-@query("pr03_numeric_top_values", top_sql("part", ["p_size", "p_partkey"], 10, 30) + " UNION ALL " + top_sql("part", ["p_brand"], 10).join(["", ""]))
+@query("pr03_numeric_top_values", top_sql("part", ["p_size", "p_partkey"], 10, 30) + " UNION ALL " + top_sql("part", ["p_brand"], 10))
 def _(t):
     return pr.top_values(t.part, ["p_size", "p_partkey", "p_brand"], 10)
 
