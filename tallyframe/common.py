@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 # can be heavy and the frame listing them always fits a broadcast.
 MAX_HEAVY = 1000
 SALTS = 64
+SPREAD_FROM = 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -51,6 +52,8 @@ def spread_join(
     keys: Sequence[str],
     how: str = "inner",
     extra: Column | None = None,
+    hot_from: DataFrame | None = None,
+    known_rows: int | None = None,
     max_heavy: int = MAX_HEAVY,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -58,11 +61,16 @@ def spread_join(
 
     Left rows of a heavy key are dealt over ``salts`` sub-keys and the matching right rows are
     repeated once per sub-key; all other keys are joined as usual. ``how`` is inner, left,
-    left_semi or left_anti. ``extra`` is a further join condition on non-key columns.
+    left_semi or left_anti. ``extra`` is a further join condition on non-key columns. The heavy
+    keys are counted in ``hot_from`` (the left side by default): name a frame that is cheaper to
+    read when the left side is itself the result of joins. When the left side is known to have
+    fewer rows than SPREAD_FROM, one task can hold its hottest key and the join is a plain one.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"spread_join does not support {how!r}")
-    hot = F.broadcast(heavy_keys(left, keys, max_heavy).select(
+    if known_rows is not None and known_rows < SPREAD_FROM and extra is None:
+        return left.join(right, list(keys), how)
+    hot = F.broadcast(heavy_keys(hot_from if hot_from is not None else left, keys, max_heavy).select(
         *[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")))
 
     def flagged(df: DataFrame, prefix: str = "") -> DataFrame:

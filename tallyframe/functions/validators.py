@@ -13,7 +13,7 @@ _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 def luhn(c: Column) -> Column:
     """13 to 19 digits, blanks and dashes ignored, with a valid check digit."""
     d = F.translate(c, " -", "")
-    return d.rlike("^[0-9]{13,19}$") & F.luhn_check(F.when(d.rlike("^[0-9]{13,19}$"), d).otherwise(F.lit("0")))
+    return d.rlike("^[0-9]{13,19}$") & F.call_function("luhn_check", F.when(d.rlike("^[0-9]{13,19}$"), d).otherwise(F.lit("0")))
 
 
 def iban(c: Column) -> Column:

@@ -80,11 +80,11 @@ def tables_to_sync(history: DataFrame, state: DataFrame, writes_only: Sequence[s
         F.when(F.max("last_version").isNull(), "never_synced").otherwise("changed").alias("reason"))
 
 
-def sync_state_counts(state: DataFrame, as_of, stale_after_days: int) -> DataFrame:
-    """Tables by state: failed, stale (synced too long ago) or synced."""
-    age = F.datediff(as_of, F.col("last_synced"))
-    cls = F.when(F.col("status") == "failed", "failed").when(age > stale_after_days, "stale").otherwise("synced")
-    return state.groupBy(cls.alias("state")).agg(F.count(F.lit(1)).alias("n_tables"))
+def sync_state_counts(state: DataFrame) -> DataFrame:
+    """Tables by state (columns last_status, is_stale): a failed table may be stale as well."""
+    ok, stale = F.col("last_status") == "success", F.col("is_stale")
+    return state.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok & ~stale).alias("synced"), F.count_if(stale).alias("stale"),
+                     F.count_if(F.col("last_status") == "failed").alias("failed"))
 
 
 def scd2(versions: DataFrame, keys: Sequence[str], changed_at: str, end: str = "9999-12-31") -> DataFrame:
@@ -125,12 +125,17 @@ def retention_days_col(col):
     return n * factor
 
 
-def retention_status(df: DataFrame, created: str, days, as_of, soon_days: int = 7) -> DataFrame:
-    """Expiry date, days left and status text (expired, expiring_soon, active)."""
-    expires = F.date_add(F.to_date(created), days)
-    left = F.datediff(expires, as_of)
-    return df.select("*", expires.cast("string").alias("expires_on"), left.alias("days_left"),
-                     F.when(left < 0, "expired").when(left <= soon_days, "expiring_soon").otherwise("active").alias("status"))
+def retention_status(df: DataFrame, created: str, days, as_of, warn_days: int = 3) -> DataFrame:
+    """Expiry time, whether expired or expiring soon, and a status text."""
+    from tallyframe.common import as_ts
+
+    now = as_ts(as_of)
+    expires = F.timestamp_add("DAY", days, F.col(created).cast("timestamp_ntz"))
+    left = F.datediff("expires_at", now)
+    gone = F.col("expires_at") < now
+    return df.withColumn("expires_at", expires).select(
+        "*", gone.alias("expired"), (~gone & (left <= warn_days)).alias("expiring_soon"),
+        F.when(gone, "EXPIRED").otherwise(F.concat(left.cast("string"), F.lit(" days remaining"))).alias("status"))
 
 
 def two_way_plan(source: DataFrame, dest: DataFrame, on: Sequence[str], drop_extra: bool = False) -> DataFrame:

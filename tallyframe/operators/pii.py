@@ -29,13 +29,12 @@ def value_match_rates(df: DataFrame, columns: Sequence[str] | None = None, confi
     """Share of non-null values that have the form of each type, for all text columns in one scan."""
     cols = [f.name for f in df.schema.fields if is_text(f.dataType) and (columns is None or f.name in columns)]
     types = list(config.values())
-    aggs, rows = [], []
-    for i, c in enumerate(cols):
-        aggs.append(F.count(F.col(f"`{c}`")).alias(f"n{i}"))
-        for j, t in enumerate(types):
-            aggs.append(F.count_if(P.value_matches(F.col(f"`{c}`"), t, config)).alias(f"m{i}_{j}"))
-            rows.append(F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("pii_type"), F.col(f"n{i}").alias("n_values"), F.col(f"m{i}_{j}").alias("n_matches")))
-    out = df.agg(*aggs).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    values = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("v")) for c in cols])).alias("x")).select("x.*")
+    counts = values.groupBy("column_name").agg(
+        F.count("v").alias("n_values"), *[F.count_if(P.value_matches(F.col("v"), t, config)).alias(f"m{j}") for j, t in enumerate(types)])
+    per_type = F.array(*[F.struct(F.lit(t).alias("pii_type"), F.col(f"m{j}").alias("n_matches")) for j, t in enumerate(types)])
+    out = counts.select("column_name", "n_values", F.explode(per_type).alias("r")).select("column_name", "r.pii_type", "n_values", "r.n_matches")
     return out.withColumn("match_rate", F.col("n_matches") / F.greatest("n_values", F.lit(1)))
 
 
@@ -107,7 +106,8 @@ def scan_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def masks_from_findings(findings: DataFrame) -> list[dict]:
-    """Mask rules for the columns found, highest score first; as many rows as columns, so small."""
-    w = Window.partitionBy("column_name").orderBy(F.desc("confidence_score"), "pii_type")
+    """Mask rules for the columns found: highest score first, then high-risk types. There are as
+    many rows as columns, so the result is small."""
+    w = Window.partitionBy("column_name").orderBy(F.desc("confidence_score"), F.col("pii_type").isin(list(P.HIGH_RISK)).desc(), "pii_type")
     best = findings.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("column_name", "suggested_masking")
     return [{"column": r["column_name"], "strategy": r["suggested_masking"]} for r in best.collect()]
