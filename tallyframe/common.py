@@ -37,13 +37,9 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
 
 def heavy_keys(df: DataFrame, keys: Sequence[str], max_heavy: int = MAX_HEAVY) -> DataFrame:
     """Keys (NULL included) holding more than 1/max_heavy of the rows: at most max_heavy rows."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") * F.lit(max_heavy) > total)
-        .select(*keys)
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n").alias("n")).scalar()  # reads the shuffle of the counts again
+    return counts.where(F.col("__n") * F.lit(max_heavy) > total).select(*keys)
 
 
 def spread_join(

@@ -38,22 +38,24 @@ def node_roles(edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame, depth: int = 5, direction: str = "downstream") -> DataFrame:
     """Edges met when walking from the start nodes, with the hop at which each is first met.
 
-    A hop joins the frontier, the nodes first met at the hop before, to the edges that leave it;
-    the frontier is written between hops."""
+    A hop joins the frontier, the nodes first met at the hop before, to the edges that leave it.
+    The edges met are written once per hop; the next frontier is read from those files."""
     near, far = ("src", "dst") if direction == "downstream" else ("dst", "src")
-    e = edges.select("src", "dst").distinct()
-    frontier = cut_lineage(start.select(F.col("node").alias(near)).distinct(), "hop")
-    seen, parts = frontier, []
+    e = cut_lineage(edges.select("src", "dst").distinct(), "hop")
+    n = e.count()
+    frontier = start.select(F.col("node").alias(near)).distinct()
+    seen, parts = [frontier], []
     for hop in range(1, depth + 1):
-        met = cut_lineage(spread_join(e, frontier, [near], "left_semi").withColumn("hop", F.lit(hop)), "hop")
+        met = cut_lineage(spread_join(e, frontier, [near], "left_semi", known_rows=n).select("src", "dst", F.lit(hop).alias("hop")), "hop")
         if met.isEmpty():
             break
         parts.append(met)
-        frontier = cut_lineage(met.select(F.col(far).alias(near)).distinct().join(seen, near, "left_anti"), "hop")
-        seen = union_all([seen, frontier])
+        ends = met.select(F.col(far).alias(near)).distinct()
+        frontier = ends.join(union_all(seen), near, "left_anti")
+        seen.append(ends)
     if not parts:
-        return e.where(F.lit(False)).withColumns({"hop": F.lit(0), "direction": F.lit(direction)})
-    return union_all(parts).select("src", "dst", "hop").withColumn("direction", F.lit(direction))
+        return e.where(F.lit(False)).select("src", "dst", F.lit(0).alias("hop"), F.lit(direction).alias("direction"))
+    return union_all(parts).withColumn("direction", F.lit(direction))
 
 
 def lineage(edges: DataFrame, start: DataFrame, depth: int = 5, at: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -66,24 +68,36 @@ def lineage(edges: DataFrame, start: DataFrame, depth: int = 5, at: str | None =
     return reachable(e, start, depth, "upstream").unionByName(reachable(e, start, depth, "downstream"))
 
 
-def topological_levels(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int = 10_000) -> DataFrame:
+def topological_levels(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int = 10_000, rewrite_every: int = 8) -> DataFrame:
     """Level of every node (dependencies come first, level 0 depends on nothing); nodes on or
     behind a cycle have no level and are flagged.
 
-    Each round takes the nodes whose dependencies all have a level. A round only carries the edges
-    of the nodes still open, so the rounds shrink."""
-    known = union_all([edges.select(F.col("src").alias("node")), edges.select(F.col("dst").alias("node"))] + ([nodes.select("node")] if nodes is not None else [])).distinct()
+    Each round writes the nodes whose dependencies all have a level. The edges and nodes still
+    open are those the written levels do not name; they are rewritten every few rounds, so that
+    the rounds shrink and the plans stay short."""
+    known = union_all([edges.select(F.col("src").alias("node")), edges.select(F.col("dst").alias("node"))]
+                      + ([nodes.select("node")] if nodes is not None else [])).distinct()
     left = cut_lineage(edges.select("src", "dst").distinct(), "topo")
     open_nodes = cut_lineage(known, "topo")
-    done = []
+    n = left.count()
+    done, fresh = [], []
     for level in range(max_levels):
-        ready = cut_lineage(open_nodes.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"), "topo")
+        if fresh:
+            named = union_all([f.select("node") for f in fresh])
+            now_nodes = open_nodes.join(named, "node", "left_anti")
+            now_left = spread_join(left, named.withColumnRenamed("node", "src"), ["src"], "left_anti", known_rows=n)
+            if len(fresh) >= rewrite_every:
+                open_nodes, left, fresh = cut_lineage(now_nodes, "topo"), cut_lineage(now_left, "topo"), []
+                now_nodes, now_left = open_nodes, left
+        else:
+            now_nodes, now_left = open_nodes, left
+        waiting = now_left.select(F.col("dst").alias("node")).distinct()
+        ready = cut_lineage(now_nodes.join(waiting, "node", "left_anti").withColumn("level", F.lit(level)), "topo")
         if ready.isEmpty():
             break
-        done.append(ready.withColumn("level", F.lit(level)))
-        open_nodes = cut_lineage(open_nodes.join(ready, "node", "left_anti"), "topo")
-        left = cut_lineage(spread_join(left, ready.withColumnRenamed("node", "src"), ["src"], "left_anti"), "topo")
-    cyclic = open_nodes.withColumn("level", F.lit(None).cast("int"))
+        done.append(ready)
+        fresh.append(ready)
+    cyclic = now_nodes.withColumn("level", F.lit(None).cast("int"))
     return union_all([*done, cyclic]).withColumn("on_cycle", F.col("level").isNull())
 
 

@@ -67,12 +67,13 @@ def hierarchy_paths(nodes: DataFrame, sep: str = "/", max_levels: int = 10_000)
 
     One join per level, from the roots down; each level is written before the next one. Nodes on
     a cycle hang on no root and are left out."""
-    n = nodes.select("node", "parent")
+    n = cut_lineage(nodes.select("node", "parent"), "tree")
+    rows = n.count()
     level = cut_lineage(n.where("parent IS NULL").select("node", "parent", F.lit(0).alias("level"), F.col("node").cast("string").alias("path")), "tree")
     done = [level]
     for depth in range(1, max_levels):
         up = level.select(F.col("node").alias("parent"), F.col("path").alias("up_path"))
-        level = cut_lineage(spread_join(n, up, ["parent"]).select("node", "parent", F.lit(depth).alias("level"), F.concat_ws(sep, "up_path", "node").alias("path")), "tree")
+        level = cut_lineage(spread_join(n, up, ["parent"], known_rows=rows).select("node", "parent", F.lit(depth).alias("level"), F.concat_ws(sep, "up_path", "node").alias("path")), "tree")
         if level.isEmpty():
             break
         done.append(level)

@@ -47,14 +47,11 @@ def _(t):
 
 
 @query("cd05_upsert_repeated_target", """
-SELECT l_orderkey, l_linenumber, CASE WHEN o.v IS NOT NULL THEN o.v ELSE l_quantity END AS v FROM lineitem LEFT JOIN (SELECT o_orderkey, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F') o ON l_orderkey = o_orderkey
-UNION ALL SELECT o_orderkey, NULL, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
-def _(t):
-    tgt = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("v"))
-    src = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    j = ch.merge(tgt.select("k", "v", F.struct("line").alias("row")), src.select("k", "v", F.lit(None).cast("struct<line:int>").alias("row")), ["k"])
-    kept = ch.merge(tgt.select("k", F.col("line"), "v"), src.join(tgt.select("k", "line"), "k", "left").select("k", "line", "v").distinct(), ["k", "line"])
-    return kept.select(F.col("k").alias("l_orderkey"), F.col("line").alias("l_linenumber"), "v")
+SELECT l_orderkey AS k, coalesce(v, l_quantity) AS v FROM lineitem LEFT JOIN (SELECT o_orderkey, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey
+UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+def _(t):
+    target = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("v"))
+    return ch.merge(target, t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")), ["k"])
 
 
 @query("cd06_sync_state", """SELECT count(*) AS total, count(*) FILTER (WHERE s = 'success' AND NOT st) AS synced, count(*) FILTER (WHERE st) AS stale, count(*) FILTER (WHERE s = 'failed') AS failed

@@ -241,8 +241,7 @@ FROM events""")
 def dependency_edges(t: Tables):
     """Customers that order depend on the customers at half and at a third of their key."""
     n = t.orders.select(F.col("o_custkey").alias("k")).where("o_custkey > 0").distinct()
-    return n.select(F.explode(F.array(F.floor(F.col("k") / 2), F.floor(F.col("k") / 3))).cast("long").alias("src"),
-                    F.col("k").alias("dst")).distinct()
+    return n.select(F.explode(F.array(F.floor(F.col("k") / 2), F.floor(F.col("k") / 3))).alias("src"), F.col("k").alias("dst")).distinct()
 
 
 cte("edges", """
