@@ -13,6 +13,11 @@ from tallyframe.plans.registry import query
 DEC = "CAST(sum(CAST({} AS DECIMAL(28,4))) AS DOUBLE)"
 
 
+def hup(expr, n):
+    """SQL rounding half up on the shortest decimal form of a double, as Spark rounds."""
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,16)), {n}) AS DOUBLE)"
+
+
 def h(name, ident="id"):
     return f"CAST(('0x' || substr(md5('{name}:' || {ident}), 1, 8)) AS BIGINT)"
 
@@ -213,24 +218,26 @@ def _(t):
 
 @query("fn05_formats", """SELECT l_orderkey, l_linenumber, '$' || format('{:,.2f}', l_extendedprice) AS price, lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS clock,
  (s // 60) || 'h ' || (s % 60) || 'm' AS hm, 'TRK-' || lpad(l_orderkey::VARCHAR, 12, '0') AS tracking, repeat('★', (l_linenumber % 6)::BIGINT) || repeat('☆', (5 - l_linenumber % 6)::BIGINT) AS stars,
- CASE WHEN b >= 1048576 THEN round(b / 1048576, 2) || ' MB' WHEN b >= 1024 THEN round(b / 1024, 2) || ' KB' ELSE b || ' B' END AS size FROM (SELECT *, CAST(l_extendedprice AS BIGINT) AS s, CAST(l_quantity * l_quantity * l_partkey AS BIGINT) AS b FROM lineitem)""")
+ CASE WHEN b >= 1048576 THEN round(b / 1048576, 2) || ' MB' WHEN b >= 1024 THEN round(b / 1024, 2) || ' KB' ELSE b || ' B' END AS size FROM (SELECT *, CAST(floor(l_extendedprice) AS BIGINT) AS s, CAST(l_quantity * l_quantity * l_partkey AS BIGINT) AS b FROM lineitem)""")
 def _(t):
     s, b = F.col("s"), F.col("b")
-    df = t.lineitem.withColumns({"s": F.round("l_extendedprice").cast("long"), "b": (F.col("l_quantity") * F.col("l_quantity") * F.col("l_partkey")).cast("long")})
+    df = t.lineitem.withColumns({"s": F.floor("l_extendedprice"), "b": (F.col("l_quantity") * F.col("l_quantity") * F.col("l_partkey")).cast("long")})
     r = F.col("l_linenumber") % 6
     return df.select("l_orderkey", "l_linenumber", B.money(F.col("l_extendedprice")).alias("price"), B.clock(s).alias("clock"), B.hours_minutes(s).alias("hm"), B.tracking_id(F.col("l_orderkey")).alias("tracking"),
                      B.stars(r).alias("stars"), B.data_size(b).alias("size"))
 
 
-@query("fn06_ratios", "SELECT l_orderkey, l_linenumber, round(l_quantity * 100 / greatest(l_linenumber, 1), 2) AS pct, round(l_extendedprice / greatest(l_quantity, 1), 4) AS unit_price, round(l_quantity * 1000 / greatest(l_discount, 1), 4) AS per_unit FROM lineitem")
+@query("fn06_ratios", f"""SELECT l_orderkey, l_linenumber, {hup('l_quantity * 100 / greatest(l_linenumber, 1)', 2)} AS pct, {hup('l_extendedprice / greatest(l_quantity, 1)', 4)} AS unit_price,
+ {hup('l_quantity * 1000 / greatest(l_discount, 1)', 4)} AS per_unit FROM lineitem""")
 def _(t):
     c = F.col
     return t.lineitem.select("l_orderkey", "l_linenumber", B.safe_ratio(c("l_quantity"), c("l_linenumber")).alias("pct"), B.safe_ratio(c("l_extendedprice"), c("l_quantity"), 1, 4).alias("unit_price"),
                              B.safe_ratio(c("l_quantity"), c("l_discount"), 1000, 4, floor=1.0).alias("per_unit"))
 
 
-@query("fn07_finance", """SELECT l_orderkey, l_linenumber, round(power(1 + (l_tax + 0.01) / 12, 12) - 1, 4) AS apr, round(l_extendedprice * (l_tax + 0.01) / 12 / (1 - power(1 + (l_tax + 0.01) / 12, -(l_quantity * 12))), 2) AS payment,
- round(l_extendedprice * power(1 + l_tax, l_linenumber), 2) AS grown, round(l_extendedprice * power(1 + -l_discount, l_linenumber), 2) AS decayed FROM lineitem""")
+@query("fn07_finance", f"""SELECT l_orderkey, l_linenumber, {hup('power(1 + (l_tax + 0.01) / 12, 12) - 1', 4)} AS apr,
+ {hup('l_extendedprice * ((l_tax + 0.01) / 12) / (1 - power(1 + (l_tax + 0.01) / 12, -(l_quantity * 12)))', 2)} AS payment,
+ {hup('l_extendedprice * power(1 + l_tax, l_linenumber)', 2)} AS grown, {hup('l_extendedprice * power(1 + -l_discount, l_linenumber)', 2)} AS decayed FROM lineitem""")
 def _(t):
     c, r = F.col, F.col("l_tax") + 0.01
     return t.lineitem.select("l_orderkey", "l_linenumber", B.effective_rate(r, F.lit(12)).alias("apr"), B.annuity(c("l_extendedprice"), r, c("l_quantity") * 12).alias("payment"),
@@ -266,7 +273,8 @@ def _(t):
     return t.customer.select("c_custkey", V.npi(n).alias("npi"), V.swift(s).alias("swift"))
 
 
-@query("fn11_measures", "SELECT l_orderkey, l_linenumber, round(least(l_quantity - 0.5, 50.5 - l_quantity) / ((50.5 - 0.5) / 6), 3) AS cpk, round(l_quantity * 90 * 95 / 10000, 2) AS oee, round(l_quantity * 20 * l_linenumber / 5000, 2) AS dim_weight FROM lineitem")
+@query("fn11_measures", f"""SELECT l_orderkey, l_linenumber, {hup('least(l_quantity - 0.5::DOUBLE, 50.5::DOUBLE - l_quantity) / ((50.5::DOUBLE - 0.5::DOUBLE) / 6)', 3)} AS cpk,
+ {hup('l_quantity * 90 * 95 / 10000', 2)} AS oee, {hup('l_quantity * 20 * l_linenumber / 5000', 2)} AS dim_weight FROM lineitem""")
 def _(t):
     q = F.col("l_quantity")
     return t.lineitem.select("l_orderkey", "l_linenumber", B.cpk(q, F.lit(0.5), F.lit(50.5)).alias("cpk"), B.oee(q, F.lit(90), F.lit(95)).alias("oee"), B.dimensional_weight(q, F.lit(20), F.col("l_linenumber")).alias("dim_weight"))
