@@ -50,6 +50,7 @@ def spread_join(
     extra: Column | None = None,
     hot_from: DataFrame | None = None,
     known_rows: int | None = None,
+    no_broadcast: bool = False,
     max_heavy: int = MAX_HEAVY,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -61,6 +62,8 @@ def spread_join(
     keys are counted in ``hot_from`` (the left side by default): name a frame that is cheaper to
     read when the left side is itself the result of joins. When the left side is known to have
     fewer rows than SPREAD_FROM, one task can hold its hottest key and the join is a plain one.
+    ``no_broadcast`` keeps a right side out of a broadcast whose rows were multiplied beyond what
+    the planner's size estimate shows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"spread_join does not support {how!r}")
@@ -84,6 +87,8 @@ def spread_join(
     all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
     repeated = flagged(renamed, "__r_").withColumn(
         "__r_salt", F.explode(F.when(F.col("__hot"), all_salts).otherwise(F.array(F.lit(0))))).drop("__hot")
+    if no_broadcast:
+        repeated = repeated.hint("merge")
     cond = F.col("__salt") == F.col("__r_salt")
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"__r_{k}"))
@@ -92,6 +97,14 @@ def spread_join(
     return dealt.join(repeated, cond, how).drop("__salt", "__r_salt", *[f"__r_{k}" for k in keys])
 
 
+BROADCAST_ROWS = 200_000
+
+
+def exceeds(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a frame has more rows than a limit; counts no further than the limit."""
+    return df.limit(rows + 1).count() > rows
+
+
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1, ties: bool = False) -> DataFrame:
     """First n rows per key. Spark limits each map partition per key before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -99,37 +112,44 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     return df.withColumn("__pos", pos).where(F.col("__pos") <= n).drop("__pos")
 
 
+BUCKETS, MAX_BUCKETS, ROWS_PER_BUCKET = 256, 8192, 1_000_000
+
+
+def quantile_buckets(df: DataFrame, measure: DataFrame, value: str, name: str) -> DataFrame:
+    """Number the rows of df by ranges of a double column that hold about equally many rows of
+    ``measure``. The borders, at most MAX_BUCKETS numbers, come to the driver."""
+    from pyspark.ml.feature import Bucketizer
+
+    def borders(n: int):
+        probs = [i / n for i in range(1, n)]
+        return measure.agg(F.percentile_approx(value, probs, 4 * n).alias("c"), F.count(value).alias("n")).first()
+
+    cuts, rows = borders(BUCKETS)
+    if rows > BUCKETS * ROWS_PER_BUCKET:
+        cuts, _ = borders(min(MAX_BUCKETS, rows // ROWS_PER_BUCKET))
+    inner = sorted({c for c in cuts or [] if c == c and abs(c) != float("inf")})
+    splits = [float("-inf"), *(inner or [0.0]), float("inf")]
+    return Bucketizer(splits=splits, inputCol=value, outputCol=name, handleInvalid="keep").transform(df)
+
+
 def exact_percentiles(
     df: DataFrame,
     value: str,
     probs: Sequence[float],
     by: Sequence[str] = (),
-    buckets: int = 256,
 ) -> DataFrame:
     """Exact linear-interpolation percentiles per group, without holding a group in one task.
 
     Values are counted first (map-side), then placed in value buckets cut at approximate
     quantiles, so that the running count of a group is taken bucket by bucket: one small window
     over the bucket totals gives each bucket its offset, and one window per (group, bucket) ranks
-    the distinct values in it. Returns ``by`` + ``prob`` + ``value``.
+    the distinct values of the few buckets that hold a wanted rank. The number of buckets grows
+    with the rows. Returns ``by`` + ``prob`` + ``value``.
     """
     by = list(by)
     vals = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
-    # The splitters are at most `buckets` doubles in one row, joined as a scalar.
-    cuts = vals.agg(
-        F.array_sort(F.array_distinct(
-            F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], 10 * buckets))).alias("c")
-    ).scalar()
-    # Binary search in the splitters, one halving per step.
-    steps = [1 << i for i in reversed(range(buckets.bit_length()))]
-
-    def halve(acc: Column, step: Column) -> Column:
-        nxt = acc + step
-        return F.when((nxt <= F.size("__c")) & (F.get(F.col("__c"), nxt - 1) < F.col("__v")), nxt).otherwise(acc)
-
-    bucket = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), halve)
-    counted = (vals.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n")).withColumn("__c", cuts)
-               .withColumn("__b", bucket).drop("__c"))
+    counted = vals.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    counted = quantile_buckets(counted, vals, "__v", "__b")
     totals = counted.groupBy(*by, "__b").agg(F.sum("__n").alias("__bn"))
     g = [F.col(c) for c in by] or [F.lit(1)]
     wb = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

@@ -88,12 +88,24 @@ def sync_state_counts(state: DataFrame) -> DataFrame:
 
 
 def scd2(versions: DataFrame, keys: Sequence[str], changed_at: str, end: str = "9999-12-31") -> DataFrame:
-    """Validity intervals from dated images: valid_to is the start of the next version of the key."""
+    """Validity intervals from dated images: valid_to is the start of the next version of the key.
+
+    The next start is looked up within ranges of time that hold about equally many rows, so a key
+    with very many versions is sorted in pieces; the last version of a piece takes the first start
+    of the key's next piece."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*keys).orderBy(changed_at)
-    nxt = F.lead(changed_at).over(w)
-    return versions.select(
+    from tallyframe.common import quantile_buckets
+
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    timed = versions.withColumn("__t", F.timestamp_diff("SECOND", epoch, F.col(changed_at).cast("timestamp_ntz")).cast("double"))
+    cut = quantile_buckets(timed, timed, "__t", "__piece").drop("__t")
+    firsts = cut.groupBy(*keys, "__piece").agg(F.min(changed_at).alias("__first"))
+    after = firsts.select(*keys, "__piece", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__piece")).alias("__after"))
+    inside = cut.withColumn("__next", F.lead(changed_at).over(Window.partitionBy(*keys, "__piece").orderBy(changed_at)))
+    j = spread_join(inside, after, [*keys, "__piece"], "left")
+    nxt = F.coalesce("__next", "__after")
+    return j.select(
         *[c for c in versions.columns if c != changed_at], F.col(changed_at).alias("valid_from"),
         F.coalesce(nxt, F.lit(end).cast("timestamp_ntz")).alias("valid_to"), nxt.isNull().alias("is_current"))
 

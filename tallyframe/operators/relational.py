@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.common import spread_join, top_rows
+from tallyframe.common import exceeds, spread_join, top_rows
 
 
 # ---- selection ---------------------------------------------------------------------------------
@@ -72,7 +72,7 @@ def interval_join(facts: DataFrame, intervals: DataFrame, keys: Sequence[str], a
     covered = covered.withColumn("__bucket", F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi")
     valid = (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
     placed = facts.withColumn("__bucket", bucket(F.col(at)))
-    return spread_join(placed, covered, [*keys, "__bucket"], how, extra=valid).drop("__bucket")
+    return spread_join(placed, covered, [*keys, "__bucket"], how, extra=valid, no_broadcast=exceeds(covered)).drop("__bucket")
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str], at: str, ties: bool = True) -> DataFrame:

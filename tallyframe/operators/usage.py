@@ -32,7 +32,7 @@ def usage_classes(access: DataFrame) -> DataFrame:
 
 
 def unused(tables: DataFrame, access: DataFrame) -> DataFrame:
-    return tables.join(access, "table_name", "left_anti")
+    return tables.join(access.select("table_name").distinct(), "table_name", "left_anti")
 
 
 def column_usage(log: DataFrame, text: str, user: str, catalog: str) -> DataFrame:

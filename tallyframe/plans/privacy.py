@@ -278,7 +278,7 @@ def _(t):
     return f.groupBy("pii_type", P.suggested_mask(F.col("pii_type")).alias("suggested_masking")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("mk05_mask_by_detection", W + f"SELECT * REPLACE (substr(email, 1, 1) || '***@' || split_part(email, '@', -1) AS email, {PARTIAL.format(c='phone')} AS phone, sha256(ssn) AS ssn, sha256(credit_card) AS credit_card, sha256(ip_addr) AS ip_addr, NULL AS birth_date, sha256(iban) AS iban) FROM persons")
+@query("mk05_mask_by_detection", W + f"SELECT * REPLACE (substr(email, 1, 1) || '***@' || split_part(email, '@', -1) AS email, {PARTIAL.format(c='phone')} AS phone, sha256(ssn) AS ssn, sha256(credit_card) AS credit_card, sha256(ip_addr) AS ip_addr, NULL::VARCHAR AS birth_date, sha256(iban) AS iban) FROM persons")
 def _(t):
     p = persons(t)
     return M.apply_masks(p, op.masks_from_findings(op.best_findings(op.detect_by_value(p, "crm", "persons", PERSON_COLS))))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyframe.common import new_scratch_path, union_all
+from tallyframe.common import new_scratch_path, spread_join, union_all
 from tallyframe.functions import checks as C
 from tallyframe.operators import checkset as cs
 from tallyframe.operators import rules as ru
@@ -371,7 +371,7 @@ def _(t):
 @query("ck17_older_than", counts_sql("(SELECT l_shipdate, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey)", {
     "is_older_than_n_days": "date_diff('day', l_shipdate, TIMESTAMP '2002-01-01') <= 400", "is_older_than_col2_for_n_days": "date_diff('day', o_orderdate, l_shipdate) < 30"}))
 def _(t):
-    df = t.lineitem.join(t.orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").select("l_shipdate", "o_orderdate")
+    df = spread_join(t.lineitem.select("l_orderkey", "l_shipdate"), t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), ["l_orderkey"])
     return cs.flag_counts(df, {"is_older_than_n_days": C.is_older_than_n_days("l_shipdate", 400, "2002-01-01"),
                                "is_older_than_col2_for_n_days": C.is_older_than_col2_for_n_days("o_orderdate", "l_shipdate", 30)})
 

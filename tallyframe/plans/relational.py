@@ -80,18 +80,18 @@ def _(t):
 
 @query("jn01_inner_join", "SELECT s.o_orderkey, s.o_totalprice AS source_price, d.o_totalprice AS dest_price FROM orders s JOIN orders d USING (o_orderkey, o_custkey)")
 def _(t):
-    s, d = t.orders.alias("s"), t.orders.alias("d")
-    return s.join(d, ["o_orderkey", "o_custkey"]).select("o_orderkey", F.col("s.o_totalprice").alias("source_price"),
-                                                         F.col("d.o_totalprice").alias("dest_price"))
+    s = t.orders.select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("source_price"))
+    d = t.orders.select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("dest_price"))
+    return spread_join(s, d, ["o_orderkey", "o_custkey"]).select("o_orderkey", "source_price", "dest_price")
 
 
 @query("jn02_anti_both_ways", with_ctes("orders_dest") + """
 SELECT o_orderkey, 'missing' AS side FROM orders ANTI JOIN orders_dest USING (o_orderkey)
 UNION ALL SELECT o_orderkey, 'extra' FROM orders_dest ANTI JOIN orders USING (o_orderkey)""")
 def _(t):
-    a, b = t.orders, orders_dest(t)
-    return a.join(b, "o_orderkey", "left_anti").select("o_orderkey", F.lit("missing").alias("side")).unionByName(
-        b.join(a, "o_orderkey", "left_anti").select("o_orderkey", F.lit("extra").alias("side")))
+    a, b = t.orders.select("o_orderkey"), orders_dest(t).select("o_orderkey")
+    return spread_join(a, b.distinct(), ["o_orderkey"], "left_anti").withColumn("side", F.lit("missing")).unionByName(
+        spread_join(b, a.distinct(), ["o_orderkey"], "left_anti").withColumn("side", F.lit("extra")))
 
 
 @query("jn03_anti_on_row_hash", with_ctes("orders_dest") + """
@@ -233,8 +233,8 @@ def _(t):
 
 
 @query("ag08_exact_percentile", """
-SELECT event_type, 0.5 AS prob, round(quantile_cont(value, 0.5), 6) AS value FROM events GROUP BY 1
-UNION ALL SELECT event_type, 0.95, round(quantile_cont(value, 0.95), 6) FROM events GROUP BY 1""")
+SELECT event_type, 0.5::DOUBLE AS prob, round(quantile_cont(value, 0.5), 6) AS value FROM events GROUP BY 1
+UNION ALL SELECT event_type, 0.95::DOUBLE, round(quantile_cont(value, 0.95), 6) FROM events GROUP BY 1""")
 def _(t):
     return exact_percentiles(t.events, "value", [0.5, 0.95], ["event_type"]).withColumn("value", F.round("value", 6))
 

@@ -154,7 +154,7 @@ def _(t):
 
 @query("mv08_ratio_of_sums", f"SELECT p_brand, round({DEC.format('l_extendedprice * l_discount')} * 100 / greatest({DEC.format('l_extendedprice')}, 1), 2) AS discount_share FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def _(t):
-    j = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    j = vw.enrich(t.lineitem.select("l_partkey", "l_extendedprice", "l_discount"), t.part.select("p_partkey", "p_brand"), "l_partkey", "p_partkey")
     return j.groupBy("p_brand").agg(vw.ratio_of_sums(F.col("l_extendedprice") * F.col("l_discount"), F.col("l_extendedprice")).alias("discount_share"))
 
 
