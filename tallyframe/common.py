@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 MAX_HEAVY = 1000
 SALTS = 64
 SPREAD_FROM = 1_000_000
+# Share of the left rows counted to find heavy keys, and the least count that shows one.
+SAMPLE, MIN_SEEN = 0.01, 10
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,11 +37,15 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], max_heavy: int = MAX_HEAVY) -> DataFrame:
-    """Keys (NULL included) holding more than 1/max_heavy of the rows: at most max_heavy rows."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("n")).scalar()  # reads the shuffle of the counts again
-    return counts.where(F.col("__n") * F.lit(max_heavy) > total).select(*keys)
+def heavy_keys(df: DataFrame, keys: Sequence[str], max_heavy: int = MAX_HEAVY, fraction: float | None = SAMPLE) -> DataFrame:
+    """Keys (NULL included) that hold more than 1/max_heavy of the rows of a sample: at most
+    max_heavy rows. A key seen fewer than MIN_SEEN times does not count."""
+    rows = df.select(*keys)
+    if fraction:
+        rows = rows.sample(fraction=fraction, seed=42)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("__n").alias("n")).scalar()
+    return counts.where((F.col("__n") >= MIN_SEEN) & (F.col("__n") * F.lit(max_heavy) > total)).select(*keys)
 
 
 def spread_join(
@@ -53,48 +59,55 @@ def spread_join(
     no_broadcast: bool = False,
     max_heavy: int = MAX_HEAVY,
     salts: int = SALTS,
+    fraction: float | None = SAMPLE,
 ) -> DataFrame:
     """Equi-join whose left side may have hot keys.
 
-    Left rows of a heavy key are dealt over ``salts`` sub-keys and the matching right rows are
-    repeated once per sub-key; all other keys are joined as usual. ``how`` is inner, left,
-    left_semi or left_anti. ``extra`` is a further join condition on non-key columns. The heavy
-    keys are counted in ``hot_from`` (the left side by default): name a frame that is cheaper to
-    read when the left side is itself the result of joins. When the left side is known to have
-    fewer rows than SPREAD_FROM, one task can hold its hottest key and the join is a plain one.
-    ``no_broadcast`` keeps a right side out of a broadcast whose rows were multiplied beyond what
-    the planner's size estimate shows.
+    A sample of the left keys is counted first, and the heavy keys (at most max_heavy) come to the
+    driver. Without any, the join is a plain one. Else left rows of a heavy key are dealt over
+    ``salts`` sub-keys and the matching right rows are repeated once per sub-key; all other keys
+    are joined as usual. Which keys are found only decides how the work is spread, never the rows.
+
+    ``how`` is inner, left, left_semi or left_anti; ``extra`` is a further join condition on
+    non-key columns. The keys are sampled from ``hot_from`` (the left side by default): name a
+    frame that is cheaper to read when the left side is itself the result of joins. When the left
+    side is known to have fewer rows than SPREAD_FROM, no sample is taken. ``no_broadcast`` keeps a
+    right side out of a broadcast whose rows were multiplied beyond what the planner's size
+    estimate shows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"spread_join does not support {how!r}")
-    if known_rows is not None and known_rows < SPREAD_FROM and extra is None:
-        return left.join(right, list(keys), how)
-    hot = F.broadcast(heavy_keys(hot_from if hot_from is not None else left, keys, max_heavy).select(
-        *[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias("__hot")))
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = F.lit(True) if extra is None else extra
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"__r_{k}"))
+    right_keys = [f"__r_{k}" for k in keys]
+    source = hot_from if hot_from is not None else left
+    small = known_rows is not None and known_rows < SPREAD_FROM
+    found = [] if small else heavy_keys(source, keys, max_heavy, fraction).collect()
+    if not found:
+        return left.join(renamed.hint("merge") if no_broadcast else renamed, cond, how).drop(*right_keys)
+
+    schema = T.StructType([T.StructField(f"__h_{k}", source.schema[k].dataType) for k in keys])
+    hot = F.broadcast(left.sparkSession.createDataFrame([tuple(r) for r in found], schema).withColumn("__hot", F.lit(True)))
 
     def flagged(df: DataFrame, prefix: str = "") -> DataFrame:
-        cond = F.lit(True)
+        same = F.lit(True)
         for k in keys:
-            cond = cond & F.col(f"{prefix}{k}").eqNullSafe(F.col(f"__h_{k}"))
-        return df.join(hot, cond, "left").drop(*[f"__h_{k}" for k in keys])
+            same = same & F.col(f"{prefix}{k}").eqNullSafe(F.col(f"__h_{k}"))
+        return df.join(hot, same, "left").drop(*[f"__h_{k}" for k in keys])
 
     hashable = [F.col(f"`{f.name}`") for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
     # Equal rows hash alike, so the input partition takes part in the salt.
     row_salt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.lit(salts)).cast("int")
     dealt = flagged(left.withColumn("__row_salt", row_salt)).withColumn(
         "__salt", F.when(F.col("__hot"), F.col("__row_salt")).otherwise(F.lit(0))).drop("__hot", "__row_salt")
-    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
     repeated = flagged(renamed, "__r_").withColumn(
         "__r_salt", F.explode(F.when(F.col("__hot"), all_salts).otherwise(F.array(F.lit(0))))).drop("__hot")
     if no_broadcast:
         repeated = repeated.hint("merge")
-    cond = F.col("__salt") == F.col("__r_salt")
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"__r_{k}"))
-    if extra is not None:
-        cond = cond & extra
-    return dealt.join(repeated, cond, how).drop("__salt", "__r_salt", *[f"__r_{k}" for k in keys])
+    return dealt.join(repeated, cond & (F.col("__salt") == F.col("__r_salt")), how).drop("__salt", "__r_salt", *right_keys)
 
 
 BROADCAST_ROWS = 200_000

@@ -165,7 +165,8 @@ def moving_average(df: DataFrame, keys: Sequence[str], order: str, column: str,
 def share_of_total(df: DataFrame, group: Sequence[str], within: Sequence[str]) -> DataFrame:
     """Rows per group and their share of the enclosing group."""
     n = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*within)))
+    total = df.groupBy(*within).agg(F.count(F.lit(1)).alias("__total"))
+    return spread_join(n, total, within).withColumn("share", F.col("n") / F.col("__total")).drop("__total")
 
 
 def occurrences(df: DataFrame, name: str) -> DataFrame:

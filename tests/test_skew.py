@@ -29,25 +29,36 @@ def dim(spark):
 @pytest.mark.parametrize("max_heavy", [2, 50, 1000])
 def test_spread_join_is_a_join(hot, dim, how, max_heavy):
     want = hot.join(dim, "k", how)
-    got = C.spread_join(hot, dim, ["k"], how, max_heavy=max_heavy, salts=8).select(*want.columns)
+    got = C.spread_join(hot, dim, ["k"], how, max_heavy=max_heavy, salts=8, fraction=None).select(*want.columns)
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
 
 
-def test_spread_join_deals_hot_rows(hot, dim, spark):
-    plan = C.spread_join(hot, dim, ["k"], "inner", max_heavy=10, salts=8)
+def test_spread_join_deals_hot_rows(hot, dim):
+    assert [x.k for x in C.heavy_keys(hot, ["k"], 10, None).collect()] == [1]
+    plan = C.spread_join(hot, dim, ["k"], "inner", max_heavy=10, salts=8, fraction=None)
+    assert "__salt" in plan._jdf.queryExecution().toString()
     assert plan.count() == hot.join(dim, "k").count()
-    assert [x.k for x in C.heavy_keys(hot, ["k"], 10).collect()] == [1]
+
+
+def test_spread_join_is_plain_without_hot_keys(hot, dim):
+    plan = C.spread_join(hot.where("k > 1"), dim, ["k"], "inner", max_heavy=10, salts=8, fraction=None)
+    assert "__salt" not in plan._jdf.queryExecution().toString()
+
+
+def test_a_sample_shows_the_hot_key(hot):
+    many = hot.crossJoin(hot.sparkSession.range(20)).select("k")
+    assert [x.k for x in C.heavy_keys(many, ["k"], 10).collect()] == [1]
 
 
 def test_spread_join_repeated_right_and_condition(hot, spark):
     right = spark.createDataFrame([(1, 10.0), (1, 100.0), (5, 50.0)], "k long, lim double")
     want = hot.alias("a").join(right.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("v") < F.col("lim")), "left").select("a.k", "id", "v", "lim")
-    got = C.spread_join(hot, right, ["k"], "left", extra=F.col("v") < F.col("lim"), max_heavy=10, salts=4).select("k", "id", "v", "lim")
+    got = C.spread_join(hot, right, ["k"], "left", extra=F.col("v") < F.col("lim"), max_heavy=10, salts=4, fraction=None).select("k", "id", "v", "lim")
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
 
 
 def test_heavy_keys_are_bounded(hot):
-    assert C.heavy_keys(hot, ["k"], 5).count() <= 5
+    assert C.heavy_keys(hot, ["k"], 5, None).count() <= 5
 
 
 @pytest.mark.parametrize("by", [[], ["k"]])
