@@ -56,18 +56,29 @@ def comparable(df: DataFrame, name: str, opt: CompareOptions = DEFAULT) -> Colum
 
 
 def digest(parts: Sequence[Column]) -> Column:
-    """Digest of a list of values; every value carries its length, so no two lists share a text."""
-    pieces = []
-    for p in parts:
-        s = p.cast("string")
-        pieces.append(F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-")))
-    return F.sha2(F.concat_ws("|", *pieces), 256)
+    """128-bit digest of a list of values, taken from the typed values without building a text.
+
+    NULLs take part by position, so values cannot slip from one column into the next."""
+    null_marks = [p.isNull() for p in parts]
+    return F.struct(*[F.xxhash64(F.lit(seed), *parts, *null_marks).alias(f"h{seed}") for seed in (0, 1)])
+
+
+def row_digest(df: DataFrame, other: DataFrame, cols: Sequence[str], options: CompareOptions) -> Column:
+    """Digest of a row as compared with rows of another frame; columns whose types differ between
+    the two are compared as text."""
+    parts = []
+    for c in cols:
+        v = comparable(df, c, options)
+        same = df.schema[c].dataType == other.schema[c].dataType
+        parts.append(v if same and not isinstance(df.schema[c].dataType, T.MapType) else v.cast("string"))
+    return digest(parts)
 
 
 def _tagged(src: DataFrame, dst: DataFrame, build) -> DataFrame:
+    """Both sides in one frame: build(side, other side) with a source and a dest counter."""
     one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    return build(src).select("*", one.alias("__s"), zero.alias("__d")).unionByName(
-        build(dst).select("*", zero.alias("__s"), one.alias("__d")))
+    return build(src, dst).select("*", one.alias("__s"), zero.alias("__d")).unionByName(
+        build(dst, src).select("*", zero.alias("__s"), one.alias("__d")))
 
 
 def _rate(matched: Column, total: Column) -> Column:
@@ -82,7 +93,7 @@ def reconcile_hash(src: DataFrame, dst: DataFrame, columns: Sequence[str] | None
     the numbers of copies are compared too.
     """
     cols = list(columns or shared_columns(src, dst))
-    rows = _tagged(src, dst, lambda df: df.select(digest([comparable(df, c, options) for c in cols]).alias("__h")))
+    rows = _tagged(src, dst, lambda df, other: df.select(row_digest(df, other, cols, options).alias("__h")))
     n = rows.groupBy("__h").agg(F.sum("__s").alias("s"), F.sum("__d").alias("d"))
     s, d = F.col("s"), F.col("d")
     if multiset:
@@ -100,8 +111,8 @@ def rows_only_in(src: DataFrame, dst: DataFrame, columns: Sequence[str] | None =
                  options: CompareOptions = DEFAULT) -> DataFrame:
     """Whole rows of the first frame with no equal row in the second."""
     cols = list(columns or shared_columns(src, dst))
-    left = src.withColumn("__h", digest([comparable(src, c, options) for c in cols]))
-    right = dst.select(digest([comparable(dst, c, options) for c in cols]).alias("__h")).distinct()
+    left = src.withColumn("__h", row_digest(src, dst, cols, options))
+    right = dst.select(row_digest(dst, src, cols, options).alias("__h")).distinct()
     return spread_join(left, right, ["__h"], "left_anti").select(*src.columns)
 
 
@@ -120,9 +131,8 @@ def key_counts(src: DataFrame, dst: DataFrame, keys: Sequence[str], columns: Seq
     A key with a NULL part matches nothing unless ``null_safe``.
     """
     cols = [c for c in (columns or shared_columns(src, dst)) if c not in keys]
-    rows = _tagged(src, dst, lambda df: df.select(
-        *[comparable(df, k, options).alias(k) for k in keys],
-        digest([comparable(df, c, options) for c in cols]).alias("__h")))
+    rows = _tagged(src, dst, lambda df, other: df.select(
+        *[comparable(df, k, options).alias(k) for k in keys], row_digest(df, other, cols, options).alias("__h")))
     per_value = rows.groupBy(*keys, "__h").agg(F.sum("__s").alias("s"), F.sum("__d").alias("d"))
     per_key = per_value.groupBy(*keys).agg(
         F.sum("s").alias("n_source"), F.sum("d").alias("n_dest"), F.sum(F.col("s") * F.col("d")).alias("__same"))
@@ -160,7 +170,7 @@ def key_status(src: DataFrame, dst: DataFrame, keys: Sequence[str], columns: Seq
 
 def paired_images(src: DataFrame, dst: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Per key: row counts n_source / n_dest and one image of each side (structs s and d)."""
-    def build(df):
+    def build(df, _other):
         return df.select(*keys, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__img"))
 
     rows = _tagged(src, dst, build)
@@ -248,7 +258,7 @@ def table_preview(src: DataFrame, dst: DataFrame) -> DataFrame:
         st = ("match" if a.get(name) == b.get(name) else "type_mismatch") if name in a and name in b else (
             "source_only" if name in a else "dest_only")
         rows.append(F.struct(F.lit(name).alias("column_name"), F.lit(st).alias("status")))
-    counts = _tagged(src, dst, lambda df: df.select()).agg(
+    counts = _tagged(src, dst, lambda df, _other: df.select()).agg(
         F.sum("__s").alias("source_count"), F.sum("__d").alias("dest_count"))
     return counts.select(F.explode(F.array(*rows)).alias("r"), "source_count", "dest_count").select(
         "r.*", "source_count", "dest_count")

@@ -152,6 +152,18 @@ def test_digest_keeps_column_borders(spark):
     a = spark.createDataFrame([("a|b", "c"), (None, "-")], "x string, y string")
     b = spark.createDataFrame([("a", "b|c"), ("-", "-")], "x string, y string")
     assert reconcile_hash(a, b).first().missing_in_dest == 2
+    c = spark.createDataFrame([(None, "x"), ("x", None)], "x string, y string")
+    assert reconcile_hash(c.limit(1), c.offset(1)).first().missing_in_dest == 1
+
+
+def test_columns_of_different_types_compare_as_text(spark):
+    from tallyframe.operators.reconcile import reconcile_hash, reconcile_keyed, rows_only_in
+
+    a = spark.createDataFrame([(1, 5), (2, 6)], "k int, v int")
+    b = spark.createDataFrame([(1, "5"), (2, "7")], "k int, v string")
+    assert reconcile_hash(a, b).first().missing_in_dest == 1
+    assert reconcile_keyed(a, b, ["k"]).first().modified_rows == 1
+    assert [x.k for x in rows_only_in(a, b).collect()] == [2]
 
 
 def test_evolve(spark):
