@@ -48,10 +48,12 @@ def mark_foreign_key(df: DataFrame, column: str, ref: DataFrame, ref_column: str
 
 def mark_outliers(df: DataFrame, column: str, flag: str, threshold: float = 3.0) -> DataFrame:
     """Flag values further from the median than threshold times the median absolute deviation."""
-    med = exact_percentiles(df, column, [0.5]).select("value").scalar()
-    dev = df.select(F.abs(F.col(column) - med).alias("dev"))
-    mad = exact_percentiles(dev, "dev", [0.5]).select("value").scalar()
-    return df.withColumn(flag, F.coalesce(F.abs(F.col(column) - med) > mad * threshold, F.lit(False)))
+    v = F.col(column)
+    med = exact_percentiles(df, column, [0.5]).first()  # one number, as is the deviation
+    mad = exact_percentiles(df.select(F.abs(v - med["value"]).alias("dev")), "dev", [0.5]).first() if med else None
+    if mad is None:
+        return df.withColumn(flag, F.lit(False))
+    return df.withColumn(flag, F.coalesce(F.abs(v - med["value"]) > mad["value"] * threshold, F.lit(False)))
 
 
 # ---- dataset checks with a result of their own ----

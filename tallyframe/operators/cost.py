@@ -63,11 +63,11 @@ def idle_cost(hourly: DataFrame, queries: DataFrame, resource: str, at: str) ->
 def job_cost(usage: DataFrame, prices: DataFrame, job: Sequence[str], name: str, sku: str, at: str, quantity: str, top: int = 200) -> DataFrame:
     """Cost per job: days active, quantity, cost, first and last day, first known name; costliest first."""
     day = F.date_trunc("day", F.col(at)).cast("timestamp_ntz")
-    daily = usage.groupBy(day.alias("usage_day"), *job, sku).agg(exact_sum(quantity).alias("q"), F.min_by(name, F.when(F.col(name).isNotNull(), F.col(at))).alias("name"))
+    named_at = F.when(F.col(name).isNotNull(), F.col(at))
+    daily = usage.groupBy(day.alias("usage_day"), *job, sku).agg(exact_sum(quantity).alias("q"), F.min_by(name, named_at).alias("name"), F.min(named_at).alias("named_at"))
     j = interval_join(daily, prices, [sku], "usage_day", "price_start", "price_end")
-    named = F.when(F.col("name").isNotNull(), F.col("usage_day"))
     out = j.groupBy(*job).agg(
-        F.min_by("name", named).alias("job_name"), F.count_distinct("usage_day").alias("active_days"), exact_sum("q").alias("quantity"),
+        F.min_by("name", "named_at").alias("job_name"), F.count_distinct("usage_day").alias("active_days"), exact_sum("q").alias("quantity"),
         exact_sum(F.col("q") * F.coalesce("price", F.lit(0.0))).alias("cost"), F.min("usage_day").alias("first_run"), F.max("usage_day").alias("last_run"))
     return out.orderBy(F.desc("cost"), *job).limit(top)
 

@@ -180,10 +180,7 @@ SELECT run_as, warehouse, arg_min(event_type, ts) FILTER (WHERE value > 40) AS j
 FROM c GROUP BY 1, 2 ORDER BY cost DESC, run_as, warehouse LIMIT 200""")
 def _(t):
     u = usage(t).withColumn("nm", F.when(F.col("value") > 40, F.col("event_type")))
-    day = F.min_by("nm", F.when(F.col("nm").isNotNull(), F.col("ts")))
-    out = fo.job_cost(u, prices(t), ["run_as", "warehouse"], "nm", "event_type", "ts", "value")
-    first = u.groupBy("run_as", "warehouse").agg(day.alias("job_name"))
-    return out.drop("job_name").join(first, ["run_as", "warehouse"])
+    return fo.job_cost(u, prices(t), ["run_as", "warehouse"], "nm", "event_type", "ts", "value")
 
 
 PERF = """SELECT {by} count(*) AS query_count, round(avg(ms)) AS avg_duration_ms, CAST(sum(event_id) AS BIGINT) AS total_read_bytes, round(count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*), 2) AS failure_pct,

@@ -138,3 +138,9 @@ def test_unique_and_foreign_key_flags(hot, dim):
     f = cs.mark_foreign_key(hot, "k", dim, "k", "bad")
     assert f.count() == hot.count()
     assert f.where("bad").count() == hot.where("k IS NOT NULL").join(dim, "k", "left_anti").count()
+
+
+def test_outliers_by_median_deviation(spark):
+    df = spark.createDataFrame([(float(i % 7),) for i in range(200)] + [(500.0,), (-500.0,), (None,)], "v double")
+    assert sorted(x.v for x in cs.mark_outliers(df, "v", "bad").where("bad").collect()) == [-500.0, 500.0]
+    assert cs.mark_outliers(df.where("v IS NULL"), "v", "bad").where("bad").count() == 0
