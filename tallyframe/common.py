@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -18,12 +19,21 @@ SPREAD_FROM = 1_000_000
 SAMPLE, MIN_SEEN = 0.01, 10
 
 
+_local_scratch: str | None = None
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and cut tables; the cluster names it in spark.checkpoint.dir."""
+    """Shared folder for cut tables, named by the cluster in spark.checkpoint.dir. A local session
+    without the setting gets a temporary folder; a cluster must name one."""
+    global _local_scratch
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors can reach")
-    return base.rstrip("/")
+    if _local_scratch is None:
+        _local_scratch = tempfile.mkdtemp(prefix="tallyframe-")
+    return _local_scratch
 
 
 def new_scratch_path(spark: SparkSession, label: str) -> str:

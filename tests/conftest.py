@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -15,8 +14,6 @@ def spark():
     s = (SparkSession.builder.master("local[4]").appName("tallyframe-tests").config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "4")
          .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate())
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tallyframe-test-"))
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

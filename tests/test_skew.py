@@ -46,7 +46,7 @@ def test_spread_join_is_plain_without_hot_keys(hot, dim):
 
 
 def test_a_sample_shows_the_hot_key(hot):
-    many = hot.crossJoin(hot.sparkSession.range(20)).select("k")
+    many = hot.select("k", F.explode(F.sequence(F.lit(1), F.lit(20)))).select("k")
     assert [x.k for x in C.heavy_keys(many, ["k"], 10).collect()] == [1]
 
 
@@ -57,6 +57,11 @@ def test_spread_join_repeated_right_and_condition(hot, spark):
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
 
 
+def test_scratch_folder(spark):
+    base = C.scratch_dir(spark)
+    assert base == (spark.conf.get("spark.checkpoint.dir", None) or base) and C.new_scratch_path(spark, "x") != C.new_scratch_path(spark, "x")
+
+
 def test_heavy_keys_are_bounded(hot):
     assert C.heavy_keys(hot, ["k"], 5, None).count() <= 5
 
