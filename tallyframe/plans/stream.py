@@ -16,12 +16,15 @@ def table_stream(t, name):
 
 
 def utc(df, column):
-    """Stream windows need a timestamp; the tables hold zone-free times, kept as they read."""
-    return df.withColumn(column, F.col(column).cast("timestamp"))
+    """Stream windows need a timestamp; the zone-free times of the tables are read as UTC, so that
+    day windows do not depend on the zone of the session."""
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return df.withColumn(column, F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, column)))
 
 
 def zone_free(column):
-    return F.col(column).cast("timestamp_ntz")
+    """The UTC reading of a timestamp (whole seconds)."""
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.unix_seconds(F.col(column)))
 
 
 EVENT_CHECKS = [Check("value_range", "is_in_range", {"column": "value", "min_limit": 1, "max_limit": 150}),
