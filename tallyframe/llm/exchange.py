@@ -5,7 +5,7 @@ bucketed by piece number. Finding what repeats between pieces takes two exchange
 
 * ``suspects``: each piece sends the sorted cells of its item hashes, Rice-coded (about 2 bits more
   than the entropy of a gap), to the shard that owns that range of cells. A shard merges what all
-  pieces sent into its sketch and answers every piece with one bit per cell sent. The sketch is
+  pieces sent into its sketch and answers every piece with a bit (or a few) per cell sent. The sketch is
   thus spread over the shards: a task holds the cells of about ``SHARD_ITEMS`` items, whatever the
   corpus, and nothing is broadcast. A cell sent by only one piece can't hold an item of two pieces, so no
   repeat is lost; cells shared by chance are settled by the exact exchange.
@@ -156,17 +156,21 @@ class Layers:
 
     def suspected(self, hashes: np.ndarray, answers: dict) -> np.ndarray:
         """Whether each item was seen in two pieces, as far as the answers tell: never wrongly no."""
-        found = np.ones(len(hashes), bool)
+        return self.flags(hashes, answers, 1)[0]
+
+    def flags(self, hashes: np.ndarray, answers: dict, planes: int) -> np.ndarray:
+        """The flags that ``merge`` gave to each item's cells; of several layers, those set in all."""
+        found = np.ones((planes, len(hashes)), bool)
         for layer in range(self.layers):
             cells, back = np.unique(self.cells(hashes, layer), return_inverse=True)
-            flags = np.zeros(len(cells), bool)
+            flags = np.zeros((planes, len(cells)), bool)
             shards, begin = np.unique(cells >> self.shard_bits, return_index=True)
             for s, a, b in zip(shards.tolist(), begin.tolist(), [*begin[1:].tolist(), len(cells)]):
                 n, bits = answers[layer, s]
                 if n != b - a:
                     raise RuntimeError("an answer doesn't fit its piece")
-                flags[a:b] = unpack_flags(bits, n)
-            found &= flags[back]
+                flags[:, a:b] = unpack_flags(bits, planes * n).reshape(planes, n)
+            found &= flags[:, back]
         return found
 
 
@@ -181,7 +185,7 @@ def _batch(rows: list[tuple], types: list) -> pa.RecordBatch:
 
 def suspects(pieces: DataFrame, layers: Layers, items: Callable, merge: Callable) -> DataFrame:
     """Answers for ``items(table)``, the distinct item hashes of each piece. ``merge(cells of each
-    piece, bits)`` gets the cells within the shard and returns the flags of each."""
+    piece, bits)`` gets the cells within the shard and returns the flags of each, one or more planes."""
     sent = each_piece(pieces, lambda piece, table: layers.rows(piece, items(table)), CELLS_SCHEMA)
     bits = layers.shard_bits
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm import exchange as ex
 from tallyframe.llm.batches import mix, order_ids, with_columns
+from tallyframe.llm.frames import restore, set_aside
 
 STRIPPED = b" \t\n\x0b\x0c\r"
 BITS_PER_LINE, PROBES = 12, 5
@@ -124,6 +125,11 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     return ex.with_answers(pieces, [seen, later], finish, schema)
 
 
+def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with its columns and every text without the lines that ``dedup_lines`` drops."""
+    return restore(dedup_lines(set_aside(docs, text, [doc_id]), doc_id, text), docs.columns, text)
+
+
 def line_digests(docs: DataFrame) -> DataFrame:
     return dedup_lines(docs.select("doc_id", "text")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -7,11 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyframe.llm.ship import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -80,3 +83,122 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyframe.llm.packing import packed_digests
 
     return packed_digests(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+BYTES_SQL = r"""
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+bytes AS (SELECT doc_id, h, length(h) // 2 AS n, unnest(range(length(h) // 2)) AS i FROM docs),
+strings AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN i + 50 <= n THEN substr(h, 2 * i + 1, 100) END AS s FROM bytes),
+firsts AS (SELECT s, min(doc_id) AS first_id FROM strings WHERE s IS NOT NULL GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+again AS (SELECT t.doc_id, t.i, t.b, coalesce(f.first_id < t.doc_id, false) AS again FROM strings t LEFT JOIN firsts f ON f.s = t.s),
+marked AS (SELECT doc_id, i, b, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM again),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM marked),
+kept AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans,
+                string_agg(b, '' ORDER BY i) FILTER (WHERE NOT gone) AS h FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k.n, 0) AS n_bytes, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
+@query("op8_suffix_dedup", BYTES_SQL)
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.suffixes import string_digests
+
+    return string_digests(_table(spark, sf_dir, "documents"))
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i: i + 3], ' ')) END) AS s FROM docs)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+inter AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM inter JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+both AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM docs UNION SELECT r.x, b.y FROM reach r JOIN both b ON b.x = r.y),
+comp AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM docs d JOIN comp c ON c.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
+@query("op3_minhash_near_dedup", NEAR_SQL)
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.decontaminate import benchmark_matches
+
+    return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.perplexity import quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality(docs, carry_text=False).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
+@query("op6_private_data")
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.pii import private_digests
+
+    return private_digests(_table(spark, sf_dir, "documents"))
+
+
+#: Rules of the URL query: fixed values.
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+@query("op4_url_filters")
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.urls import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+CALLS_SQL = r"""
+WITH calls AS (
+  SELECT conv_id, turn, conv_id::VARCHAR || ':' || turn::VARCHAR AS call_id, CASE WHEN role = 'system' THEN 'set_rules' ELSE 'answer' END AS tool, text
+  FROM conversations WHERE role IN ('user', 'system')),
+results AS (SELECT conv_id::VARCHAR || ':' || (turn - 1)::VARCHAR AS call_id, text AS content FROM conversations WHERE role = 'assistant'),
+grouped AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM calls),
+levelled AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS level FROM grouped),
+joined AS (
+  SELECT c.conv_id, coalesce(c.call_id, r.call_id) AS call_id, c.turn, c.level, c.tool, c.text, r.content, c.call_id IS NOT NULL AS has_call,
+         r.call_id IS NOT NULL AS has_result
+  FROM levelled c FULL JOIN results r ON r.call_id = c.call_id)
+SELECT conv_id, call_id, turn, level, row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, turn NULLS FIRST, call_id) - 1 AS position,
+       CASE WHEN NOT has_call THEN 'orphan' WHEN NOT has_result THEN 'no_result'
+            WHEN text IS NULL OR (tool = 'set_rules' AND turn > 1) THEN 'invalid' ELSE 'ok' END AS status,
+       CASE WHEN has_call AND text IS NULL THEN 'missing:n_chars,missing:prompt' WHEN has_call AND tool = 'set_rules' AND turn > 1 THEN 'value:first' ELSE '' END AS errors,
+       '{"arguments":' || CASE WHEN has_call THEN '{"first":' || to_json((turn <= 1)::VARCHAR)::VARCHAR || ',"n_chars":' || coalesce(to_json(length(text)::VARCHAR)::VARCHAR, 'null')
+         || ',"prompt":' || coalesce(to_json(text)::VARCHAR, 'null') || '}' ELSE '{}' END || ',"call_id":' || to_json(call_id)::VARCHAR || ',"result":'
+         || coalesce(to_json(content)::VARCHAR, 'null') || ',"tool":' || coalesce(to_json(tool)::VARCHAR, 'null') || '}' AS json
+FROM joined
+"""
+
+
+@query("op1_chat_formatting", CALLS_SQL)
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.toolcalls import conversation_calls
+
+    return conversation_calls(_table(spark, sf_dir, "conversations"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    ship(spark)
+    return corpus_pipeline.run(spark, sf_dir)
