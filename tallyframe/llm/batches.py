@@ -190,25 +190,34 @@ def code_points(buf: np.ndarray) -> np.ndarray:
 
 def pack_sorted(values: np.ndarray, base: int, span: int) -> tuple[int, bytes, bytes]:
     """Rice code of strictly rising numbers in [base, base + span): gaps split into low bits, kept
-    as they are, and high bits in unary. About 2 bits more than log2 of the mean gap per number."""
+    as they are (eight of them as a byte), and high bits in unary. About 2 bits more than log2 of the
+    mean gap per number."""
     n = len(values)
     gaps = np.diff(values.astype(np.int64), prepend=np.int64(base) - 1) - 1
     low = max(0, int(np.log2(max(1.0, 0.69 * span / n))))
-    unary = np.zeros(int((gaps >> low).sum()) + n, np.uint8)
-    unary[np.cumsum((gaps >> low) + 1) - 1] = 1
-    bits = np.empty((n, low), np.uint8)
-    for j in range(low):
-        bits[:, j] = (gaps >> j) & 1
-    return low, np.packbits(unary).tobytes(), np.packbits(bits).tobytes()
+    high = gaps >> low
+    ends = np.cumsum(high + 1)
+    unary = np.zeros(int(ends[-1]), np.uint8)
+    unary[ends - 1] = 1
+    whole, rest = divmod(low, 8)
+    parts = [(gaps >> 8 * j).astype(np.uint8).tobytes() for j in range(whole)]
+    bits = np.empty((n, rest), np.uint8)
+    for j in range(rest):
+        bits[:, j] = (gaps >> 8 * whole + j) & 1
+    return low, np.packbits(unary).tobytes(), b"".join([*parts, np.packbits(bits).tobytes()])
 
 
 def unpack_sorted(n: int, base: int, low: int, unary: bytes, lows: bytes) -> np.ndarray:
     ones = np.flatnonzero(np.unpackbits(np.frombuffer(unary, np.uint8)))[:n]
     gaps = (np.diff(ones, prepend=-1) - 1).astype(np.int64) << low
-    if low:
-        bits = np.unpackbits(np.frombuffer(lows, np.uint8))[: n * low].reshape(n, low)
-        for j in range(low):
-            gaps |= bits[:, j].astype(np.int64) << j
+    whole, rest = divmod(low, 8)
+    raw = np.frombuffer(lows, np.uint8)
+    for j in range(whole):
+        gaps |= raw[j * n: (j + 1) * n].astype(np.int64) << 8 * j
+    if rest:
+        bits = np.unpackbits(raw[whole * n:])[: n * rest].reshape(n, rest)
+        for j in range(rest):
+            gaps |= bits[:, j].astype(np.int64) << 8 * whole + j
     return np.cumsum(gaps + 1) - 1 + base
 
 

@@ -35,8 +35,8 @@ PIECE_BYTES = 4 << 20
 SHARD_ITEMS = 1 << 21
 
 PIECE_SCHEMA = "piece long, blob binary, n_bytes long"
-CELLS_SCHEMA = "layer int, shard long, piece long, n int, low int, unary binary, lows binary"
-BITS_SCHEMA = "piece long, layer int, shard long, n int, bits binary"
+CELLS_SCHEMA = "shard long, piece long, n int, low int, unary binary, lows binary"
+BITS_SCHEMA = "piece long, shard long, n int, bits binary"
 
 
 def to_blob(table: pa.Table) -> bytes:
@@ -105,12 +105,12 @@ def each_piece(pieces: DataFrame, work: Callable, schema: str) -> DataFrame:
 
 
 def with_answers(pieces: DataFrame, answers: list[DataFrame], work: Callable, schema: str) -> DataFrame:
-    """``work(piece, table, answers)`` for every piece; answers[i] maps (layer, shard) to (n, bits)
+    """``work(piece, table, answers)`` for every piece; answers[i] maps a shard to (n, bits)
     of the i-th exchange. Only the answers are moved."""
     frame = pieces.select("piece", "blob")
     for i, found in enumerate(answers):
         packed = (found.repartition(pieces._buckets, "piece").groupBy("piece")
-                  .agg(F.collect_list(F.struct("layer", "shard", "n", "bits")).alias(f"a{i}")))
+                  .agg(F.collect_list(F.struct("shard", "n", "bits")).alias(f"a{i}")))
         frame = frame.join(packed.hint("shuffle_hash"), "piece", "left")
 
     exchanges = len(answers)
@@ -121,7 +121,7 @@ def with_answers(pieces: DataFrame, answers: list[DataFrame], work: Callable, sc
                 got = []
                 for i in range(exchanges):
                     lists = batch.column(2 + i)
-                    got.append({(x["layer"], x["shard"]): (x["n"], x["bits"]) for x in lists[r].as_py() or ()})
+                    got.append({x["shard"]: (x["n"], x["bits"]) for x in lists[r].as_py() or ()})
                 yield from work(batch.column(0)[r].as_py(), from_blob(batch.column(1)[r].as_buffer()), got)
 
     return frame.mapInArrow(run, schema)
@@ -130,73 +130,71 @@ def with_answers(pieces: DataFrame, answers: list[DataFrame], work: Callable, sc
 # --- suspects -------------------------------------------------------------------------------------
 
 
-class Layers:
-    """How item hashes are laid out in cells and shards for a corpus of about ``items`` items."""
+def distinct(values: np.ndarray) -> np.ndarray:
+    s = np.sort(values)
+    return s[np.append(True, s[1:] != s[:-1])] if len(s) else s
 
-    def __init__(self, items: int, cells_per_item: int, layers: int):
+
+class Cells:
+    """How item hashes are laid out in cells and shards for a corpus of about ``items`` items. A hash's
+    cell is its leading bits, so sorted hashes have sorted cells."""
+
+    def __init__(self, items: int, cells_per_item: int):
         self.bits = min(60, max(16, math.ceil(math.log2(max(1, items) * cells_per_item))))
         self.shard_bits = self.bits - min(self.bits - 8, max(4, math.ceil(math.log2(max(1, items) / SHARD_ITEMS))))
-        self.layers = layers
 
-    def cells(self, hashes: np.ndarray, layer: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            h = hashes * np.uint64(0x9E3779B97F4A7C15 + 2 * layer * 0x61C8864680B583EB & (1 << 64) - 1 | 1)
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _shards(self, cells: np.ndarray) -> list[tuple[int, int, int]]:
+        shards, begin = np.unique(cells >> self.shard_bits, return_index=True)
+        return list(zip(shards.tolist(), begin.tolist(), [*begin[1:].tolist(), len(cells)]))
 
     def rows(self, piece: int, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        out = []
-        for layer in range(self.layers):
-            cells = np.unique(self.cells(hashes, layer))
-            shards, begin = np.unique(cells >> self.shard_bits, return_index=True)
-            for s, a, b in zip(shards.tolist(), begin.tolist(), [*begin[1:].tolist(), len(cells)]):
-                low, unary, lows = pack_sorted(cells[a:b], s << self.shard_bits, 1 << self.shard_bits)
-                out.append((layer, s, piece, b - a, low, unary, lows))
+        cells = distinct(self.of(hashes))
+        out = [(s, piece, b - a, *pack_sorted(cells[a:b], s << self.shard_bits, 1 << self.shard_bits)) for s, a, b in self._shards(cells)]
         if out:
             yield _batch(out, CELLS_TYPES)
 
-    def suspected(self, hashes: np.ndarray, answers: dict) -> np.ndarray:
-        """Whether each item was seen in two pieces, as far as the answers tell: never wrongly no."""
-        return self.flags(hashes, answers, 1)[0]
-
-    def flags(self, hashes: np.ndarray, answers: dict, planes: int) -> np.ndarray:
-        """The flags that ``merge`` gave to each item's cells; of several layers, those set in all."""
-        found = np.ones((planes, len(hashes)), bool)
-        for layer in range(self.layers):
-            cells, back = np.unique(self.cells(hashes, layer), return_inverse=True)
-            flags = np.zeros((planes, len(cells)), bool)
-            shards, begin = np.unique(cells >> self.shard_bits, return_index=True)
-            for s, a, b in zip(shards.tolist(), begin.tolist(), [*begin[1:].tolist(), len(cells)]):
-                n, bits = answers[layer, s]
-                if n != b - a:
-                    raise RuntimeError("an answer doesn't fit its piece")
-                flags[:, a:b] = unpack_flags(bits, planes * n).reshape(planes, n)
-            found &= flags[:, back]
-        return found
-
-
-CELLS_TYPES = [("layer", pa.int32()), ("shard", pa.int64()), ("piece", pa.int64()), ("n", pa.int32()), ("low", pa.int32()),
+    def answers(self, cells: np.ndarray, answers: dict, planes: int = 1) -> np.ndarray:
+        """The flags that ``merge`` gave to a piece's distinct cells, in rising order."""
+        flags = np.zeros((planes, len(cells)), bool)
+        for s, a, b in self._shards(cells):
+            n, bits = answers[s]
+            if n != b - a:
+                raise RuntimeError("an answer doesn't fit its piece")
+            flags[:, a:b] = unpack_flags(bits, planes * n).reshape(planes, n)
+        return flags
+
+    def flags(self, hashes: np.ndarray, answers: dict, planes: int = 1) -> np.ndarray:
+        """The flags of each item's cell."""
+        cells = self.of(hashes)
+        known = distinct(cells)
+        return self.answers(known, answers, planes)[:, np.searchsorted(known, cells)]
+
+
+CELLS_TYPES = [("shard", pa.int64()), ("piece", pa.int64()), ("n", pa.int32()), ("low", pa.int32()),
                ("unary", pa.binary()), ("lows", pa.binary())]
-BITS_TYPES = [("piece", pa.int64()), ("layer", pa.int32()), ("shard", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())]
+BITS_TYPES = [("piece", pa.int64()), ("shard", pa.int64()), ("n", pa.int32()), ("bits", pa.binary())]
 
 
 def _batch(rows: list[tuple], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(types)], names=[n for n, _ in types])
 
 
-def suspects(pieces: DataFrame, layers: Layers, items: Callable, merge: Callable) -> DataFrame:
-    """Answers for ``items(table)``, the distinct item hashes of each piece. ``merge(cells of each
-    piece, bits)`` gets the cells within the shard and returns the flags of each, one or more planes."""
-    sent = each_piece(pieces, lambda piece, table: layers.rows(piece, items(table)), CELLS_SCHEMA)
-    bits = layers.shard_bits
+def suspects(pieces: DataFrame, layout: Cells, items: Callable, merge: Callable) -> DataFrame:
+    """Answers for ``items(table)``, the item hashes of each piece. ``merge`` gets the distinct cells of
+    each piece in a shard and returns the flags of each, one or more planes."""
+    sent = each_piece(pieces, lambda piece, table: layout.rows(piece, items(table)), CELLS_SCHEMA)
 
     def answer(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda x: x["piece"])
         cells = [unpack_sorted(x["n"], 0, x["low"], x["unary"], x["lows"]) for x in rows]
-        flags = merge(cells, bits)
+        flags = merge(cells)
         return pa.Table.from_batches([_batch(
-            [(x["piece"], x["layer"], x["shard"], x["n"], pack_flags(f)) for x, f in zip(rows, flags)], BITS_TYPES)])
+            [(x["piece"], x["shard"], x["n"], pack_flags(f)) for x, f in zip(rows, flags)], BITS_TYPES)])
 
-    return sent.groupBy("layer", "shard").applyInArrow(answer, BITS_SCHEMA)
+    return sent.groupBy("shard").applyInArrow(answer, BITS_SCHEMA)
 
 
 # --- exact ----------------------------------------------------------------------------------------
@@ -237,7 +235,7 @@ def exact_answer(width: int) -> Callable:
         later = np.empty(len(d), bool)
         later[order] = (k != least).any(axis=1)
         ends = np.cumsum(n)
-        return pa.Table.from_batches([_batch([(p, 0, s, m, pack_flags(later[e - m: e])) for p, s, m, e in zip(
+        return pa.Table.from_batches([_batch([(p, s, m, pack_flags(later[e - m: e])) for p, s, m, e in zip(
             table["piece"].to_pylist(), table["shard"].to_pylist(), n, ends.tolist())], BITS_TYPES)])
 
     return answer
@@ -252,7 +250,7 @@ def comes_later(digests: np.ndarray, shards: int, answers: dict) -> np.ndarray:
     order, shard, begin = _deal(digests, shards)
     out = np.zeros(len(order), bool)
     for s, a, b in zip(shard[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)]):
-        n, bits = answers[0, s]
+        n, bits = answers[s]
         out[order[a:b]] = unpack_flags(bits, n)
     return out
 

@@ -57,7 +57,7 @@ def _probes(cells: np.ndarray, size: int) -> np.ndarray:
     return ((h[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(size)).astype(np.int64)
 
 
-def _bloom(cells: list[np.ndarray], bits: int) -> list[np.ndarray]:
+def _bloom(cells: list[np.ndarray]) -> list[np.ndarray]:
     """One filter takes every hash; the second takes those that the first has already. Each piece
     sends a hash once, so what is in the second filter was in two pieces (or collides)."""
     size = max(64, BITS_PER_LINE * sum(map(len, cells)))
@@ -88,8 +88,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     pieces = ex.write_pieces(docs, text)
     read = lambda table: _Lines(table, text, least)
     lines = ex.total(pieces, lambda table: pa.compute.sum(pa.compute.count_substring(table[text], "\n")).as_py() or 0) + 1
-    layers = ex.Layers(lines, 256, 1)
-    seen = ex.suspects(pieces, layers, lambda table: np.unique(read(table).digest[:, 0]), _bloom)
+    layout = ex.Cells(lines, 256)
+    seen = ex.suspects(pieces, layout, lambda table: read(table).digest[:, 0], _bloom)
     shards = ex.exact_shards(lines, 16)
 
     def firsts(table: pa.Table, answers: dict):
@@ -99,7 +99,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
         ids = order_ids(table[doc_id])[found.row] if len(found.row) else np.zeros(0, np.int64)
         least_id = np.full(len(digest), 2**63 - 1, np.int64)
         np.minimum.at(least_id, back, ids)
-        return found, digest, back, ids, least_id, layers.suspected(digest[:, 0], answers)
+        return found, digest, back, ids, least_id, layout.flags(digest[:, 0], answers)[0]
 
     def send(piece, table, answers):
         _, digest, _, _, least_id, sent = firsts(table, answers[0])

@@ -86,9 +86,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BYTES_SQL = r"""
-WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-bytes AS (SELECT doc_id, h, length(h) // 2 AS n, unnest(range(length(h) // 2)) AS i FROM docs),
-strings AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN i + 50 <= n THEN substr(h, 2 * i + 1, 100) END AS s FROM bytes),
+WITH docs AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bs FROM documents),
+bytes AS (SELECT doc_id, len(bs) AS n, generate_subscripts(bs, 1) AS i, unnest(bs) AS b FROM docs),
+strings AS (SELECT doc_id, i, b, CASE WHEN i + 49 <= n THEN string_agg(b, '') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) END AS s FROM bytes),
 firsts AS (SELECT s, min(doc_id) AS first_id FROM strings WHERE s IS NOT NULL GROUP BY s HAVING min(doc_id) <> max(doc_id)),
 again AS (SELECT t.doc_id, t.i, t.b, coalesce(f.first_id < t.doc_id, false) AS again FROM strings t LEFT JOIN firsts f ON f.s = t.s),
 marked AS (SELECT doc_id, i, b, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM again),
@@ -118,8 +118,8 @@ sh AS (
 sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 inter AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (SELECT x, y FROM inter JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
-both AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
-reach AS (SELECT doc_id AS x, doc_id AS y FROM docs UNION SELECT r.x, b.y FROM reach r JOIN both b ON b.x = r.y),
+pairs AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM docs UNION SELECT r.x, b.y FROM reach r JOIN pairs b ON b.x = r.y),
 comp AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM docs d JOIN comp c ON c.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from functools import partial
 
 import numpy as np
 import pytest
@@ -159,23 +160,11 @@ def test_byte_strings(docs, empty, small_pieces, monkeypatch, hot):
     """A low bound sends common grams by single strings."""
     from tallyframe.llm import suffixes
 
-    monkeypatch.setattr(suffixes, "_seen_twice", _hot(hot))
+    monkeypatch.setattr(suffixes, "_seen_twice", partial(suffixes._seen_twice, hot=hot))
     assert as_dict(suffixes.string_digests(docs)) == strings_brute(ROWS)
     assert suffixes.string_digests(empty).collect() == []
 
 
-def _hot(bound):
-    def seen(cells, bits):
-        import numpy as np
-
-        counts = np.zeros(1 << bits, np.uint8)
-        for c in cells:
-            counts[c] += 1
-        return [np.concatenate([counts[c] >= 2, counts[c] >= bound]) for c in cells]
-
-    return seen
-
-
 def test_merge_never_rereads_prefixes():
     from tallyframe.llm.suffixes import _shared, merge_runs
 
