@@ -73,12 +73,17 @@ def luhn(digits: Column) -> Column:
     return total % 10 == 0
 
 
+def _byte(part: Column) -> Column:
+    """Whether a run of digits is at most 255."""
+    digits = F.ltrim(part, F.lit("0"))
+    return F.when(F.length(digits) > 3, False).when(F.length(digits) == 0, True).otherwise(digits.cast("int") <= 255)
+
+
 def _valid(kind: str, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     n = F.length(digits)
     if kind == "ip":
-        return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (
-            F.coalesce(F.when(F.length(F.ltrim(p, F.lit("0"))).between(1, 3), F.ltrim(p, F.lit("0")).cast("int")), F.lit(0)) <= 255))
+        return F.forall(F.split(value, r"\."), _byte)
     if kind == "card":
         return F.when(n.between(16, 19), luhn(digits)).otherwise(F.lit(False))
     if kind == "phone":
@@ -86,6 +91,10 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _filtered(kind: str):
+    return lambda span: _valid(kind, span["value"])
+
+
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without its text, with ``base`` and ``candidates``: spans by kind, then start."""
     keep = [c for c in docs.columns if c != text]
@@ -95,7 +104,7 @@ def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     frame = frame.select(*[F.col(f"`{c}`") for c in keep], *[f"__m_{k}" for k in patterns], *[
         F.when(F.size(f"__m_{k}") > 0, _spans(F.col("__t"), k, p)[1]).alias(f"__g_{k}") for k, p in patterns.items()])
     placed = {k: _placed(KINDS.index(k), f"__m_{k}", f"__g_{k}") for k in patterns}
-    base = F.concat(*[F.filter(placed[k], lambda s, k=k: _valid(k, s["value"])) for k in BASE])
+    base = F.concat(*[F.filter(placed[k], _filtered(k)) for k in BASE])
     frame = frame.select(*[F.col(f"`{c}`") for c in keep], base.alias("base"), F.concat(*[placed[k] for k in EXTRA]).alias("__extra"))
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     return frame.withColumn("candidates", F.filter("__extra", free)).drop("__extra")

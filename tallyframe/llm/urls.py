@@ -110,9 +110,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "u
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="__features")
         chosen = full.where("action IS NOT NULL").select("__url", label.alias("__label"), *FEATURES).orderBy(F.xxhash64("__url"), "__url").limit(sample)
         train = cut_lineage(vectors.transform(chosen).select("__label", "__features"), "training")
-        trees = GBTClassifier(labelCol="__label", featuresCol="__features", predictionCol="__guess", probabilityCol="__chances", rawPredictionCol="__raw",
-                              maxIter=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False).fit(train)
-        full = trees.transform(vectors.transform(full))
+        trees = GBTClassifier(labelCol="__label", featuresCol="__features", predictionCol="__guess", maxIter=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False).fit(train)
+        full = trees.setProbabilityCol("__chances").setRawPredictionCol("__raw").transform(vectors.transform(full))
         probability = F.round(vector_to_array("__chances")[1], 6)
     elif whole["labelled"]:
         probability = F.lit(float(whole["blocked"] > 0))
