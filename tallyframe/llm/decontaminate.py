@@ -16,7 +16,7 @@ from tallyframe.llm.batches import U64, Words, blocks, buffer, mix
 MASKS = ("11111111", "110110110011", "111010011101", "1100111001011")
 #: Words of the benchmark that one pass over the documents holds.
 BLOCK_WORDS = 400_000
-MIN_WORDS, MIN_SHARE = 10, 0.8
+MIN_WORDS, MIN_SHARE = 10, 0.7
 _FILTER_BITS = 22
 
 MATCHES = "doc_id long, item_id long, n_matched long, first_word long, last_word long, identity double"
