@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -10,10 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A key is "heavy" when it holds more than 1/MAX_HEAVY of all rows, so at most MAX_HEAVY keys
-# can be heavy and the frame listing them always fits a broadcast.
-MAX_HEAVY = 1000
-SALTS = 64
+# A key is "heavy" when it holds more than a given share of the rows: by default that of half a shuffle
+# partition, and never less than 1/MOST_HEAVY. At most so many keys can be heavy, and the frame
+# that lists them always fits a broadcast.
+MOST_HEAVY = 100_000
 SPREAD_FROM = 1_000_000
 # Share of the left rows counted to find heavy keys, and the least count that shows one.
 SAMPLE, MIN_SEEN = 0.01, 10
@@ -47,15 +48,27 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], max_heavy: int = MAX_HEAVY, fraction: float | None = SAMPLE) -> DataFrame:
-    """Keys (NULL included) that hold more than 1/max_heavy of the rows of a sample: at most
-    max_heavy rows. A key seen fewer than MIN_SEEN times does not count."""
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str], max_heavy: int | None = None, fraction: float | None = SAMPLE) -> DataFrame:
+    """Keys (NULL included) that hold more than 1/max_heavy of the rows of a sample, with their share:
+    at most max_heavy rows. A key seen fewer than MIN_SEEN times does not count."""
+    max_heavy = max_heavy or min(MOST_HEAVY, max(16, 2 * shuffle_partitions(df.sparkSession)))
     rows = df.select(*keys)
     if fraction:
         rows = rows.sample(fraction=fraction, seed=42)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n").alias("n")).scalar()
-    return counts.where((F.col("__n") >= MIN_SEEN) & (F.col("__n") * F.lit(max_heavy) > total)).select(*keys)
+    return counts.where((F.col("__n") >= MIN_SEEN) & (F.col("__n") * F.lit(max_heavy) > total)).select(
+        *keys, (F.col("__n") / total).alias("share"))
+
+
+def planned_small(df: DataFrame) -> bool:
+    """Whether the planner's size of a frame is below the limit up to which Spark broadcasts."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
 
 def spread_join(
@@ -67,16 +80,18 @@ def spread_join(
     hot_from: DataFrame | None = None,
     known_rows: int | None = None,
     no_broadcast: bool = False,
-    max_heavy: int = MAX_HEAVY,
-    salts: int = SALTS,
+    max_heavy: int | None = None,
+    salts: int | None = None,
     fraction: float | None = SAMPLE,
 ) -> DataFrame:
     """Equi-join whose left side may have hot keys.
 
-    A sample of the left keys is counted first, and the heavy keys (at most max_heavy) come to the
-    driver. Without any, the join is a plain one. Else left rows of a heavy key are dealt over
-    ``salts`` sub-keys and the matching right rows are repeated once per sub-key; all other keys
-    are joined as usual. Which keys are found only decides how the work is spread, never the rows.
+    A right side that the planner knows to be small is joined as it is: Spark broadcasts it. Else a
+    sample of the left keys is counted first, and the heavy keys (at most max_heavy) come to the
+    driver. Without any, the join is a plain one. Else left rows of a heavy key are dealt over sub-keys,
+    as many as shuffle partitions its share would fill twice (or ``salts``), and the matching right rows
+    are repeated once per sub-key; all other keys are joined as usual. Which keys are found only
+    decides how the work is spread, never the rows.
 
     ``how`` is inner, left, left_semi or left_anti; ``extra`` is a further join condition on
     non-key columns. The keys are sampled from ``hot_from`` (the left side by default): name a
@@ -94,12 +109,16 @@ def spread_join(
     right_keys = [f"__r_{k}" for k in keys]
     source = hot_from if hot_from is not None else left
     small = known_rows is not None and known_rows < SPREAD_FROM
+    # With the number of salts given, the caller asks for a spread join.
+    small = small or (salts is None and not no_broadcast and planned_small(right))
     found = [] if small else heavy_keys(source, keys, max_heavy, fraction).collect()
     if not found:
         return left.join(renamed.hint("merge") if no_broadcast else renamed, cond, how).drop(*right_keys)
 
-    schema = T.StructType([T.StructField(f"__h_{k}", source.schema[k].dataType) for k in keys])
-    hot = F.broadcast(left.sparkSession.createDataFrame([tuple(r) for r in found], schema).withColumn("__hot", F.lit(True)))
+    partitions = shuffle_partitions(left.sparkSession)
+    rows = [(*tuple(r)[:-1], salts or max(2, math.ceil(2 * r["share"] * partitions))) for r in found]
+    schema = T.StructType([*[T.StructField(f"__h_{k}", source.schema[k].dataType) for k in keys], T.StructField("__hot", T.IntegerType())])
+    hot = F.broadcast(left.sparkSession.createDataFrame(rows, schema))
 
     def flagged(df: DataFrame, prefix: str = "") -> DataFrame:
         same = F.lit(True)
@@ -109,12 +128,12 @@ def spread_join(
 
     hashable = [F.col(f"`{f.name}`") for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
     # Equal rows hash alike, so the input partition takes part in the salt.
-    row_salt = F.pmod(F.xxhash64(F.spark_partition_id(), *hashable), F.lit(salts)).cast("int")
-    dealt = flagged(left.withColumn("__row_salt", row_salt)).withColumn(
-        "__salt", F.when(F.col("__hot"), F.col("__row_salt")).otherwise(F.lit(0))).drop("__hot", "__row_salt")
-    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
+    row_hash = F.xxhash64(F.spark_partition_id(), *hashable)
+    dealt = flagged(left.withColumn("__row_hash", row_hash)).withColumn(
+        "__salt", F.coalesce(F.pmod("__row_hash", F.col("__hot").cast("long")).cast("int"), F.lit(0))).drop("__hot", "__row_hash")
+    all_salts = F.sequence(F.lit(0), F.col("__hot") - 1)
     repeated = flagged(renamed, "__r_").withColumn(
-        "__r_salt", F.explode(F.when(F.col("__hot"), all_salts).otherwise(F.array(F.lit(0))))).drop("__hot")
+        "__r_salt", F.explode(F.when(F.col("__hot").isNotNull(), all_salts).otherwise(F.array(F.lit(0))))).drop("__hot")
     if no_broadcast:
         repeated = repeated.hint("merge")
     return dealt.join(repeated, cond & (F.col("__salt") == F.col("__r_salt")), how).drop("__salt", "__r_salt", *right_keys)
@@ -163,16 +182,17 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact linear-interpolation percentiles per group, without holding a group in one task.
 
-    Values are counted first (map-side), then placed in value buckets cut at approximate
-    quantiles, so that the running count of a group is taken bucket by bucket: one small window
-    over the bucket totals gives each bucket its offset, and one window per (group, bucket) ranks
-    the distinct values of the few buckets that hold a wanted rank. The number of buckets grows
-    with the rows. Returns ``by`` + ``prob`` + ``value``.
+    Values are counted first (map-side) and the counts written; all else reads these. Distinct values are
+    placed in buckets cut at approximate quantiles, so that the running count of a group is taken
+    bucket by bucket: one small window over the bucket totals gives each bucket its offset, and one
+    window per (group, bucket) ranks the distinct values of the few buckets that hold a wanted rank.
+    The number of buckets grows with the distinct values. Values are doubles, as is the result.
+    Returns ``by`` + ``prob`` + ``value``.
     """
     by = list(by)
     vals = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
-    counted = vals.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    counted = quantile_buckets(counted, vals, "__v", "__b")
+    counted = cut_lineage(vals.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n")), "counts")
+    counted = quantile_buckets(counted, counted, "__v", "__b")
     totals = counted.groupBy(*by, "__b").agg(F.sum("__n").alias("__bn"))
     g = [F.col(c) for c in by] or [F.lit(1)]
     wb = Window.partitionBy(*g).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)

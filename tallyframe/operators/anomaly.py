@@ -60,14 +60,12 @@ def list_anomalies(scored: DataFrame, at: str, severities: Sequence[str] = ("cri
     return scored.where(F.col("severity").isin(list(severities))).orderBy(rank, F.col(at).desc())
 
 
-def collect_metrics(df: DataFrame, table: str, columns: Sequence[str], max_columns: int = 30) -> DataFrame:
-    """row_count, null_rate and distinct_rows of a table as metric rows.
-
-    The null rate looks at the first ``max_columns`` columns, as a metric of fixed cost."""
+def collect_metrics(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
+    """row_count, null_rate and distinct_rows of a table as metric rows; the null rate is the mean over all columns."""
     from tallyframe.common import union_all
     from tallyframe.operators.relational import distinct_rows, mean_null_rate
 
-    cols = list(columns)[:max_columns]
+    cols = list(columns)
     base = df.agg(F.count(F.lit(1)).cast("double").alias("row_count"), mean_null_rate(df, cols).alias("null_rate"))
     dist = distinct_rows(df.select(*columns), columns).select(F.col("distinct_rows").cast("double").alias("value"))
     return union_all([

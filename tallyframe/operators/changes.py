@@ -19,12 +19,25 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str]) ->
     return kept.unionByName(live.select(*target.columns))
 
 
-def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], delete_missing: bool = False) -> DataFrame:
+def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], delete_missing: bool = False, order: str | None = None) -> DataFrame:
     """Upsert: matched target rows take the source values, unmatched source rows are added, and
-    unmatched target rows stay unless ``delete_missing``. Source keys must be unique."""
+    unmatched target rows stay unless ``delete_missing``.
+
+    A key repeated in the source is an error when the merge runs, unless ``order`` names a column of
+    the source: then the last image by it counts. Keys with a NULL part match nothing."""
     cols = target.columns
     rest = [c for c in cols if c not in keys]
-    src = source.select(*keys, F.struct(*rest, F.lit(True).alias("__hit")).alias("__src"))
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(f"`{k}`").isNull()
+    image = F.struct(*rest, F.lit(True).alias("__hit"))
+    found = source.where(~null).groupBy(*keys)
+    if order:
+        src = found.agg(F.max_by(image, F.col(order)).alias("__src"))
+    else:
+        src = found.agg(F.first(image).alias("__src"), F.count(F.lit(1)).alias("__n")).select(
+            *keys, F.when(F.col("__n") > 1, F.raise_error("a key is repeated in the source of a merge")).otherwise(F.col("__src")).alias("__src"))
+    source = src.select(*keys, "__src.*").drop("__hit").unionByName(source.where(null).select(*keys, *rest))
     how = "inner" if delete_missing else "left"
     hit = F.col("__src.__hit")
     updated = spread_join(target, src, keys, how).select(
@@ -34,24 +47,29 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], delete_miss
 
 
 def repair_plan(source: DataFrame, dest: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """What has to happen to dest so that it equals source: one row per key with an action
-    (insert, update, delete, or ambiguous when a key is repeated) and the new image."""
-    from tallyframe.operators.reconcile import paired_images
+    """What has to happen to dest so that it equals source.
+
+    Keys with at most one row on each side give one row with an action (insert, update, delete) and
+    the new image. Keys repeated on a side give a row per image whose numbers of copies differ: insert,
+    or delete_copies with the image to remove, and how many ``copies``."""
+    from tallyframe.operators.reconcile import paired_images, repeated_key_changes
 
     cols = [c for c in source.columns if c not in keys]
-    p = paired_images(source, dest, keys, cols)
+    p = paired_images(source, dest, keys, cols).where("n_source <= 1 AND n_dest <= 1")
     action = (F.when(F.col("n_dest") == 0, "insert").when(F.col("n_source") == 0, "delete")
-              .when((F.col("n_source") > 1) | (F.col("n_dest") > 1), "ambiguous")
               .when(~F.col("s").eqNullSafe(F.col("d")), "update"))
-    return p.withColumn("action", action).where("action IS NOT NULL").select(*keys, "action", "s.*")
+    single = p.withColumn("action", action).where("action IS NOT NULL").select(*keys, "action", "s.*", F.lit(1).cast("long").alias("copies"))
+    return single.unionByName(repeated_key_changes(source, dest, keys))
 
 
 def repair_frames(source: DataFrame, dest: DataFrame, keys: Sequence[str] | None) -> dict[str, DataFrame]:
-    """Repair as frames: insert, delete, update; without keys the whole source replaces dest."""
+    """Repair as frames: insert (each copy a row), delete, update, delete_copies; without keys the whole source replaces dest."""
     if not keys:
         return {"full_replace": source}
     plan = repair_plan(source, dest, keys)
-    return {a: plan.where(F.col("action") == a).drop("action") for a in ("insert", "delete", "update", "ambiguous")}
+    frames = {a: plan.where(F.col("action") == a).drop("action") for a in ("insert", "delete", "update", "delete_copies")}
+    frames["insert"] = frames["insert"].withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return {a: f if a == "delete_copies" else f.drop("copies") for a, f in frames.items()}
 
 
 def sync_or_replace(target: DataFrame, source: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -92,18 +110,19 @@ def scd2(versions: DataFrame, keys: Sequence[str], changed_at: str, end: str = "
 
     The next start is looked up within ranges of time that hold about equally many rows, so a key
     with very many versions is sorted in pieces; the last version of a piece takes the first start
-    of the key's next piece."""
+    of the key's next piece. NULL is a key like any other."""
     from pyspark.sql import Window
 
     from tallyframe.common import quantile_buckets
 
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     timed = versions.withColumn("__t", F.timestamp_diff("SECOND", epoch, F.col(changed_at).cast("timestamp_ntz")).cast("double"))
-    cut = quantile_buckets(timed, timed, "__t", "__piece").drop("__t")
-    firsts = cut.groupBy(*keys, "__piece").agg(F.min(changed_at).alias("__first"))
-    after = firsts.select(*keys, "__piece", F.lead("__first").over(Window.partitionBy(*keys).orderBy("__piece")).alias("__after"))
-    inside = cut.withColumn("__next", F.lead(changed_at).over(Window.partitionBy(*keys, "__piece").orderBy(changed_at)))
-    j = spread_join(inside, after, [*keys, "__piece"], "left")
+    # As fields of a struct, NULL keys are equal.
+    cut = quantile_buckets(timed, timed, "__t", "__piece").drop("__t").withColumn("__key", F.struct(*keys))
+    firsts = cut.groupBy("__key", "__piece").agg(F.min(changed_at).alias("__first"))
+    after = firsts.select("__key", "__piece", F.lead("__first").over(Window.partitionBy("__key").orderBy("__piece")).alias("__after"))
+    inside = cut.withColumn("__next", F.lead(changed_at).over(Window.partitionBy("__key", "__piece").orderBy(changed_at)))
+    j = spread_join(inside, after, ["__key", "__piece"], "left", hot_from=cut)
     nxt = F.coalesce("__next", "__after")
     return j.select(
         *[c for c in versions.columns if c != changed_at], F.col(changed_at).alias("valid_from"),

@@ -25,9 +25,15 @@ def md5_sum(columns: Sequence[Column]) -> Column:
     return F.md5(F.sum(word).cast("decimal(38,0)").cast("string"))
 
 
-def xor_checksum(columns: Sequence[Column]) -> list[Column]:
-    """XOR of row hashes. Copies cancel in pairs, so the row count and a wide sum go with it."""
-    h = F.xxhash64(F.struct(*columns).cast("string"))
+def md5_word(columns: Sequence[Column]) -> Column:
+    """The leading 60 bits of a row's md5 as a whole number."""
+    return F.conv(F.substring(F.md5(_row_text(columns)), 1, 15), 16, 10).cast("long")
+
+
+def xor_checksum(columns: Sequence[Column], row_hash: Column | None = None) -> list[Column]:
+    """XOR of row hashes, xxhash64 of the row as text unless ``row_hash`` is given. Copies cancel in pairs,
+    so the row count and a wide sum go with it."""
+    h = F.xxhash64(F.struct(*columns).cast("string")) if row_hash is None else row_hash
     return [F.bit_xor(h).alias("xor_hash"), F.sum(h.cast("decimal(20,0)")).alias("sum_hash"),
             F.count(F.lit(1)).alias("row_count")]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.common import as_ts, hours_between, is_numeric, is_temporal, is_text, union_all
 from tallyframe.operators.checkset import Check
+from tallyframe.operators.rules import within
 from tallyframe.operators.schema import COMPATIBLE
 
 # ---- Fixed values: comparison operators, tried in this order ----
@@ -83,9 +84,9 @@ def validate_quality(df: DataFrame, rules: Sequence[Mapping]) -> DataFrame:
         elif r["metric"] == "rowCount":
             # the bounds of all given comparisons are inclusive here, unlike in compare()
             lo = r.get("mustBeGreaterThan", r.get("mustBeGreaterOrEqualTo", 0))
-            hi = r.get("mustBeLessThan", r.get("mustBeLessOrEqualTo", 999_999_999))
+            hi = r.get("mustBeLessThan", r.get("mustBeLessOrEqualTo"))
             lo, hi = r.get("mustBeBetween", (lo, hi))
-            one, ok = df.agg(F.count(F.lit(1)).cast("double").alias("value")), F.col("value").between(lo, hi)
+            one, ok = df.agg(F.count(F.lit(1)).cast("double").alias("value")), within(F.col("value"), lo, hi)
         else:
             continue
         parts.append(one.select(F.lit(r.get("name", f"rule_{i}")).alias("rule"), "value", ok.alias("passed")))

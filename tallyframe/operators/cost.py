@@ -60,8 +60,8 @@ def idle_cost(hourly: DataFrame, queries: DataFrame, resource: str, at: str) ->
                  F.count("active").alias("active_hours"), F.count_if(~on).alias("idle_hours"))
 
 
-def job_cost(usage: DataFrame, prices: DataFrame, job: Sequence[str], name: str, sku: str, at: str, quantity: str, top: int = 200) -> DataFrame:
-    """Cost per job: days active, quantity, cost, first and last day, first known name; costliest first."""
+def job_cost(usage: DataFrame, prices: DataFrame, job: Sequence[str], name: str, sku: str, at: str, quantity: str, top: int | None = None) -> DataFrame:
+    """Cost per job, of the ``top`` costliest if given: days active, quantity, cost, first and last day, first known name; costliest first."""
     day = F.date_trunc("day", F.col(at)).cast("timestamp_ntz")
     named_at = F.when(F.col(name).isNotNull(), F.col(at))
     daily = usage.groupBy(day.alias("usage_day"), *job, sku).agg(exact_sum(quantity).alias("q"), F.min_by(name, named_at).alias("name"), F.min(named_at).alias("named_at"))
@@ -69,7 +69,8 @@ def job_cost(usage: DataFrame, prices: DataFrame, job: Sequence[str], name: str,
     out = j.groupBy(*job).agg(
         F.min_by("name", "named_at").alias("job_name"), F.count_distinct("usage_day").alias("active_days"), exact_sum("q").alias("quantity"),
         exact_sum(F.col("q") * F.coalesce("price", F.lit(0.0))).alias("cost"), F.min("usage_day").alias("first_run"), F.max("usage_day").alias("last_run"))
-    return out.orderBy(F.desc("cost"), *job).limit(top)
+    ordered = out.orderBy(F.desc("cost"), *job)
+    return ordered if top is None else ordered.limit(top)
 
 
 def query_performance(queries: DataFrame, by: Sequence[str], duration: str, bytes_read: str, failed: Column) -> DataFrame:

@@ -42,9 +42,9 @@ def _result(one: DataFrame, metric: str, threshold: float, test) -> DataFrame:
                       test(F.col("v")).alias("passed"))
 
 
-def null_percentages(df: DataFrame, columns: Sequence[str], max_columns: int = 50) -> DataFrame:
-    """NULL share in percent per column; only the first ``max_columns`` columns take part."""
-    cols = list(columns)[:max_columns]
+def null_percentages(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """NULL share in percent per column."""
+    cols = list(columns)
     n = F.greatest(F.count(F.lit(1)), F.lit(1))
     one = df.agg(*[F.round((F.count(F.lit(1)) - F.count(F.col(f"`{c}`"))) / n * 100, 2).alias(f"p{i}") for i, c in enumerate(cols)])
     return unpivot_stats(one, {c: {"null_pct": f"p{i}"} for i, c in enumerate(cols)})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,20 +69,23 @@ def lineage(edges: DataFrame, start: DataFrame, depth: int = 5, at: str | None =
     return reachable(e, start, depth, "upstream").unionByName(reachable(e, start, depth, "downstream"))
 
 
-def topological_levels(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int = 10_000, rewrite_every: int = 8) -> DataFrame:
+def topological_levels(edges: DataFrame, nodes: DataFrame | None = None, max_levels: int | None = None, rewrite_every: int = 8) -> DataFrame:
     """Level of every node (dependencies come first, level 0 depends on nothing); nodes on or
     behind a cycle have no level and are flagged.
 
     Each round writes the nodes whose dependencies all have a level. The edges and nodes still
     open are those the written levels do not name; they are rewritten every few rounds, so that
-    the rounds shrink and the plans stay short."""
+    the rounds shrink and the plans stay short. The rounds end when no node is ready; if ``max_levels``
+    is given and more are needed, an error is raised."""
     known = union_all([edges.select(F.col("src").alias("node")), edges.select(F.col("dst").alias("node"))]
                       + ([nodes.select("node")] if nodes is not None else [])).distinct()
     left = cut_lineage(edges.select("src", "dst").distinct(), "topo")
     open_nodes = cut_lineage(known, "topo")
     n = left.count()
     done, fresh = [], []
-    for level in range(max_levels):
+    for level in count():
+        if level == max_levels:
+            raise RuntimeError(f"nodes are left after {max_levels} levels")
         if fresh:
             named = union_all([f.select("node") for f in fresh])
             now_nodes = open_nodes.join(named, "node", "left_anti")

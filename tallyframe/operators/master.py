@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.common import cut_lineage, spread_join, union_all
+from tallyframe.common import cut_lineage, spread_join
 
 
 def ingest(df: DataFrame, key: str, source: str, trust: float, at: Column) -> DataFrame:
@@ -62,22 +62,38 @@ def split_entities(links: DataFrame, golden: DataFrame, split: DataFrame) -> tup
     return freed, golden.join(s, "entity_id", "left_anti")
 
 
-def hierarchy_paths(nodes: DataFrame, sep: str = "/", max_levels: int = 10_000) -> DataFrame:
-    """Level and path of every node of a forest given by parent pointers (node, parent).
-
-    One join per level, from the roots down; each level is written before the next one. Nodes on
-    a cycle hang on no root and are left out."""
-    n = cut_lineage(nodes.select("node", "parent"), "tree")
-    rows = n.count()
-    level = cut_lineage(n.where("parent IS NULL").select("node", "parent", F.lit(0).alias("level"), F.col("node").cast("string").alias("path")), "tree")
-    done = [level]
-    for depth in range(1, max_levels):
-        up = level.select(F.col("node").alias("parent"), F.col("path").alias("up_path"))
-        level = cut_lineage(spread_join(n, up, ["parent"], known_rows=rows).select("node", "parent", F.lit(depth).alias("level"), F.concat_ws(sep, "up_path", "node").alias("path")), "tree")
-        if level.isEmpty():
-            break
-        done.append(level)
-    return union_all(done)
+def _climb(state: DataFrame, rows: int, more: dict) -> DataFrame:
+    """Replace every pointer ``up`` by that node's own until none is left, or all that are left run in
+    circles. ``more`` says how columns follow; ``lost`` marks nodes that hang on no listed root."""
+    reach = 1
+    while reach <= rows and not state.where("up IS NOT NULL AND NOT lost").isEmpty():
+        above = state.withColumnsRenamed({c: f"__{c}" for c in state.columns})
+        j = spread_join(state.withColumn("__node", F.col("up")), above, ["__node"], "left", known_rows=rows)
+        found = F.col("__lost").isNotNull()
+        state = cut_lineage(j.select(
+            "node", "parent", F.when(found, F.col("__up")).otherwise(F.col("up")).alias("up"),
+            (F.col("lost") | (F.col("up").isNotNull() & ~found) | F.coalesce("__lost", F.lit(False))).alias("lost"),
+            *[F.when(found, how).otherwise(F.col(c)).alias(c) for c, how in more.items()]), "tree")
+        reach *= 2
+    return state
+
+
+def hierarchy_paths(nodes: DataFrame, sep: str = "/") -> DataFrame:
+    """Level and path of every node of a forest given by parent pointers (node, parent), of any depth.
+
+    Every node knows some ancestor and the way from there; a round puts that ancestor's way in front
+    of it, so a tree of n levels takes log2(n) rounds: first without paths, to know the nodes that hang
+    on a root, then with paths for these. Nodes on a cycle and below one have on_cycle and neither level
+    nor path; nodes below a parent that isn't listed have none either."""
+    start = cut_lineage(nodes.select("node", "parent", F.col("parent").alias("up"), F.lit(False).alias("lost")), "tree")
+    rows = start.count()
+    ends = _climb(start, rows, {})
+    rooted = ends.where("up IS NULL AND NOT lost").select("node", "parent", F.col("parent").alias("up"), "lost", F.lit(0).cast("long").alias("level"),
+                                                         F.col("node").cast("string").alias("path"))
+    paths = _climb(cut_lineage(rooted, "tree"), rows, {"level": F.col("level") + F.col("__level") + 1, "path": F.concat_ws(sep, "__path", "path")})
+    none = F.lit(None)
+    rest = ends.where("up IS NOT NULL OR lost").select("node", "parent", none.cast("int").alias("level"), none.cast("string").alias("path"), (~F.col("lost")).alias("on_cycle"))
+    return paths.select("node", "parent", F.col("level").cast("int").alias("level"), "path", F.lit(False).alias("on_cycle")).unionByName(rest)
 
 
 def move_node(nodes: DataFrame, node, new_parent) -> DataFrame:

@@ -96,16 +96,19 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, distinct: str =
         F.round("avg_value", 4).alias("avg_value"), "min_length", "max_length", F.round("avg_length", 4).alias("avg_length"))
 
 
-def top_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10, max_numeric_distinct: int = 30) -> DataFrame:
-    """Most frequent values of text columns and of numeric columns with few distinct values."""
+def top_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10, max_numeric_distinct: int | None = None) -> DataFrame:
+    """Most frequent values of text and numeric columns; if ``max_numeric_distinct`` is given, only of
+    numeric columns with no more distinct values than that."""
     fields = _columns(df, columns)
     counts = value_counts(df, [f.name for f in fields if is_text(f.dataType) or is_numeric(f.dataType)]).where("value IS NOT NULL")
-    numeric = [f.name for f in fields if is_numeric(f.dataType)]
-    few = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("d")).where(
-        ~F.col("column_name").isin(numeric) | (F.col("d") <= max_numeric_distinct)).select("column_name")
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
     best = top_rows(counts, ["column_name"], [F.desc("freq"), F.col("value")], n)
-    return best.join(few, "column_name", "left_semi").withColumn("pct", F.round(F.col("freq") / total * 100, 2))
+    if max_numeric_distinct is not None:
+        numeric = [f.name for f in fields if is_numeric(f.dataType)]
+        few = counts.groupBy("column_name").agg(F.count(F.lit(1)).alias("d")).where(
+            ~F.col("column_name").isin(numeric) | (F.col("d") <= max_numeric_distinct)).select("column_name")
+        best = best.join(few, "column_name", "left_semi")
+    return best.withColumn("pct", F.round(F.col("freq") / total * 100, 2))
 
 
 def histograms(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20) -> DataFrame:
@@ -123,9 +126,10 @@ def histograms(df: DataFrame, columns: Sequence[str] | None = None, bins: int =
             .groupBy("column_name", "bucket").agg(F.count(F.lit(1)).alias("freq"), F.min("v").alias("bucket_min"), F.max("v").alias("bucket_max")))
 
 
-def deep_profile(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 10, bins: int = 20) -> dict[str, DataFrame]:
+def deep_profile(df: DataFrame, columns: Sequence[str] | None = None, top_n: int = 10, bins: int = 20,
+                 max_numeric_distinct: int | None = None) -> dict[str, DataFrame]:
     """Profile, value distribution and histograms of a table or of any query result."""
-    return {"profile": profile(df, columns), "top_values": top_values(df, columns, top_n), "histograms": histograms(df, columns, bins)}
+    return {"profile": profile(df, columns), "top_values": top_values(df, columns, top_n, max_numeric_distinct), "histograms": histograms(df, columns, bins)}
 
 
 def profile_tables(tables: Mapping[str, DataFrame], distinct: str = "exact", high_null_pct: float = 50.0) -> DataFrame:
@@ -134,11 +138,12 @@ def profile_tables(tables: Mapping[str, DataFrame], distinct: str = "exact", hig
     return out.withColumn("high_null", F.col("null_pct") > high_null_pct)
 
 
-def suggest_rules(df: DataFrame, columns: Sequence[str] | None = None, sample_fraction: float = 0.3, max_in_count: int = 10,
+def suggest_rules(df: DataFrame, columns: Sequence[str] | None = None, sample_fraction: float = 1.0, max_in_count: int = 10,
                   max_null_ratio: float = 0.01, remove_outliers: bool = True, sigmas: float = 3.0, seed: int = 42) -> DataFrame:
     """Rules that fit the data: not-null, in-list, range (without outliers) and uniqueness.
 
-    The sample only serves the suggestion; with ``sample_fraction=1`` the whole table is read.
+    The whole table is read. With a smaller ``sample_fraction`` a rule may be suggested that rows
+    outside the sample break.
     """
     src = df if sample_fraction >= 1 else df.sample(fraction=sample_fraction, seed=seed)
     fields = _columns(src, columns)

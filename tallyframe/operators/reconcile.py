@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,7 @@ class CompareOptions:
 
 
 DEFAULT = CompareOptions()
+PAIRS = "decimal(38,0)"
 
 
 def shared_columns(src: DataFrame, dst: DataFrame, include: Sequence[str] | None = None,
@@ -82,7 +83,7 @@ def _tagged(src: DataFrame, dst: DataFrame, build) -> DataFrame:
 
 
 def _rate(matched: Column, total: Column) -> Column:
-    return F.round(matched / F.greatest(total, F.lit(1)) * 100, 2)
+    return F.round(matched.cast("double") / F.greatest(total, F.lit(1)) * 100, 2)
 
 
 def reconcile_hash(src: DataFrame, dst: DataFrame, columns: Sequence[str] | None = None,
@@ -127,20 +128,31 @@ def key_counts(src: DataFrame, dst: DataFrame, keys: Sequence[str], columns: Seq
                options: CompareOptions = DEFAULT, null_safe: bool = False) -> DataFrame:
     """Per key: rows on each side, and how many (source, dest) row pairs agree or differ.
 
-    Pair numbers come from products of counts per value digest, never from formed pairs.
+    Pair numbers come from products of counts per value digest, never from formed pairs; they are
+    decimals of 38 digits, so that a key with billions of rows on both sides can't overflow them.
     A key with a NULL part matches nothing unless ``null_safe``.
     """
     cols = [c for c in (columns or shared_columns(src, dst)) if c not in keys]
     rows = _tagged(src, dst, lambda df, other: df.select(
         *[comparable(df, k, options).alias(k) for k in keys], row_digest(df, other, cols, options).alias("__h")))
     per_value = rows.groupBy(*keys, "__h").agg(F.sum("__s").alias("s"), F.sum("__d").alias("d"))
-    per_key = per_value.groupBy(*keys).agg(
-        F.sum("s").alias("n_source"), F.sum("d").alias("n_dest"), F.sum(F.col("s") * F.col("d")).alias("__same"))
+    return pair_counts(per_value, keys, null_safe)
+
+
+def _product(a: str, b: str) -> Column:
+    return (F.col(a).cast("decimal(19,0)") * F.col(b).cast("decimal(19,0)")).cast(PAIRS)
+
+
+def pair_counts(per_value: DataFrame, keys: Sequence[str], null_safe: bool = False) -> DataFrame:
+    """``key_counts`` from the rows s and d of each value digest of a key."""
     joins = F.lit(True) if null_safe else ~_has_null(keys)
-    pairs = F.when(joins, F.col("n_source") * F.col("n_dest")).otherwise(0)
-    same = F.when(joins, F.col("__same")).otherwise(0)
+    none = F.lit(0).cast(PAIRS)
+    per_key = per_value.groupBy(*keys).agg(
+        F.sum("s").alias("n_source"), F.sum("d").alias("n_dest"), F.sum(F.when(joins, _product("s", "d")).otherwise(none)).alias("__same"))
+    pairs = F.when(joins, _product("n_source", "n_dest")).otherwise(none)
+    same = F.col("__same").cast(PAIRS)
     return per_key.select(
-        *keys, "n_source", "n_dest", same.alias("matched_rows"), (pairs - same).alias("modified_rows"),
+        *keys, "n_source", "n_dest", same.alias("matched_rows"), (pairs - same).cast(PAIRS).alias("modified_rows"),
         F.when(pairs == 0, F.col("n_source")).otherwise(0).alias("missing_in_dest"),
         F.when(pairs == 0, F.col("n_dest")).otherwise(0).alias("extra_in_dest"))
 
@@ -148,9 +160,15 @@ def key_counts(src: DataFrame, dst: DataFrame, keys: Sequence[str], columns: Seq
 COUNTS = ("matched_rows", "modified_rows", "missing_in_dest", "extra_in_dest")
 
 
+def narrow_counts(counts: DataFrame) -> DataFrame:
+    """Counts of pairs as whole numbers of 64 bits, for results known to fit them."""
+    return counts.withColumns({c: F.col(c).cast("long") for c in COUNTS})
+
+
 def reconcile_keyed(src: DataFrame, dst: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None,
                     options: CompareOptions = DEFAULT, by: Sequence[str] = (), null_safe: bool = False) -> DataFrame:
-    """Row counts per outcome, overall or per ``by`` (which must be among the keys)."""
+    """Row counts per outcome, overall or per ``by`` (which must be among the keys). matched_rows and
+    modified_rows count pairs and are decimals: see ``narrow_counts``."""
     n = key_counts(src, dst, keys, columns, options, null_safe)
     aggs = [F.coalesce(F.sum("n_source"), F.lit(0)).alias("source_count"),
             F.coalesce(F.sum("n_dest"), F.lit(0)).alias("dest_count")]
@@ -180,12 +198,26 @@ def paired_images(src: DataFrame, dst: DataFrame, keys: Sequence[str], columns:
         F.first(F.when(F.col("__d") == 1, F.col("__img")), ignorenulls=True).alias("d"))
 
 
+def repeated_key_changes(src: DataFrame, dst: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """For keys with several rows on a side: the images whose numbers of copies differ, with the action
+    that makes dst equal to src (insert or delete_copies) and the number of copies.
+
+    Copies are counted per image on both sides; no pairs are formed. NULL is a key like any other."""
+    cols = [c for c in src.columns if c not in keys]
+    rows = _tagged(src, dst, lambda df, _other: df.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__img")))
+    images = rows.groupBy("__key", "__img").agg(F.sum("__s").alias("s"), F.sum("__d").alias("d"))
+    repeated = images.groupBy("__key").agg(F.sum("s").alias("ns"), F.sum("d").alias("nd")).where("ns > 1 OR nd > 1").select("__key")
+    changed = spread_join(images.where("s <> d"), repeated, ["__key"], "left_semi")
+    more = F.col("s") - F.col("d")
+    return changed.select("__key.*", F.when(more > 0, "insert").otherwise("delete_copies").alias("action"), "__img.*", F.abs(more).alias("copies"))
+
+
 def column_diffs(src: DataFrame, dst: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None,
                  options: CompareOptions = DEFAULT) -> DataFrame:
     """One row per key and differing column, with both values as text.
 
     Keys that are repeated on a side have no single image; each gives one row with column ``*``
-    holding its number of rows on both sides.
+    holding its number of rows on both sides. ``repeated_key_changes`` has their rows.
     """
     cols = [c for c in (columns or shared_columns(src, dst)) if c not in keys]
     keep = lambda df: df.select(*keys, *[comparable(df, c, options).alias(c) for c in cols])
@@ -249,15 +281,27 @@ def key_uniqueness(df: DataFrame, candidates: Sequence[str]) -> DataFrame:
         for c in candidates])
 
 
-def table_preview(src: DataFrame, dst: DataFrame) -> DataFrame:
-    """Column match status of two tables with both row counts."""
+def preview_rows(src: DataFrame, dst: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None, n: int = 3) -> DataFrame:
+    """The first ``n`` rows of each side by key (a feature, not a limit on other results)."""
+    cols = list(columns or shared_columns(src, dst))
+    sides = []
+    for name, df in (("source", src), ("dest", dst)):
+        first = df.orderBy(*keys, *[c for c in cols if c not in keys]).limit(n)
+        rank = F.row_number().over(Window.orderBy(*keys, *[c for c in cols if c not in keys]))
+        sides.append(first.select(F.lit(name).alias("side"), rank.cast("long").alias("position"), *cols))
+    return sides[0].unionByName(sides[1])
+
+
+def table_preview(src: DataFrame, dst: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Match status, types on both sides and whether it is a key, per column; both row counts."""
     a = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     b = {f.name: f.dataType.simpleString() for f in dst.schema.fields}
     rows = []
     for name in sorted({*a, *b}):
         st = ("match" if a.get(name) == b.get(name) else "type_mismatch") if name in a and name in b else (
             "source_only" if name in a else "dest_only")
-        rows.append(F.struct(F.lit(name).alias("column_name"), F.lit(st).alias("status")))
+        rows.append(F.struct(F.lit(name).alias("column_name"), F.lit(st).alias("status"), F.lit(a.get(name)).cast("string").alias("source_type"),
+                             F.lit(b.get(name)).cast("string").alias("dest_type"), F.lit(name in keys).alias("is_key")))
     counts = _tagged(src, dst, lambda df, _other: df.select()).agg(
         F.sum("__s").alias("source_count"), F.sum("__d").alias("dest_count"))
     return counts.select(F.explode(F.array(*rows)).alias("r"), "source_count", "dest_count").select(

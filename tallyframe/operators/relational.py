@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.common import exceeds, spread_join, top_rows
+from tallyframe.common import exceeds, planned_small, spread_join, top_rows
 
 
 # ---- selection ---------------------------------------------------------------------------------
@@ -58,8 +58,12 @@ def interval_join(facts: DataFrame, intervals: DataFrame, keys: Sequence[str], a
     """Facts with the interval row of their key that is valid at their time; a NULL end is open.
 
     Time is cut into buckets and an interval is repeated for each bucket it covers within the span
-    of the facts, so a fact only meets the intervals of its own key and bucket.
+    of the facts, so a fact only meets the intervals of its own key and bucket. Intervals that the planner
+    knows to be small are joined by key alone: Spark broadcasts them and reads the facts once.
     """
+    valid = (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
+    if planned_small(intervals):
+        return spread_join(facts, intervals, keys, how, extra=valid)
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
 
     def bucket(c: Column) -> Column:
@@ -70,7 +74,6 @@ def interval_join(facts: DataFrame, intervals: DataFrame, keys: Sequence[str], a
     covered = intervals.withColumns({"__lo": F.greatest(bucket(F.col(start)), lo),
                                      "__hi": F.least(F.coalesce(bucket(F.col(end)), hi), hi)}).where("__lo <= __hi")
     covered = covered.withColumn("__bucket", F.explode(F.sequence("__lo", "__hi"))).drop("__lo", "__hi")
-    valid = (F.col(start) <= F.col(at)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
     placed = facts.withColumn("__bucket", bucket(F.col(at)))
     return spread_join(placed, covered, [*keys, "__bucket"], how, extra=valid, no_broadcast=exceeds(covered)).drop("__bucket")
 

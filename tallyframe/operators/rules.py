@@ -57,6 +57,11 @@ def _outcome(df: DataFrame, rules: Sequence[Rule], table: str) -> DataFrame:
                 F.round(rate, 6).alias("failure_rate"), "m.threshold", (rate <= F.col("m.threshold")).alias("passed")))
 
 
+def within(value: Column, low, high=None) -> Column:
+    """low <= value <= high; without a high there is no upper bound."""
+    return (value >= low) & (value <= high) if high is not None else value >= low
+
+
 def _one(df: DataFrame, rule: Rule) -> DataFrame:
     return df.select(F.lit(rule.rule_id).alias("rule_id"), F.col("total").cast("long").alias("total"), F.col("failures").cast("long").alias("failures"))
 
@@ -75,8 +80,7 @@ def run_rules(df: DataFrame, rules: Sequence[Rule], table: str = "", parents: Ma
         if r.rule_type in ROW_RULES:
             fused.append((r, *_count_rule(F.count_if(row_failure(r)))))
         elif r.rule_type == "row_count":
-            lo, hi = r.params.get("min", 0), r.params.get("max", 999_999_999)
-            fused.append((r, *_count_rule(F.when(F.count(F.lit(1)).between(lo, hi), 0).otherwise(1))))
+            fused.append((r, *_count_rule(F.when(within(F.count(F.lit(1)), r.params.get("min", 0), r.params.get("max")), 0).otherwise(1))))
         elif r.rule_type == "freshness":
             age = hours_between(F.max(F.col(r.column)), as_ts(as_of))
             fused.append((r, *_count_rule(F.when(age > r.params.get("max_hours", 24), 1).otherwise(0), 1)))

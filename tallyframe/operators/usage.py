@@ -35,15 +35,31 @@ def unused(tables: DataFrame, access: DataFrame) -> DataFrame:
     return tables.join(access.select("table_name").distinct(), "table_name", "left_anti")
 
 
+def statement_parts(text: Column) -> Column:
+    """The SELECT statements inside a text, each without what stands in brackets: what stands in brackets
+    becomes a part of its own, from the inside out, and parts are cut at set operations. Names of
+    common table expressions are no tables of a catalog, so their columns count for the tables inside."""
+    inner = r"\(([^()]*)\)"
+    opened = F.length(F.regexp_replace(text, r"[^(]", ""))
+    start = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("parts"))
+    step = lambda acc, _: F.when(acc["rest"].rlike(inner), F.struct(
+        F.regexp_replace(acc["rest"], inner, "[]").alias("rest"), F.concat(acc["parts"], F.regexp_extract_all(acc["rest"], F.lit(inner), F.lit(1))).alias("parts"))).otherwise(acc)
+    whole = F.aggregate(F.sequence(F.lit(0), opened), start, step, lambda acc: F.concat(acc["parts"], F.array(acc["rest"])))
+    cut = F.flatten(F.transform(whole, lambda p: F.split(p, r"(?i)\b(?:UNION|EXCEPT|INTERSECT)\b(?:\s+(?:ALL|DISTINCT)\b)?")))
+    return F.filter(cut, lambda p: p.rlike(r"(?is)\bSELECT\s.*\sFROM\b"))
+
+
 def column_usage(log: DataFrame, text: str, user: str, catalog: str) -> DataFrame:
-    """Uses per table, selected column and user, read from the SELECT lists of statements. Calls
-    count by their alias; the columns go to every table of the catalog in the statement."""
+    """Uses per table, selected column and user, read from the SELECT lists of all parts of statements
+    (``statement_parts``). Calls count by their alias; the columns of a part go to every table of
+    the catalog in it."""
+    log = log.withColumn(text, F.explode(statement_parts(F.col(text))))
     t = tables_in_queries(log, text, catalog)
-    clause = F.trim(F.regexp_extract(F.col(text), r"(?is)SELECT\s+(.*?)\s+FROM", 1))
+    clause = F.trim(F.regexp_extract(F.col(text), r"(?is)SELECT\s+(?:DISTINCT\s+)?(.*?)\s+FROM", 1))
     part = F.trim(F.col("part"))
     plain = F.regexp_extract(F.regexp_replace(part, r"(?i)\s+AS\s+.*$", ""), r"^(?:\w+\.)?(\w+|\*)", 1)
     call = F.regexp_extract(part, r"(?i)AS\s+`?(\w+)`?", 1)
-    name = F.lower(F.when(part.contains("(") & part.contains(")"), call).otherwise(plain))
+    name = F.lower(F.when(part.contains("[]"), call).otherwise(plain))
     one = t.withColumn("clause", clause).where("clause <> ''").withColumn("part", F.explode(F.split("clause", ",")))
     return one.withColumn("column_name", name).where("column_name <> ''").groupBy("table_name", "column_name", F.col(user).alias("user_name")).agg(
         F.count(F.lit(1)).alias("usage_count"))
@@ -53,6 +69,11 @@ def column_usage_totals(per_user: DataFrame) -> DataFrame:
     return per_user.groupBy("table_name", "column_name").agg(F.sum("usage_count").alias("usage_count"), F.count(F.lit(1)).alias("user_count"))
 
 
+def column_usage_users(per_user: DataFrame) -> DataFrame:
+    """Uses and distinct columns (of a table) per user."""
+    return per_user.groupBy("user_name").agg(F.sum("usage_count").alias("usage_count"), F.count(F.lit(1)).alias("column_count"))
+
+
 def column_name_frequency(inventory: DataFrame) -> DataFrame:
     """Columns with the number of columns of the same name."""
     return occurrences(inventory, "column_name")

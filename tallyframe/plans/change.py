@@ -54,6 +54,14 @@ def _(t):
     return ch.merge(target, t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")), ["k"])
 
 
+@query("cd05_upsert_last_image", """
+SELECT user_id AS k, coalesce(v, 0) AS v FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (SELECT user_id AS u, arg_max(event_id, event_id) AS v FROM events WHERE event_type = 'click' GROUP BY 1) ON u = user_id""")
+def _(t):
+    target = t.events.select(F.col("user_id").alias("k"), F.lit(0).cast("long").alias("v")).distinct()
+    clicks = t.events.where("event_type = 'click'").select(F.col("user_id").alias("k"), F.col("event_id").alias("v"), "event_id")
+    return ch.merge(target, clicks, ["k"], order="event_id")
+
+
 @query("cd06_sync_state", """SELECT count(*) AS total, count(*) FILTER (WHERE s = 'success' AND NOT st) AS synced, count(*) FILTER (WHERE st) AS stale, count(*) FILTER (WHERE s = 'failed') AS failed
 FROM (SELECT user_id, CASE WHEN arg_max(event_type, event_id) = 'error' THEN 'failed' ELSE 'success' END AS s, max(ts) < TIMESTAMP '2024-01-29' AS st FROM events GROUP BY 1)""")
 def _(t):
@@ -67,6 +75,15 @@ def _(t):
     return ch.scd2(customer_versions(t), ["c_custkey"], "changed_at").withColumn("valid_to", F.date_format("valid_to", "yyyy-MM-dd"))
 
 
+@query("cd07_scd2_null_keys", """
+SELECT k, at AS valid_from, coalesce(lead(at) OVER (PARTITION BY k ORDER BY at), TIMESTAMP '9999-12-31') AS valid_to, lead(at) OVER (PARTITION BY k ORDER BY at) IS NULL AS is_current
+FROM (SELECT CASE WHEN user_id % 3 > 0 THEN user_id % 50 END AS k, min(ts) AS at FROM events GROUP BY CASE WHEN user_id % 3 > 0 THEN user_id % 50 END, event_type, CAST(ts AS DATE))""")
+def _(t):
+    k = F.when(F.col("user_id") % 3 > 0, F.col("user_id") % 50)
+    v = t.events.groupBy(k.alias("k"), "event_type", F.to_date("ts").alias("day")).agg(F.min("ts").alias("at")).drop("event_type", "day")
+    return ch.scd2(v, ["k"], "at")
+
+
 @query("cd07_scd2_lookup", with_ctes("dim_scd2") + """
 SELECT o_orderkey, c_mktsegment, c_acctbal FROM orders JOIN dim_scd2 ON o_custkey = c_custkey AND valid_from <= o_orderdate AND o_orderdate < valid_to""")
 def _(t):

@@ -124,7 +124,8 @@ def _(t):
     return mt.similar_values(t.supplier, "s_name", 0.88).select("v", "w")
 
 
-LINKED = "SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 380000 AND o_orderstatus <> 'O'"
+# every tenth number is left out, which ends a chain of links
+LINKED = "SELECT DISTINCT o_custkey + o_custkey // 10 AS k FROM orders"
 
 
 @query("jn11_blocked_self_join", f"""WITH {LINKS} SELECT a, b FROM links""")
@@ -135,7 +136,7 @@ def _(t):
 @query("md09_clusters", f"""WITH l AS ({LINKED}), g AS (SELECT k, k - row_number() OVER (ORDER BY k) AS grp FROM l),
 i AS (SELECT min(k) AS lo, max(k) + 1 AS hi FROM g GROUP BY grp) SELECT unnest(range(lo, hi + 1)) AS node, lo AS component FROM i""")
 def _(t):
-    ks = t.orders.where("o_totalprice > 380000 AND o_orderstatus <> 'O'").select(F.col("o_custkey").alias("a")).distinct()
+    ks = t.orders.select((F.col("o_custkey") + F.floor(F.col("o_custkey") / 10)).alias("a")).distinct()
     return mt.connected_components(ks.withColumn("b", F.col("a") + 1), "a", "b")
 
 
@@ -217,7 +218,7 @@ PATHS = """paths AS (SELECT node, parent, 0 AS level, node AS path FROM {tree} W
 
 @query("md14_hierarchy_paths", f"WITH RECURSIVE {TREE}, {PATHS.format(tree='tree')} SELECT * FROM paths")
 def _(t):
-    return mm.hierarchy_paths(tree(t))
+    return mm.hierarchy_paths(tree(t)).where("level IS NOT NULL").drop("on_cycle")
 
 
 @query("md14_move_subtree", f"WITH RECURSIVE {TREE}, moved AS (SELECT node, CASE WHEN node = 'n3' THEN 'n7' ELSE parent END AS parent FROM tree), {PATHS.format(tree='moved')} "
@@ -236,3 +237,20 @@ def _(t):
 @query("md15_entities", "SELECT c_mktsegment AS entity_type, CASE WHEN c_acctbal < 0 THEN 'inactive' ELSE 'active' END AS status, count(*) AS n, round(avg(c_nationkey / 25), 6) AS avg_confidence FROM customer GROUP BY 1, 2")
 def _(t):
     return mm.entity_stats(t.customer.select(F.col("c_mktsegment").alias("entity_type"), F.when(F.col("c_acctbal") < 0, "inactive").otherwise("active").alias("status"), (F.col("c_nationkey") / 25).alias("confidence_score")))
+
+
+MIXED_RULES = [MatchRule("segment", "segment", "exact", 3.0), MatchRule("nation", "nation", "exact", 1.0), MatchRule("balance", "balance", "exact", 1.0)]
+
+
+# equality is all or nothing here, so records are grouped by their values before all pairs are compared
+@query("md08_mixed_rules", """WITH RECURSIVE r AS (SELECT CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment || c_custkey // 50 END AS segment, CASE WHEN c_custkey % 5 > 0 THEN 'n' || c_nationkey END AS nation, CAST(CAST(floor(c_acctbal / 1000) AS BIGINT) AS VARCHAR) AS balance, min(c_custkey) AS id FROM customer GROUP BY 1, 2, 3),
+s AS (SELECT a.id AS x, b.id AS y, 3 * coalesce(a.segment = b.segment, false)::INT + coalesce(a.nation = b.nation, false)::INT + coalesce(a.balance = b.balance, false)::INT AS won,
+ 3 * (a.segment IS NOT NULL AND b.segment IS NOT NULL)::INT + (a.nation IS NOT NULL AND b.nation IS NOT NULL)::INT + (a.balance IS NOT NULL AND b.balance IS NOT NULL)::INT AS weight FROM r a JOIN r b ON a.id <> b.id),
+e AS (SELECT x, y FROM s WHERE weight > 0 AND won * 100.0 / weight >= 80), c AS (SELECT id AS x, id AS y FROM r UNION SELECT c.x, e.y FROM c JOIN e ON e.x = c.y)
+SELECT x AS node, min(y) AS component FROM c GROUP BY 1 HAVING count(*) > 1""")
+def _(t):
+    text = F.floor(F.col("c_acctbal") / 1000).cast("long").cast("string")
+    r = t.customer.select(F.when(F.col("c_custkey") % 7 > 0, F.concat("c_mktsegment", F.floor(F.col("c_custkey") / 50))).alias("segment"),
+                          F.when(F.col("c_custkey") % 5 > 0, F.concat(F.lit("n"), "c_nationkey")).alias("nation"), text.alias("balance"), "c_custkey")
+    distinct = r.groupBy("segment", "nation", "balance").agg(F.min("c_custkey").alias("id"))
+    return mt.connected_components(mt.detect_duplicates(distinct, "id", MIXED_RULES), "a", "b")

@@ -260,14 +260,14 @@ def _(t):
 
 
 @query("hs04_issue_feed", M + ", " + SCORED + f""", u AS (SELECT 'anomaly' AS source, {SEV} AS severity, measured_at AS seen_at, table_fqn || ':' || metric_name AS title FROM scored WHERE z > 2
-UNION ALL SELECT 'orders', 'critical', strftime(o_orderdate, '%Y-%m-%d'), 'order ' || o_orderkey FROM orders WHERE o_totalprice > 495000
-UNION ALL SELECT 'events', 'warning', strftime(ts, '%Y-%m-%d'), 'event ' || event_id FROM events WHERE event_type = 'error' AND value > 250)
+UNION ALL SELECT 'orders', CASE WHEN o_totalprice > 495000 THEN 'critical' ELSE 'info' END, strftime(o_orderdate, '%Y-%m-%d'), 'order ' || o_orderkey FROM orders
+UNION ALL SELECT 'events', CASE WHEN event_type = 'error' AND value > 250 THEN 'warning' ELSE 'info' END, strftime(ts, '%Y-%m-%d'), 'event ' || event_id FROM events)
 SELECT * FROM u ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, seen_at DESC, source, title LIMIT 100""")
 def _(t):
     return hs.issue_feed({
         "anomaly": an.list_anomalies(scored(t), "measured_at").select("severity", F.col("measured_at").alias("seen_at"), F.concat_ws(":", "table_fqn", "metric_name").alias("title")),
-        "orders": t.orders.where("o_totalprice > 495000").select(F.lit("critical").alias("severity"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("seen_at"), F.concat(F.lit("order "), "o_orderkey").alias("title")),
-        "events": t.events.where("event_type = 'error' AND value > 250").select(F.lit("warning").alias("severity"), F.date_format("ts", "yyyy-MM-dd").alias("seen_at"), F.concat(F.lit("event "), "event_id").alias("title")),
+        "orders": t.orders.select(F.when(F.col("o_totalprice") > 495000, "critical").otherwise("info").alias("severity"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("seen_at"), F.concat(F.lit("order "), "o_orderkey").alias("title")),
+        "events": t.events.select(F.when((F.col("event_type") == "error") & (F.col("value") > 250), "warning").otherwise("info").alias("severity"), F.date_format("ts", "yyyy-MM-dd").alias("seen_at"), F.concat(F.lit("event "), "event_id").alias("title")),
     }, 100)
 
 

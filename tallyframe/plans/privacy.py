@@ -144,14 +144,14 @@ def _(t):
 
 def table_findings(t):
     kind = F.element_at(F.array(*[F.lit(x) for x in ("PERSON_NAME", "DATE_OF_BIRTH", "ADDRESS", "FINANCIAL", "CREDENTIAL", "EMAIL", "PHONE")]), (F.col("event_id") % 7 + 1).cast("int"))
-    return t.events.where("value > 90").select(
+    return t.events.select(
         F.lit("web").alias("table_schema"), F.concat(F.lit("t"), "user_id").alias("table_name"), F.concat(F.lit("c"), "event_id").alias("column_name"),
         kind.alias("pii_type"), F.lit("column_name").alias("detection_method"), (F.lit(0.5) + (F.col("event_id") % 5) / 10).alias("confidence_score"), F.lit("hash").alias("suggested_masking"))
 
 
 FOUND = """f AS (SELECT 'web' AS table_schema, 't' || user_id AS table_name, 'c' || event_id AS column_name,
  ['PERSON_NAME', 'DATE_OF_BIRTH', 'ADDRESS', 'FINANCIAL', 'CREDENTIAL', 'EMAIL', 'PHONE'][(event_id % 7 + 1)::INT] AS pii_type, 'column_name' AS detection_method,
- 0.5 + (event_id % 5) / 10 AS s, 'hash' AS suggested_masking FROM events WHERE value > 90),
+ 0.5 + (event_id % 5) / 10 AS s, 'hash' AS suggested_masking FROM events),
 ty AS (SELECT table_schema, table_name, list(DISTINCT pii_type) AS types FROM f GROUP BY 1, 2)"""
 H = {flag: f"(list_has_all(types, {list(need)}) AND pii_type IN {need})" for flag, need, _ in P.CORRELATIONS}
 BOOST = "s"
@@ -196,14 +196,14 @@ def _(t):
 
 
 def _scan(t, part):
-    e = t.events.where(F.col("event_id") % 2 == part) if part else t.events.where("value < 80")
-    return e.groupBy(F.lit("web").alias("table_schema"), F.concat(F.lit("t"), F.col("user_id")).alias("table_name"), F.concat("event_type", F.hour("ts")).alias("column_name")).agg(
+    hour = (F.hour("ts") + F.col("event_id") % 2) % 24 if part else F.hour("ts")
+    return t.events.groupBy(F.lit("web").alias("table_schema"), F.concat(F.lit("t"), F.col("user_id")).alias("table_name"), F.concat("event_type", hour.cast("int")).alias("column_name")).agg(
         F.when(F.max("value") > 60, "SSN").otherwise("EMAIL").alias("pii_type"), F.when(F.count(F.lit(1)) > 1, "high").otherwise("low").alias("confidence"))
 
 
-SCAN = """SELECT 'web' AS table_schema, 't' || user_id AS table_name, event_type || hour(ts) AS column_name, CASE WHEN max(value) > 60 THEN 'SSN' ELSE 'EMAIL' END AS pii_type,
- CASE WHEN count(*) > 1 THEN 'high' ELSE 'low' END AS confidence FROM events WHERE {w} GROUP BY 1, 2, 3"""
-TWO = f"a AS ({SCAN.format(w='value < 80')}), b AS ({SCAN.format(w='event_id % 2 = 1')})"
+SCAN = """SELECT 'web' AS table_schema, 't' || user_id AS table_name, event_type || {h} AS column_name, CASE WHEN max(value) > 60 THEN 'SSN' ELSE 'EMAIL' END AS pii_type,
+ CASE WHEN count(*) > 1 THEN 'high' ELSE 'low' END AS confidence FROM events GROUP BY 1, 2, 3"""
+TWO = f"a AS ({SCAN.format(h='hour(ts)')}), b AS ({SCAN.format(h='(hour(ts) + event_id % 2) % 24')})"
 
 
 @query("pi11_scan_changes", f"""WITH {TWO} SELECT table_schema, table_name, column_name, a.pii_type AS pii_type_before, a.confidence AS confidence_before, b.pii_type AS pii_type_after, b.confidence AS confidence_after,

@@ -32,9 +32,13 @@ def _(t):
     return pr.profile(t.lineitem, [*NUM, *TXT, *DAY])
 
 
-@query("pr01_column_profile_approx")
+@query("pr01_column_profile_approx", " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count, true AS within_bound FROM lineitem" for c in [*NUM, *TXT, *DAY]))
 def _(t):
-    return pr.profile(t.lineitem, distinct="approx")
+    """Approximate distinct counts lie within three standard errors (of 5 %) of the exact ones."""
+    cols = [*NUM, *TXT, *DAY]
+    a = pr.profile(t.lineitem, cols, distinct="approx").select("column_name", "null_count", F.col("distinct_count").alias("approx"))
+    e = pr.profile(t.lineitem, cols).select("column_name", "distinct_count")
+    return a.join(e, "column_name").select("column_name", "null_count", (F.abs(F.col("approx") - F.col("distinct_count")) <= 0.15 * F.col("distinct_count")).alias("within_bound"))
 
 
 def top_sql(table, cols, n, max_numeric=None):
@@ -56,17 +60,17 @@ def _(t):
 
 @query("pr02_deep_profile_top_values", top_sql("orders", ["o_orderstatus", "o_orderpriority"], 10))
 def _(t):
-    return pr.deep_profile(t.orders, ["o_orderstatus", "o_orderpriority", "o_totalprice"])["top_values"]
+    return pr.deep_profile(t.orders, ["o_orderstatus", "o_orderpriority", "o_totalprice"], max_numeric_distinct=30)["top_values"]
 
 
 @query("pr03_numeric_top_values", top_sql("part", ["p_size", "p_partkey"], 10, 30) + " UNION ALL " + top_sql("part", ["p_brand"], 10))
 def _(t):
-    return pr.top_values(t.part, ["p_size", "p_partkey", "p_brand"], 10)
+    return pr.top_values(t.part, ["p_size", "p_partkey", "p_brand"], 10, 30)
 
 
 @query("pr03_small_domain_top_values", top_sql("lineitem", ["l_linenumber"], 5, 30) + " UNION ALL " + top_sql("lineitem", ["l_suppkey"], 5, 30))
 def _(t):
-    return pr.top_values(t.lineitem, ["l_linenumber", "l_suppkey"], 5)
+    return pr.top_values(t.lineitem, ["l_linenumber", "l_suppkey"], 5, 30)
 
 
 @query("pr04_query_profile", profile_sql("(SELECT user_id, event_type, sum(value)::DECIMAL(18,2)::DOUBLE AS total FROM (SELECT user_id, event_type, value::DECIMAL(28,4) AS value FROM events) GROUP BY 1, 2)",

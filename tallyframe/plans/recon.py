@@ -51,7 +51,7 @@ FROM orders s FULL JOIN {dest} d ON s.o_orderkey = d.o_orderkey"""
 
 @query("rc02_reconcile_keyed", D + KEYED.format(by="", same=SAME, dest="orders_dest"))
 def _(t):
-    return rc.reconcile_keyed(t.orders, orders_dest(t), KEY)
+    return rc.narrow_counts(rc.reconcile_keyed(t.orders, orders_dest(t), KEY))
 
 
 @query("rc02_key_status", D + f"""
@@ -97,7 +97,7 @@ LOOSE = ("s.o_custkey = d.o_custkey AND lower(trim(s.o_orderstatus)) = lower(tri
 def _(t):
     opt = rc.CompareOptions(ignore_nulls=True, ignore_case=True, ignore_whitespace=True, decimal_precision=1)
     keyed = lambda df: df.withColumn("o_orderkey", F.col("o_orderkey").cast("string"))
-    return rc.reconcile_keyed(keyed(t.orders), keyed(orders_dest(t)), KEY, options=opt)
+    return rc.narrow_counts(rc.reconcile_keyed(keyed(t.orders), keyed(orders_dest(t)), KEY, options=opt))
 
 
 PER_PRIORITY = KEYED.format(by="coalesce(s.o_orderpriority, d.o_orderpriority) AS o_orderpriority,", same=SAME,
@@ -105,7 +105,7 @@ PER_PRIORITY = KEYED.format(by="coalesce(s.o_orderpriority, d.o_orderpriority) A
 
 
 def _per_priority(t, dest=None):
-    return rc.reconcile_keyed(t.orders, dest or orders_dest(t), ["o_orderkey", "o_orderpriority"], by=["o_orderpriority"])
+    return rc.narrow_counts(rc.reconcile_keyed(t.orders, dest or orders_dest(t), ["o_orderkey", "o_orderpriority"], by=["o_orderpriority"]))
 
 
 @query("rc06_match_rate_rollup", D + f"""
@@ -140,7 +140,7 @@ def _(t):
     from tallyframe.sources.changefeed import changes_from
 
     feed = changes_from(orders_changes(t), version=2)
-    return rc.reconcile_incremental(feed, feed.where("_commit_version <= 2"), KEY, ["o_totalprice", "o_orderstatus"])
+    return rc.narrow_counts(rc.reconcile_incremental(feed, feed.where("_commit_version <= 2"), KEY, ["o_totalprice", "o_orderstatus"]))
 
 
 def _ck_cols():
@@ -169,6 +169,14 @@ def _(t):
     return t.orders.agg(*ck.xor_checksum([F.col(c) for c in t.orders.columns]))
 
 
+@query("rc10_xor_checksum_md5", """
+SELECT bit_xor(h) AS xor_hash, CAST(sum(h) AS VARCHAR) AS sum_hash, count(*) AS row_count
+FROM (SELECT CAST('0x' || substr(md5(concat(o_orderkey, '|', o_custkey, '|', coalesce(o_orderstatus, 'NULL'))), 1, 15) AS BIGINT) AS h FROM orders)""")
+def _(t):
+    row = [F.col(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus")]
+    return t.orders.agg(*ck.xor_checksum(row, ck.md5_word(row))).withColumn("sum_hash", F.col("sum_hash").cast("string"))
+
+
 def _pairs(t):
     return {"orders": (t.orders, orders_dest(t)), "lineitem": (t.lineitem, t.lineitem.where("l_quantity > 1")),
             "customer": (t.customer, t.customer), "part": (t.part, t.part)}
@@ -212,7 +220,22 @@ FROM (VALUES ('o_orderkey','match'), ('o_custkey','type_mismatch'), ('o_ordersta
 def _(t):
     d = orders_dest(t).withColumn("o_custkey", F.col("o_custkey").cast("string")).withColumn(
         "loaded_on", F.lit("2024-01-01")).drop("o_orderpriority")
-    return rc.table_preview(t.orders, d)
+    return rc.table_preview(t.orders, d).select("column_name", "status", "source_count", "dest_count")
+
+
+@query("rc14_preview_types", """
+SELECT * FROM (VALUES ('o_orderkey', 'bigint', 'bigint', true), ('o_custkey', 'bigint', 'string', false), ('o_totalprice', 'double', 'double', false), ('loaded_on', NULL, 'string', false))
+c(column_name, source_type, dest_type, is_key)""")
+def _(t):
+    d = orders_dest(t).select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), "o_totalprice", F.lit("x").alias("loaded_on"))
+    return rc.table_preview(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), d, KEY).select("column_name", "source_type", "dest_type", "is_key")
+
+
+@query("rc14_preview_rows", D + """
+SELECT * FROM (SELECT 'source' AS side, row_number() OVER (ORDER BY o_orderkey) AS position, o_orderkey, o_custkey, o_orderstatus FROM orders) WHERE position <= 3
+UNION ALL SELECT * FROM (SELECT 'dest', row_number() OVER (ORDER BY o_orderkey) AS position, o_orderkey, o_custkey, o_orderstatus FROM orders_dest) WHERE position <= 3""")
+def _(t):
+    return rc.preview_rows(t.orders, orders_dest(t), KEY, ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
 def _num_side(side, tbl, col):
@@ -256,7 +279,38 @@ UNION ALL SELECT o_orderkey, 'delete', NULL, NULL, NULL, NULL, NULL FROM orders_
 UNION ALL SELECT s.o_orderkey, 'update', s.o_custkey, s.o_orderstatus, s.o_totalprice, s.o_orderdate, s.o_orderpriority
 FROM orders s JOIN orders_dest d ON s.o_orderkey = d.o_orderkey WHERE NOT ({SAME})""")
 def _(t):
-    return ch.repair_plan(t.orders, orders_dest(t), KEY)
+    return ch.repair_plan(t.orders, orders_dest(t), KEY).drop("copies")
+
+
+# lineitem by order: most keys are repeated; the destination lost, changed and doubled some lines
+LINES = """src AS (SELECT l_orderkey AS k, l_partkey AS p, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+dst AS (SELECT l_orderkey AS k, l_partkey AS p, CAST(l_quantity AS BIGINT) + CASE WHEN l_linenumber = 2 AND l_orderkey % 3 = 0 THEN 1 ELSE 0 END AS q FROM lineitem WHERE l_linenumber <> 3 OR l_orderkey % 2 = 0
+ UNION ALL SELECT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 5 = 0),
+img AS (SELECT k, p, q, sum(s) AS s, sum(d) AS d FROM (SELECT *, 1 AS s, 0 AS d FROM src UNION ALL SELECT *, 0, 1 FROM dst) GROUP BY 1, 2, 3),
+ks AS (SELECT k, sum(s) AS ns, sum(d) AS nd FROM img GROUP BY 1),
+rep AS (SELECT k, CASE WHEN s > d THEN 'insert' ELSE 'delete_copies' END AS action, p, q, CAST(abs(s - d) AS BIGINT) AS copies FROM img JOIN ks USING (k) WHERE s <> d AND (ns > 1 OR nd > 1))"""
+
+
+def _line_sides(t):
+    q = F.col("l_quantity").cast("long")
+    src = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), q.alias("q"))
+    changed = q + F.when((F.col("l_linenumber") == 2) & (F.col("l_orderkey") % 3 == 0), 1).otherwise(0)
+    kept = t.lineitem.where("l_linenumber <> 3 OR l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), changed.alias("q"))
+    twice = t.lineitem.where("l_linenumber = 1 AND l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("p"), q.alias("q"))
+    return src, kept.unionByName(twice)
+
+
+@query("rc03_repeated_keys", f"WITH {LINES} SELECT * FROM rep")
+def _(t):
+    return rc.repeated_key_changes(*_line_sides(t), ["k"])
+
+
+@query("rc17_repeated_keys", f"""WITH {LINES} SELECT * FROM rep
+UNION ALL SELECT k, 'insert', p, q, 1 FROM img JOIN ks USING (k) WHERE ns = 1 AND nd = 0
+UNION ALL SELECT k, 'delete', NULL, NULL, 1 FROM img JOIN ks USING (k) WHERE ns = 0 AND nd = 1
+UNION ALL SELECT k, 'update', p, q, 1 FROM img JOIN ks USING (k) WHERE ns = 1 AND nd = 1 AND s = 1 AND d = 0""")
+def _(t):
+    return ch.repair_plan(*_line_sides(t), ["k"])
 
 
 @query("rc18_repair_apply", "SELECT * FROM orders")
@@ -267,7 +321,7 @@ def _(t):
 def _details(t, run, day, dest=None):
     src = t.orders.withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
     dst = (dest or orders_dest(t)).withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
-    per = rc.reconcile_keyed(src, dst, ["o_orderkey", "o_orderpriority", "month"], by=["o_orderpriority", "month"])
+    per = rc.narrow_counts(rc.reconcile_keyed(src, dst, ["o_orderkey", "o_orderpriority", "month"], by=["o_orderpriority", "month"]))
     return rc.grouped_details(per, run, day, "o_orderpriority", "month")
 
 

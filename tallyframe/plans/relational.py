@@ -70,7 +70,7 @@ def _(t):
 SELECT user_id, count(*) AS n FROM events WHERE user_id IN
  (SELECT user_id FROM events WHERE value > 100 AND event_type IN ('click', 'purchase', 'signup') GROUP BY 1 HAVING count(DISTINCT event_type) = 3) GROUP BY 1""")
 def _(t):
-    tags = t.events.where("value > 100").select("user_id", F.col("event_type").alias("tag"))
+    tags = t.events.select("user_id", F.when(F.col("value") > 100, F.col("event_type")).otherwise(F.concat(F.lit("low_"), "event_type")).alias("tag"))
     users = t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
     return r.with_all_tags(users, tags, "user_id", ["click", "purchase", "signup"])
 
@@ -201,9 +201,11 @@ def _(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
-@query("ag03_approx_count_distinct")
+@query("ag03_approx_count_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS within_bound FROM lineitem GROUP BY 1")
 def _(t):
-    return t.lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
+    """The sketch's answer lies within three standard errors of the exact one."""
+    g = t.lineitem.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("approx"), F.count_distinct("l_partkey").alias("parts"))
+    return g.select("l_returnflag", "parts", (F.abs(F.col("approx") - F.col("parts")) <= 0.06 * F.col("parts")).alias("within_bound"))
 
 
 @query("ag04_conditional_sum", """
@@ -227,9 +229,16 @@ def _(t):
                                               F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
-@query("ag07_approx_percentiles")
+@query("ag07_approx_percentiles", "SELECT event_type, unnest([0.25, 0.5, 0.75, 0.95])::DOUBLE AS prob, count(value) AS n, true AS within_bound FROM events GROUP BY event_type")
 def _(t):
-    return t.events.groupBy("event_type").agg(F.percentile_approx("value", [0.25, 0.5, 0.75, 0.95], 10000).alias("p"))
+    """The rank of each answer lies within 1/accuracy of the wanted one."""
+    probs = [0.25, 0.5, 0.75, 0.95]
+    p = t.events.groupBy("event_type").agg(F.percentile_approx("value", probs, 10000).alias("p"))
+    each = p.select("event_type", F.explode(F.arrays_zip(F.array(*map(F.lit, probs)).alias("prob"), F.col("p").alias("answer"))).alias("x")).select("event_type", "x.*")
+    ranks = t.events.where("value IS NOT NULL").join(each, "event_type").groupBy("event_type", "prob").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < F.col("answer")).alias("below"), F.count_if(F.col("value") <= F.col("answer")).alias("up_to"))
+    slack = F.col("n") / 10000 + 1
+    return ranks.select("event_type", "prob", "n", ((F.col("below") <= F.col("prob") * F.col("n") + slack) & (F.col("up_to") >= F.col("prob") * F.col("n") - slack)).alias("within_bound"))
 
 
 @query("ag08_exact_percentile", """
@@ -253,11 +262,15 @@ def _(t):
     return t.orders.groupBy("o_orderstatus").agg(md5_sum([F.col("o_orderkey"), F.col("o_custkey")]).alias("checksum"))
 
 
-@query("ag11_order_free_hash")
+@query("ag11_order_free_hash", """
+SELECT l_linestatus, bit_xor(h) AS xor_hash, CAST(sum(h) AS VARCHAR) AS sum_hash, count(*) AS row_count
+FROM (SELECT l_linestatus, CAST('0x' || substr(md5(concat(l_orderkey, '|', l_linenumber, '|', l_partkey, '|', coalesce(l_returnflag, 'NULL'))), 1, 15) AS BIGINT) AS h FROM lineitem) GROUP BY 1""")
 def _(t):
-    from tallyframe.operators.checksum import xor_checksum
+    from tallyframe.operators.checksum import md5_word, xor_checksum
 
-    return t.lineitem.groupBy("l_linestatus").agg(*xor_checksum([F.col(c) for c in t.lineitem.columns]))
+    row = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")]
+    g = t.lineitem.groupBy("l_linestatus").agg(*xor_checksum(row, md5_word(row)))
+    return g.withColumn("sum_hash", F.col("sum_hash").cast("string"))
 
 
 @query("ag12_histogram", """
@@ -406,12 +419,12 @@ def _(t):
 
 
 @query("so02_findings_feed", """
-SELECT 'order' AS source, CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS value, NULL AS kind FROM orders WHERE o_totalprice > 490000
-UNION ALL SELECT 'event', CAST(event_id AS VARCHAR), NULL, event_type FROM events WHERE value > 200""")
+SELECT 'order' AS source, CAST(o_orderkey AS VARCHAR) AS id, o_totalprice AS value, NULL AS kind FROM orders
+UNION ALL SELECT 'event', CAST(event_id AS VARCHAR), NULL, event_type FROM events""")
 def _(t):
     return union_all([
-        t.orders.where("o_totalprice > 490000").select(F.lit("order").alias("source"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("value")),
-        t.events.where("value > 200").select(F.lit("event").alias("source"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("kind"))])
+        t.orders.select(F.lit("order").alias("source"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").alias("value")),
+        t.events.select(F.lit("event").alias("source"), F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("kind"))])
 
 
 @query("so03_highest_per_key", "SELECT user_id, max(value) AS value, arg_max(event_id, (value, -event_id)) AS event_id FROM events GROUP BY 1")

@@ -35,7 +35,7 @@ EVENT_CHECKS = [Check("value_range", "is_in_range", {"column": "value", "min_lim
 def _(t):
     p = scratch(t.spark, "ss01")
     checks.check_stream(table_stream(t, "events"), EVENT_CHECKS, f"{p}/out", f"{p}/ck")
-    good, bad = (t.spark.read.parquet(f"{p}/out/{x}") for x in ("valid", "quarantine"))
+    good, bad = checks.outputs(t.spark, f"{p}/out")
     return good.select("event_id", F.lit(True).alias("valid"), F.lit("").alias("errors")).unionByName(
         bad.select("event_id", F.lit(False).alias("valid"), F.array_join("_errors", ",").alias("errors")))
 

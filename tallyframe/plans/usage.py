@@ -127,6 +127,22 @@ def _(t):
     return us.column_usage_totals(us.column_usage(query_log(t), "statement_text", "user_name", "main"))
 
 
+@query("us04_column_usage_users", L + f"""SELECT user_name, sum(n)::BIGINT AS usage_count, count(*) AS column_count FROM (SELECT table_name, column_name, user_name, count(*) AS n FROM (SELECT table_name, user_name, unnest([regexp_extract(statement_text, 'SELECT (k[0-9])', 1), regexp_extract(statement_text, '(total_[a-z]+)', 1)]) AS column_name FROM {PARSED}) GROUP BY 1, 2, 3) GROUP BY 1""")
+def _(t):
+    return us.column_usage_users(us.column_usage(query_log(t), "statement_text", "user_name", "main"))
+
+
+@query("us04_calls_and_subqueries", """
+SELECT 'main.sales.' || event_type AS table_name, column_name, 'u' || user_id AS user_name, count(*) AS usage_count
+FROM events, (VALUES ('c'), ('d')) x(column_name) GROUP BY 1, 2, 3
+UNION ALL SELECT 'main.sales.inner_' || event_type, 'a', 'u' || user_id, count(*) FROM events GROUP BY 1, 3""")
+def _(t):
+    stmt = F.concat(F.lit("WITH x AS (SELECT a FROM main.sales.inner_"), "event_type", F.lit(") SELECT coalesce(q.a, round(b, 2)) AS c, q.d FROM main.sales."), "event_type",
+                    F.lit(" q JOIN x ON x.a IN (1, 2)"))
+    log = t.events.select(stmt.alias("s"), F.concat(F.lit("u"), "user_id").alias("user_name"))
+    return us.column_usage(log, "s", "user_name", "main")
+
+
 @query("us05_column_name_frequency", with_ctes("inventory_1") + "SELECT table_name, column_name, count(*) OVER (PARTITION BY column_name) AS n_occurrences FROM inventory_1")
 def _(t):
     return us.column_name_frequency(column_inventory(t, 1).select("table_name", "column_name"))
@@ -154,11 +170,11 @@ def _(t):
     return fo.cost_breakdown(costs, ["event_type", "warehouse", "run_as"])
 
 
-def _hourly(t, where="value > 60"):
-    return fo.hourly_cost(usage(t).where(where), prices(t), "event_type", "ts", "value", "warehouse")
+def _hourly(t):
+    return fo.hourly_cost(usage(t), prices(t), "event_type", "ts", "value", "warehouse")
 
 
-HOURLY = f"h AS (SELECT hour, warehouse, {COST} AS hour_cost, {QTY} AS hour_quantity FROM c WHERE value > 60 GROUP BY 1, 2)"
+HOURLY = f"h AS (SELECT hour, warehouse, {COST} AS hour_cost, {QTY} AS hour_quantity FROM c GROUP BY 1, 2)"
 
 
 @query("fo02_query_cost", P + f""", {HOURLY}, q AS (SELECT event_id, hour, warehouse, greatest(least(CAST(round(value * 100) AS BIGINT), 3600000), 1) AS ms FROM u), tot AS (SELECT hour, warehouse, sum(ms) AS total FROM q GROUP BY 1, 2)
@@ -180,7 +196,7 @@ SELECT run_as, warehouse, arg_min(event_type, ts) FILTER (WHERE value > 40) AS j
 FROM c GROUP BY 1, 2 ORDER BY cost DESC, run_as, warehouse LIMIT 200""")
 def _(t):
     u = usage(t).withColumn("nm", F.when(F.col("value") > 40, F.col("event_type")))
-    return fo.job_cost(u, prices(t), ["run_as", "warehouse"], "nm", "event_type", "ts", "value")
+    return fo.job_cost(u, prices(t), ["run_as", "warehouse"], "nm", "event_type", "ts", "value", top=200)
 
 
 PERF = """SELECT {by} count(*) AS query_count, round(avg(ms)) AS avg_duration_ms, CAST(sum(event_id) AS BIGINT) AS total_read_bytes, round(count(*) FILTER (WHERE event_type = 'error') * 100.0 / count(*), 2) AS failure_pct,
@@ -334,13 +350,14 @@ def _(t):
     return us.tag_coverage(t.part, t.lineitem.where("l_quantity > 48").withColumnRenamed("l_partkey", "p_partkey"), ["p_partkey"])
 
 
-@query("gv03_pii_audit", """WITH f AS (SELECT 'c' || event_id AS column_name, CASE WHEN event_type = 'error' THEN 'SSN' ELSE 'EMAIL' END AS pii_type, event_id % 3 = 0 AS m FROM events WHERE value > 200)
+@query("gv03_pii_audit", """WITH f AS (SELECT 'c' || event_id AS column_name, CASE WHEN event_type = 'error' THEN 'SSN' ELSE 'EMAIL' END AS pii_type, event_id % 3 = 0 AS m FROM events)
 SELECT count(*) AS pii_columns, count(*) FILTER (WHERE NOT m) AS unmasked, count(*) FILTER (WHERE NOT m AND pii_type = 'SSN') AS high_risk_unmasked, greatest(0, 100 - 5 * count(*)) AS detection_score,
  CAST(greatest(0, 100 - floor(count(*) FILTER (WHERE NOT m) / count(*) * 100)) AS BIGINT) AS masking_score, CASE WHEN count(*) FILTER (WHERE NOT m AND pii_type = 'SSN') > 0 THEN 0 ELSE 100 END AS high_risk_score FROM f""")
 def _(t):
     c = F.concat(F.lit("c"), "event_id").alias("column_name")
-    f = t.events.where("value > 200").select(c, F.when(F.col("event_type") == "error", "SSN").otherwise("EMAIL").alias("pii_type"))
-    return us.pii_audit(f, t.events.where("event_id % 3 = 0").select(c))
+    f = t.events.select(c, F.when(F.col("event_type") == "error", "SSN").otherwise("EMAIL").alias("pii_type"))
+    masked = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("c"), "event_id")).otherwise(F.concat(F.lit("other"), "event_id"))
+    return us.pii_audit(f, t.events.select(masked.alias("column_name")))
 
 
 @query("gv04_overall_status", "SELECT CAST(floor(sum(s) / count(s)) AS BIGINT) AS score, CASE WHEN floor(sum(s) / count(s)) >= 80 THEN 'COMPLIANT' WHEN floor(sum(s) / count(s)) >= 50 THEN 'WARNING' ELSE 'NON_COMPLIANT' END AS status FROM (SELECT CAST(floor(count(*) FILTER (WHERE value < 80) * 100.0 / count(*)) AS BIGINT) AS s FROM events GROUP BY event_type)")
@@ -353,9 +370,9 @@ def _(t):
     return us.search_metadata({"part": (t.part, "p_partkey", ["p_name", "p_type"]), "page": (t.pages, "page_id", ["url", "html"]), "document": (t.documents, "doc_id", ["text"])}, "Gear")
 
 
-@query("gv06_grant_audit", "SELECT count(*) AS grants, count(*) FILTER (WHERE n_nationkey % 9 = 4) AS broad_grants, greatest(0, 100 - 20 * count(*) FILTER (WHERE n_nationkey % 9 = 4)) AS score FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9800")
+@query("gv06_grant_audit", "SELECT count(*) AS grants, count(*) FILTER (WHERE n_nationkey % 9 = 4) AS broad_grants, greatest(0, 100 - 20 * count(*) FILTER (WHERE n_nationkey % 9 = 4)) AS score FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def _(t):
-    g = t.customer.where("c_acctbal > 9800").select(F.when(F.col("c_nationkey") % 9 == 4, "all privileges").otherwise("SELECT").alias("privilege"))
+    g = t.customer.select(F.when(F.col("c_nationkey") % 9 == 4, "all privileges").otherwise("SELECT").alias("privilege"))
     return us.grant_audit(g, "privilege")
 
 

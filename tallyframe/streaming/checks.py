@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyframe.operators.checkset import Check, apply_checks
-from tallyframe.operators.checkset import split
-from tallyframe.streaming.common import batch_path, run_available
+from tallyframe.streaming.common import batch_path, read_batches, run_available
 
 
 def check_stream(stream: DataFrame, checks: Sequence[Check], out: str, checkpoint: str):
-    """Write passing rows to ``out``/valid and failing rows, with the failed checks, to ``out``/quarantine."""
+    """Write every batch once, passing rows below outcome=valid and failing rows, with the failed
+    checks, below outcome=quarantine of the batch's folder."""
 
     def write(df: DataFrame, batch_id: int) -> None:
-        good, bad = split(apply_checks(df, checks))
-        good.write.mode("overwrite").parquet(batch_path(f"{out}/valid", batch_id))
-        bad.write.mode("overwrite").parquet(batch_path(f"{out}/quarantine", batch_id))
+        checked = apply_checks(df, checks)
+        outcome = F.when(F.size("_errors") == 0, "valid").otherwise("quarantine")
+        checked.withColumn("outcome", outcome).write.mode("overwrite").partitionBy("outcome").parquet(batch_path(out, batch_id))
 
     return run_available(stream, write, checkpoint)
+
+
+def outputs(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """Valid rows, and quarantined rows with their failed checks, of all batches."""
+    rows = read_batches(spark, out)
+    good, bad = (rows.where(F.col("outcome") == x).drop("batch", "outcome") for x in ("valid", "quarantine"))
+    return good.drop("_errors", "_warnings"), bad

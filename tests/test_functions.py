@@ -208,9 +208,64 @@ def test_reachable_with_a_cycle(spark):
     assert g.reachable(e, spark.createDataFrame([("q",)], "node string"), 5).count() == 0
 
 
-def test_hierarchy_leaves_cycles_out(spark):
-    n = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("x", "y"), ("y", "x")], "node string, parent string")
-    assert {x.node: x.path for x in mm.hierarchy_paths(n).collect()} == {"r": "r", "a": "r/a", "b": "r/a/b"}
+def test_hierarchy_flags_cycles(spark):
+    n = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("x", "y"), ("y", "x"), ("z", "x"), ("o", "gone"), ("p", "o")], "node string, parent string")
+    got = {x.node: (x.level, x.path, x.on_cycle) for x in mm.hierarchy_paths(n).collect()}
+    assert got == {"r": (0, "r", False), "a": (1, "r/a", False), "b": (2, "r/a/b", False), "x": (None, None, True), "y": (None, None, True), "z": (None, None, True),
+                   "o": (None, None, False), "p": (None, None, False)}
+
+
+def test_deep_hierarchy(spark):
+    n = spark.createDataFrame([(i, i - 1 if i else None) for i in range(300)], "node long, parent long")
+    assert {x.node: (x.level, x.path) for x in mm.hierarchy_paths(n).collect()} == {i: (i, "/".join(map(str, range(i + 1)))) for i in range(300)}
+
+
+def test_levels_raise_at_a_given_limit(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        g.topological_levels(edges, max_levels=5)
+
+
+def test_no_caps(spark):
+    """Wide tables, many rows and many jobs are counted whole."""
+    from tallyframe.operators import anomaly as an
+    from tallyframe.operators import freshness as fr
+    from tallyframe.operators import rules as ru
+
+    names = [f"c{i}" for i in range(60)]
+    wide = spark.createDataFrame([tuple(None if i == 59 else i for i in range(60))] * 2, ", ".join(f"{n} int" for n in names))
+    row = fr.sla_completeness(wide, names, 1.0).first()
+    assert row.max_null_pct == 100 and not row.passed
+    got = {r.metric_name: r.value for r in an.collect_metrics(wide, "t", names).collect()}
+    assert got["null_rate"] == pytest.approx(1 / 60)
+    n = spark.createDataFrame([(5_000_000_000,)], "n long")
+    assert n.select(ru.within(F.col("n"), 1)).first()[0] and not n.select(ru.within(F.col("n"), 1, 999)).first()[0]
+
+
+def test_pair_counts_do_not_overflow(spark):
+    from tallyframe.operators import reconcile as rc
+
+    per_value = spark.createDataFrame([(1, "a", 4_000_000_000, 4_000_000_000), (1, "b", 4_000_000_000, 0), (None, "a", 9 * 10**18, 9 * 10**18)], "k int, __h string, s long, d long")
+    got = {r.k: (int(r.matched_rows), int(r.modified_rows)) for r in rc.pair_counts(per_value, ["k"]).collect()}
+    assert got == {1: (16 * 10**18, 16 * 10**18), None: (0, 0)}
+
+
+def test_merge_refuses_repeated_keys(spark):
+    t, s = spark.createDataFrame([(1, "x"), (None, "n")], "k int, v string"), spark.createDataFrame([(1, "y", 1), (1, "z", 2), (None, "a", 1), (None, "b", 2)], "k int, v string, at int")
+    with pytest.raises(Exception, match="repeated"):
+        ch.merge(t, s.select("k", "v"), ["k"]).collect()
+    assert sorted(map(str, ch.merge(t, s, ["k"], order="at").collect())) == sorted(map(str, spark.createDataFrame([(1, "z"), (None, "n"), (None, "a"), (None, "b")], "k int, v string").collect()))
+
+
+def test_versions_of_null_keys(spark):
+    v = spark.createDataFrame([(None, "a", "2024-01-01"), (None, "b", "2024-02-01"), (1, "c", "2024-01-05")], "k int, v string, at string").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    assert {(r.k, r.v, r.is_current) for r in ch.scd2(v, ["k"], "at").collect()} == {(None, "a", False), (None, "b", True), (1, "c", True)}
+
+
+def test_repair_of_repeated_keys(spark):
+    s, d = spark.createDataFrame([(1, "a"), (1, "b"), (2, "x"), (2, "x"), (3, "m")], "k int, v string"), spark.createDataFrame([(1, "z"), (2, "x"), (3, "n"), (4, "q"), (4, "q")], "k int, v string")
+    got = sorted((r.k, r.action, r.v, r.copies) for r in ch.repair_plan(s, d, ["k"]).collect())
+    assert got == [(1, "delete_copies", "z", 1), (1, "insert", "a", 1), (1, "insert", "b", 1), (2, "insert", "x", 1), (3, "update", "m", 1), (4, "delete_copies", "q", 2)]
 
 
 def test_contract_comparison_takes_the_first_operator(spark):

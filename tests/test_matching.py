@@ -77,9 +77,33 @@ def test_similar_values_finds_every_pair(spark, ratio, longest):
     assert {(x.v, x.w) for x in mt.similar_values(df, "s", ratio).collect()} == want and want
 
 
-def test_similar_values_refuses_what_it_cannot_index(spark):
+def test_similar_values_of_any_length(spark):
+    """Values of up to 60 characters, with as many edits as the ratio allows, and a very long one."""
+    rnd = random.Random(12)
+    vals = {"x" * 400, "Acme Trading", "Acme Tradinq", "y" * 31}
+    for n in (6, 11, 12, 16, 24, 31, 60):
+        for _ in range(6):
+            base = "".join(rnd.choice("abcdefgh") for _ in range(n))
+            vals.add(base)
+            for _ in range(6):
+                w = list(base)
+                for _ in range(rnd.randint(1, max(1, n // 4))):
+                    at = rnd.randrange(len(w) + 1)
+                    kind = rnd.random()
+                    if kind < 0.4 and at < len(w):
+                        w[at] = rnd.choice("abcdefgh")
+                    elif kind < 0.7:
+                        w.insert(at, rnd.choice("abcdefgh"))
+                    elif at < len(w) and len(w) > 2:
+                        del w[at]
+                vals.add("".join(w))
+    vals = sorted(vals)
+    df = spark.createDataFrame([(v,) for v in [*vals, None, ""]], "s string")
+    for ratio in (0.7, 0.8, 0.93, 1.0):
+        want = {(a, b) for a, b in itertools.combinations(vals, 2) if 1 - distance(a, b) / max(len(a), len(b)) >= ratio}
+        assert {(x.v, x.w) for x in mt.similar_values(df, "s", ratio).collect()} == want
     with pytest.raises(ValueError):
-        mt.similar_values(spark.createDataFrame([("x" * 100,)], "s string"), "s", 0.8)
+        mt.similar_values(df, "s", 0.5)
 
 
 def components(nodes, edges):
@@ -134,3 +158,46 @@ def test_duplicate_links_connect_what_all_pairs_connect(spark):
     ids = [i for i, _, _ in recs]
     assert components(ids, [(x.a, x.b) for x in links]) == components(ids, [(a, b) for a, b, _ in brute])
     assert len(links) < len(brute)
+
+
+def brute_links(recs, rules, review=80):
+    out = []
+    for a, b in itertools.combinations(recs, 2):
+        won = weight = 0.0
+        for i, r in enumerate(rules, 1):
+            x, y = a[i], b[i]
+            if not x or not y:
+                continue
+            s = float(x == y) if r.kind == "exact" else 1.0 if x == y else 1 - distance(x, y) / max(len(x), len(y))
+            if s >= r.threshold:
+                won, weight = won + s * r.weight, weight + r.weight
+        if weight and won / weight * 100 >= review:
+            out.append((a[0], b[0]))
+    return out
+
+
+@pytest.mark.parametrize("name_threshold", [0.0, 0.8])
+def test_links_with_thresholds_of_zero(spark, name_threshold):
+    """Pairs that are good as a whole although no pair with the smallest record is."""
+    rnd = random.Random(21)
+    recs = [(1, "e1", "c1", "p1", "smithers"), (2, "e2", "c2", "p2", "johnsons"), (3, "e1", "c2", "p3", "watson-a"), (4, "e1", "c2", "p4", "williams")]
+    names = [w + w[::-1] for w in words(12, 8, "abcdefgh", 5, 6)]
+    recs += [(i, rnd.choice(["", "e3", "e4", f"e{i}"]), rnd.choice([None, "c3", "c4"]), rnd.choice(["", "p5", f"p{i}"]), rnd.choice([None, "", *names])) for i in range(10, 110)]
+    df = spark.createDataFrame(recs, "id long, email string, city string, phone string, name string")
+    exact = [MatchRule("email", "email", "exact", 3.0), MatchRule("city", "city", "exact", 1.0), MatchRule("phone", "phone", "exact", 1.0)]
+    ids = [r[0] for r in recs]
+    got = mt.detect_duplicates(df, "id", exact).collect()
+    brute = brute_links([r[:4] for r in recs], exact)
+    assert components(ids, [(x.a, x.b) for x in got]) == components(ids, brute) and (3, 4) in brute
+    mixed = [*exact, MatchRule("name", "name", "fuzzy_levenshtein", 2.0, name_threshold)]
+    got = {(min(x.a, x.b), max(x.a, x.b)) for x in mt.detect_duplicates(df, "id", mixed).collect()}
+    brute = brute_links(recs, mixed)
+    assert got <= set(brute)
+    if name_threshold:
+        assert components(ids, got) == components(ids, brute)
+
+
+def test_rules_without_candidates_are_refused(spark):
+    df = spark.createDataFrame([(1, "martha"), (2, "marhta")], "id long, name string")
+    with pytest.raises(ValueError):
+        mt.detect_duplicates(df, "id", [MatchRule("name", "name", "fuzzy_jaro_winkler", 1.0, 0.8)])
