@@ -76,8 +76,8 @@ def _(t):
 
 
 @query("cd07_scd2_null_keys", """
-SELECT k, at AS valid_from, coalesce(lead(at) OVER (PARTITION BY k ORDER BY at), TIMESTAMP '9999-12-31') AS valid_to, lead(at) OVER (PARTITION BY k ORDER BY at) IS NULL AS is_current
-FROM (SELECT CASE WHEN user_id % 3 > 0 THEN user_id % 50 END AS k, min(ts) AS at FROM events GROUP BY CASE WHEN user_id % 3 > 0 THEN user_id % 50 END, event_type, CAST(ts AS DATE))""")
+SELECT k, seen AS valid_from, coalesce(lead(seen) OVER (PARTITION BY k ORDER BY seen), TIMESTAMP '9999-12-31') AS valid_to, lead(seen) OVER (PARTITION BY k ORDER BY seen) IS NULL AS is_current
+FROM (SELECT CASE WHEN user_id % 3 > 0 THEN user_id % 50 END AS k, min(ts) AS seen FROM events GROUP BY CASE WHEN user_id % 3 > 0 THEN user_id % 50 END, event_type, CAST(ts AS DATE))""")
 def _(t):
     k = F.when(F.col("user_id") % 3 > 0, F.col("user_id") % 50)
     v = t.events.groupBy(k.alias("k"), "event_type", F.to_date("ts").alias("day")).agg(F.min("ts").alias("at")).drop("event_type", "day")
