@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.common import new_scratch_path
 from tallyframe.llm.batches import pack_flags, pack_sorted, unpack_flags, unpack_sorted
@@ -34,6 +35,8 @@ PIECE_BYTES = 4 << 20
 #: Items that one shard is laid out for.
 SHARD_ITEMS = 1 << 21
 
+LONG, DOUBLE, TEXT, BYTES = T.LongType(), T.DoubleType(), T.StringType(), T.BinaryType()
+
 PIECE_SCHEMA = "piece long, blob binary, n_bytes long"
 CELLS_SCHEMA = "shard long, piece long, n int, low int, unary binary, lows binary"
 BITS_SCHEMA = "piece long, shard long, n int, bits binary"
@@ -261,10 +264,10 @@ def total(pieces: DataFrame, count: Callable) -> int:
     return rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def output_schema(docs: DataFrame, extra: dict[str, str]) -> str:
+def output_schema(docs: DataFrame, extra: dict[str, T.DataType]) -> T.StructType:
     """Columns of docs, then the extra ones; an extra column takes the place of one of the same name."""
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields} | extra
-    return ", ".join(f"`{n}` {t}" for n, t in fields.items())
+    fields = {f.name: f.dataType for f in docs.schema.fields} | extra
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
 
 
 def exact_shards(items: int, least: int) -> int:

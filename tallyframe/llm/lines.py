@@ -84,7 +84,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
     A NULL or empty text is one empty line and comes back as an empty text. Rows that share an id
     are one document. NULL ids count as one document after all others. An empty table gives none.
     """
-    schema = ex.output_schema(docs, {text: "string", "n_lines": "bigint", "n_dropped": "bigint"})
+    schema = ex.output_schema(docs, {text: ex.TEXT, "n_lines": ex.LONG, "n_dropped": ex.LONG})
     pieces = ex.write_pieces(docs, text)
     read = lambda table: _Lines(table, text, least)
     lines = ex.total(pieces, lambda table: pa.compute.sum(pa.compute.count_substring(table[text], "\n")).as_py() or 0) + 1

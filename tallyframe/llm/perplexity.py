@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.common import cut_lineage, spread_join
 from tallyframe.llm.batches import _IS_BLANK, U64, Words, blocks, buffer, mix, with_columns
-from tallyframe.llm.exchange import output_schema
+from tallyframe.llm.exchange import DOUBLE, LONG, output_schema
 from tallyframe.llm.frames import restore, set_aside
 
 #: Bytes are folded into 32 symbols, so that there are at most 2**20 four-grams whatever the corpus.
@@ -30,7 +30,7 @@ MIN_WORDS, MAX_REPEATED = 20, 30
 #: deviation), and the least half width, both of the logarithm of the perplexity.
 WIDTH, LEAST_WIDTH = 8.0, 0.75
 BIN = 0.01
-METRICS = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint"}
+METRICS = {"n_words": LONG, "word_chars": LONG, "n_symbols": LONG, "n_dup_lines": LONG, "n_repeat_words": LONG}
 
 
 def _grams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def quality(docs: DataFrame, text: str = "text", lang: str | None = "lang", carr
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(fit_model(docs, text))
-    new = {**METRICS, "log_perplexity": "double"}
+    new = {**METRICS, "log_perplexity": DOUBLE}
     drop = [] if carry_text else [text]
 
     def run(batches):

@@ -80,7 +80,7 @@ def remove_repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str =
     NULL texts have no words and come back empty. Rows that share an id compare by position alone,
     so a run at the same place of two such rows stays in both. NULL ids come after all others.
     """
-    schema = ex.output_schema(docs, {text: "string", "n_words": "bigint", "n_removed": "bigint"})
+    schema = ex.output_schema(docs, {text: ex.TEXT, "n_words": ex.LONG, "n_removed": ex.LONG})
     pieces = ex.write_pieces(docs, text)
     n_words = ex.total(pieces, lambda table: len(Words(*buffer(table[text]), hashes=False)))
     layout = ex.Cells(n_words, VALUES)
