@@ -128,6 +128,43 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
+def _pairs_apart(apart: DataFrame, signature: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one bucket that are in different groups, one of them not in its leading group,
+    as far as they can reach the similarity at all.
+
+    A shingle that only one of these classes has is in no intersection. With ``most`` shingles that
+    others have too, a pair shares at most the smaller ``most``, which bounds its similarity exactly: classes
+    that changed too much are left out whole, and most pairs of the others before they are formed."""
+
+    def shingle_rows(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                owned = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                sizes = [len(x) for x in owned]
+                halves = np.frombuffer(b"".join(part.column(0).to_pylist()), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owned)), *[pa.array(np.repeat(halves[:, j], sizes)) for j in (0, 1)]],
+                                                 names=["h", "k1", "k2"])
+
+    def named(batches):
+        for batch in batches:
+            halves = np.stack([batch.column(j).to_numpy() for j in (0, 1)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in halves], pa.binary()), batch.column(2)], names=["node", "alone"])
+
+    nodes = apart.select("node").distinct()
+    rows = sets.join(nodes, "node", "left_semi").select("node", "hashes").mapInArrow(shingle_rows, "h long, k1 long, k2 long")
+    # A node's two halves are long numbers here, which Spark aggregates without sorting.
+    own = (rows.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.max("k1").alias("k1"), F.max("k2").alias("k2")).where("owners = 1")
+           .groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("alone")).mapInArrow(named, "node binary, alone long"))
+    alive = signature.select("node", "n").join(nodes, "node", "left_semi").join(own, "node", "left").select(
+        "node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
+    left = cut_lineage(apart.join(alive, "node"), "alive")
+    other = left.select("band", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("most").alias("other_most"))
+    shared = F.least("most", "other_most")
+    return left.where("label <> lead.label").join(other, "band").where(
+        (F.col("label") != F.col("other_label")) & (100 * shared >= percent * (F.col("n") + F.col("other_n") - shared)))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Group documents whose sets of word shingles have a similarity of ``percent`` or more.
 
@@ -139,9 +176,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
 
     Links inside a bucket are found without forming all its pairs: every member is compared with the
     member that shares most buckets with others; then, in buckets that don't belong together yet, with
-    the one that shares most among the rest; at last members that are still apart are compared with
-    all members of other groups. So a bucket costs a few pairs per member once it belongs together,
-    and no candidate pair between two groups is left untested.
+    one that shares most among the rest; at last members that are still apart are compared with the
+    members of other groups, unless a bound from the shingles they have alone tells that they can't be
+    near. So a bucket costs a few pairs per member, and no near pair of two groups is left untested.
 
     Returns one row per row of docs: doc_id, n_shingles, component_id (smallest id reachable over
     links) and kept (whether it is the document's own). A text without words is linked with nothing.
@@ -174,30 +211,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
 
     tested: list[DataFrame] = []
     links: list[DataFrame] = []
+    group = None
     labelled = member.withColumn("label", F.col("node"))
     for number in range(ROUNDS + 1):
         lead = labelled.groupBy("band").agg(F.max(F.struct("pop", "node", "label")).alias("lead"), F.min("label").alias("low"),
                                             F.max("label").alias("high")).where("low <> high").select("band", "lead")
         apart = cut_lineage(labelled.join(lead, "band"), "apart")
-        if number and apart.isEmpty():
+        if apart.isEmpty():
             break
         rest = apart.where("label <> lead.label") if number else apart
         if number < ROUNDS:
             centre = rest.groupBy("band").agg(F.max(F.struct("pop", "node", "label")).alias("c"))
             new = apart.join(centre, "band").where("label <> c.label").select(*pair("node", "c.node"))
         else:
-            other = apart.select("band", F.col("node").alias("other"), F.col("label").alias("other_label"))
-            new = rest.join(other, "band").where("label <> other_label").select(*pair("node", "other"))
+            new = _pairs_apart(apart, signature, sets, percent).select(*pair("node", "other"))
         new = new.distinct()
         if tested:
             new = new.join(union_all(tested), ["a", "b"], "left_anti")
         tested.append(cut_lineage(new, "pairs"))
-        links.append(link(tested[-1]))
-        if number < ROUNDS:
-            group = connected_components(union_all(links), "a", "b")
-            labelled = cut_lineage(member.join(group, "node", "left").select("band", "node", "pop", F.coalesce("component", "node").alias("label")), "labels")
-
-    group = cut_lineage(connected_components(union_all(links), "a", "b"), "groups")
+        found = link(tested[-1])
+        if found.isEmpty():
+            continue
+        links.append(found)
+        group = cut_lineage(connected_components(union_all(links), "a", "b"), "groups")
+        labelled = cut_lineage(member.join(group, "node", "left").select("band", "node", "pop", F.coalesce("component", "node").alias("label")), "labels")
+
+    if group is None:
+        group = classes.where(F.lit(False)).select("node", F.col("node").alias("component"))
     least = group.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_node = group.join(least, "component").select("node", "component_id")
     named = classes.select("node", "rep").join(of_node, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
