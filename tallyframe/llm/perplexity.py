@@ -9,26 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.common import cut_lineage, spread_join
+from tallyframe.common import cut_lineage, exceeds, spread_join
 from tallyframe.llm.batches import _IS_BLANK, U64, Words, blocks, buffer, mix, with_columns
 from tallyframe.llm.exchange import DOUBLE, LONG, output_schema
 from tallyframe.llm.frames import restore, set_aside
 
 #: Bytes are folded into 32 symbols, so that there are at most 2**20 four-grams whatever the corpus.
 BITS, ORDER = 5, 4
+#: Letters without case, blanks, digits, line ends, bytes beyond ASCII, sentence marks, all else.
 SYMBOLS = np.full(256, 31, np.uint8)
-SYMBOLS[33:127] = 30
 SYMBOLS[65:91] = SYMBOLS[97:123] = np.arange(26)
-SYMBOLS[48:58] = 27
 SYMBOLS[list(b"\t\x0b\x0c\r ")] = 26
+SYMBOLS[48:58] = 27
 SYMBOLS[10] = 28
-SYMBOLS[192:] = 29
-SYMBOLS[128:192] = np.where(np.arange(64) < 48, 29, 31)
+SYMBOLS[128:] = 29
+SYMBOLS[list(b".,;:!?'\"()-")] = 30
 
 MIN_WORDS, MAX_REPEATED = 20, 30
 #: Half the width of a band, in standard deviations of the language (from its median absolute
-#: deviation), and the least half width, both of the logarithm of the perplexity.
-WIDTH, LEAST_WIDTH = 8.0, 0.75
+#: deviation) at the text's length, and the least half width, both of the logarithm of the perplexity.
+WIDTH, LEAST_WIDTH = 6.0, 0.08
 BIN = 0.01
 METRICS = {"n_words": LONG, "word_chars": LONG, "n_symbols": LONG, "n_dup_lines": LONG, "n_repeat_words": LONG}
 
@@ -153,7 +153,7 @@ def _metrics(table: pa.Table, text: str, model: KneserNey, memo: np.ndarray) ->
     with np.errstate(invalid="ignore", divide="ignore"):
         log_perplexity = np.where(scored > 0, -np.bincount(doc, lp, minlength=n) / scored, np.nan)
     return {"n_words": words.counts(), "word_chars": per_doc(((buf & 0xC0) != 0x80) & ~_IS_BLANK[buf]), "n_symbols": per_doc(symbol[buf]),
-            "n_dup_lines": dup, "n_repeat_words": repeated, "log_perplexity": log_perplexity}
+            "n_dup_lines": dup, "n_repeat_words": repeated, "log_perplexity": log_perplexity, "__grams": scored}
 
 
 def fit_model(docs: DataFrame, text: str = "text") -> KneserNey:
@@ -163,27 +163,35 @@ def fit_model(docs: DataFrame, text: str = "text") -> KneserNey:
     return KneserNey(table["gram"].to_numpy(), table["n"].to_numpy())
 
 
-def language_bands(scored: DataFrame, lang: str) -> DataFrame:
-    """(lang, low, high): bounds of the logarithm of the perplexity, from its median and median
-    absolute deviation over all documents of a language, in bins of BIN. Only bins are counted, so a
-    language costs a few thousand rows."""
-    bins = (scored.where("log_perplexity IS NOT NULL")
-            .groupBy(F.coalesce(F.col(lang), F.lit("")).alias("band_lang"), F.round(F.col("log_perplexity") / BIN).cast("long").alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n")))
+def _by_language(rows: DataFrame, languages: DataFrame) -> DataFrame:
+    """Join rows with a table of one short row per language; more languages than a broadcast should
+    hold are joined with their hot ones spread."""
+    if exceeds(languages, 10_000):
+        return spread_join(rows, languages, ["band_lang"], "left")
+    return rows.join(F.broadcast(languages), "band_lang", "left")
+
+
+def _medians(values: DataFrame, value: str, name: str) -> DataFrame:
+    """(band_lang, name): median of a number per language, in bins of BIN. Only bins are gathered, a few
+    thousand per language."""
+    bins = values.groupBy("band_lang", F.round(F.col(value) / BIN).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    whole = bins.groupBy("band_lang").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"))
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at"))
+
+    def step(acc, b):
+        seen = acc["seen"] + b["n"]
+        return F.struct(seen.alias("seen"), F.coalesce(acc["at"], F.when(2 * seen >= F.col("total"), b["bin"])).alias("at"))
+
+    return whole.select("band_lang", (F.aggregate("bins", start, step)["at"] * BIN).alias(name))
 
-    def median(rows: DataFrame, value: str) -> DataFrame:
-        whole = rows.groupBy("band_lang").agg(F.sum("n").alias("total"), F.collect_list(F.struct(value, "n")).alias("bins"))
-        ordered = F.array_sort("bins")
-        reach = F.aggregate(ordered, F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at")),
-                            lambda acc, b: F.struct((acc["seen"] + b["n"]).alias("seen"), F.coalesce(acc["at"], F.when(
-                                2 * (acc["seen"] + b["n"]) >= F.col("total"), b[value])).alias("at")))
-        return whole.select("band_lang", reach["at"].alias("middle"))
 
-    centre = median(bins, "bin")
-    away = bins.join(centre, "band_lang").select("band_lang", F.abs(F.col("bin") - F.col("middle")).alias("away"), "n")
-    spread = median(away.groupBy("band_lang", "away").agg(F.sum("n").alias("n")), "away").withColumnRenamed("middle", "mad")
-    half = F.greatest(F.col("mad") * (1.4826 * WIDTH * BIN), F.lit(LEAST_WIDTH))
-    return centre.join(spread, "band_lang").select("band_lang", (F.col("middle") * BIN - half).alias("low"), (F.col("middle") * BIN + half).alias("high"))
+def language_bands(scored: DataFrame) -> DataFrame:
+    """(band_lang, middle, spread): median of the logarithm of the perplexity, and the standard deviation
+    of its distance from there times the root of the text's length, from the median absolute deviation."""
+    known = scored.where("log_perplexity IS NOT NULL").select("band_lang", "log_perplexity", "__grams")
+    middle = cut_lineage(_medians(known, "log_perplexity", "middle"), "bands")
+    away = _by_language(known, middle).select("band_lang", (F.abs(F.col("log_perplexity") - F.col("middle")) * F.sqrt("__grams")).alias("away"))
+    return cut_lineage(middle.join(_medians(away, "away", "mad"), "band_lang").select("band_lang", "middle", (1.4826 * F.col("mad")).alias("spread")), "bands")
 
 
 def quality(docs: DataFrame, text: str = "text", lang: str | None = "lang", carry_text: bool = True) -> DataFrame:
@@ -194,7 +202,9 @@ def quality(docs: DataFrame, text: str = "text", lang: str | None = "lang", carr
     n_repeat_words (words in windows of eight words found twice or more in the text). base_failed: under
     20 words, or over 30 % of the words repeated. log_perplexity: of a modified Kneser-Ney model of
     four bytes, folded into 32 symbols, counted over all texts. kept: not base_failed, and
-    the logarithm of the perplexity within the band of the text's language, both bounds included.
+    the logarithm of the perplexity within the band of the text's language, both bounds included: its
+    median, and WIDTH standard deviations to either side. Short texts vary more, so deviations are
+    measured times the root of the text's length, and the band of a text is as wide as its length asks.
 
     A NULL or empty text has no words and fails. Texts under four bytes have no perplexity. NULL
     languages are a language of their own, as are all texts if ``lang`` is None. Returns the columns
@@ -203,7 +213,7 @@ def quality(docs: DataFrame, text: str = "text", lang: str | None = "lang", carr
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(fit_model(docs, text))
-    new = {**METRICS, "log_perplexity": DOUBLE}
+    new = {**METRICS, "log_perplexity": DOUBLE, "__grams": LONG}
     drop = [] if carry_text else [text]
 
     def run(batches):
@@ -212,24 +222,19 @@ def quality(docs: DataFrame, text: str = "text", lang: str | None = "lang", carr
             for a, b in blocks(buffer(batch.column(batch.schema.get_field_index(text)))[1]):
                 table = pa.Table.from_batches([batch.slice(a, b - a)])
                 found = _metrics(table, text, held.value, memo)
-                columns = {k: pa.array(v.astype(np.int64)) for k, v in found.items() if k in METRICS}
+                columns = {k: pa.array(v.astype(np.int64)) for k, v in found.items() if k != "log_perplexity"}
                 columns["log_perplexity"] = pa.array(found["log_perplexity"], pa.float64(), from_pandas=True)
-                yield from with_columns(table.drop_columns(drop), columns)
+                ordered = {k: columns[k] for k in new}
+                yield from with_columns(table.drop_columns(drop), ordered)
 
     scored = cut_lineage(docs.mapInArrow(run, output_schema(docs.drop(*drop), new)), "quality")
-    group = lang if lang else "__all"
-    rows = scored if lang else scored.withColumn("__all", F.lit(""))
-    bands = cut_lineage(language_bands(rows, group), "bands")
-    keyed = rows.withColumn("band_lang", F.coalesce(F.col(group), F.lit("")))
-    # A band is a few bytes; more languages than this are joined with their hot ones spread.
-    if bands.count() <= 10_000:
-        judged = keyed.join(F.broadcast(bands), "band_lang", "left")
-    else:
-        judged = spread_join(keyed, bands, ["band_lang"], "left")
+    keyed = scored.withColumn("band_lang", F.coalesce(F.col(lang), F.lit("")) if lang else F.lit(""))
+    judged = _by_language(keyed, language_bands(keyed))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    return (judged.withColumn("base_failed", failed)
-            .withColumn("kept", ~failed & F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True)))
-            .drop("band_lang", "low", "high", *([] if lang else ["__all"])))
+    half = F.greatest(F.lit(LEAST_WIDTH), WIDTH * F.col("spread") / F.sqrt("__grams"))
+    inside = F.abs(F.col("log_perplexity") - F.col("middle")) <= half
+    return (judged.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(True)))
+            .drop("band_lang", "middle", "spread", "__grams"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
