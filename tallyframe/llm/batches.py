@@ -19,7 +19,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240501).integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 @lru_cache(maxsize=8)

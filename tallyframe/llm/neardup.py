@@ -22,7 +22,7 @@ SLACK = 0.25
 ROUNDS = 2
 
 _FACTORS = np.random.default_rng(7).integers(0, 2**62, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
-SKETCH = "doc_id long, n_shingles long, node binary, bands array<long>, signature array<long>"
+SKETCH = "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, signature array<long>"
 
 
 def shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +73,9 @@ def _sketch(batches, words: int) -> Iterator[pa.RecordBatch]:
                 nodes[d] = node_of(h[at[d]: at[d + 1]])
                 all_bands[d], all_low[d] = key[j], packed[j]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()),
+                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()),
                  pa.array(all_bands, pa.list_(pa.int64())), pa.array(all_low, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "bands", "signature"])
+                names=["doc_id", "text_hash", "n_shingles", "node", "bands", "signature"])
 
 
 def estimate(a: str, b: str) -> Column:
@@ -94,7 +94,8 @@ def estimate(a: str, b: str) -> Column:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(node, hashes) of the wanted nodes (doc_id, node), from the texts."""
+    """(node, hashes) of the wanted nodes, from the text of one row of each (its id and the hash of its
+    text, as ids may be NULL or repeated)."""
 
     def run(batches):
         for batch in batches:
@@ -106,8 +107,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())],
                                                  names=["node", "hashes"])
 
-    joined = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("node", "text")
-    # Rows that share an id may bring the same set twice.
+    same = (F.col("text_hash") == F.col("row.text_hash")) & F.col("doc_id").eqNullSafe(F.col("row.doc_id"))
+    joined = docs.join(wanted, same).select("node", "text")
+    # Equal rows bring the same set.
     return cut_lineage(joined.mapInArrow(run, "node binary, hashes binary").dropDuplicates(["node"]), "sets")
 
 
@@ -185,10 +187,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     NULL ids never give a component its name, unless it has no other; rows that share an id are one
     document with several sets.
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     sketch = cut_lineage(docs.mapInArrow(lambda it: _sketch(it, words), SKETCH), "minhash")
     classes = cut_lineage(sketch.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+        F.min("doc_id").alias("rep"), F.first(F.struct("doc_id", "text_hash")).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
         F.first("signature").alias("signature")), "classes")
 
     band = classes.select("node", F.explode("bands").alias("band"))
@@ -196,8 +198,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     member = cut_lineage(band.join(shared, "band"), "members")
     popular = member.groupBy("node").agg(F.sum("size").alias("pop"))
     member = cut_lineage(member.select("band", "node").join(popular, "node"), "members")
-    signature = classes.join(popular, "node", "left_semi").select("node", "rep", "n", "signature")
-    sets = _sets(docs, signature.select("rep", "node"), words)
+    signature = classes.join(popular, "node", "left_semi").select("node", "row", "n", "signature")
+    sets = _sets(docs, signature.select("row", "node"), words)
 
     def link(pairs: DataFrame) -> DataFrame:
         one = signature.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("signature").alias("ga"))

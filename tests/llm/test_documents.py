@@ -217,6 +217,15 @@ def test_near_duplicates(docs, empty, size):
     assert near_duplicates(empty, size, 80).collect() == []
 
 
+def test_near_duplicates_with_shared_and_missing_ids(spark):
+    from tallyframe.llm.neardup import near_duplicates
+
+    a, b = "one two three four five six seven eight", "red green blue black white grey brown pink"
+    rows = [(None, a), (None, a), (None, b), (7, a), (5, b), (5, "x " + b), (5, b), (9, None), (None, "")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()), key=str)
+    assert got == sorted([(None, 5, 7, False), (None, 5, 7, False), (None, 5, 5, False), (7, 5, 7, True), (5, 5, 5, True), (5, 6, 5, True), (5, 5, 5, True), (9, 0, 9, True), (None, 0, None, True)], key=str)
+
+
 def test_signature_estimates(spark):
     """The corrected estimate is right on average, and equal sets have one."""
     from tallyframe.llm import neardup
@@ -226,7 +235,7 @@ def test_signature_estimates(spark):
     for i in range(40):
         w = [f"w{r.randrange(10**9)}" for _ in range(300)]
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:270] + [f"v{r.randrange(10**9)}" for _ in range(30)]))]
-    df = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(lambda it: neardup._sketch(it, 4), neardup.SKETCH)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit(0).cast("long")).mapInArrow(lambda it: neardup._sketch(it, 4), neardup.SKETCH)
     one = df.where("doc_id % 2 = 0").select("doc_id", F.col("signature").alias("a"))
     two = df.where("doc_id % 2 = 1").select((F.col("doc_id") - 1).alias("doc_id"), F.col("signature").alias("b"))
     got = [x[0] for x in one.join(two, "doc_id").select(neardup.estimate("a", "b")).collect()]
