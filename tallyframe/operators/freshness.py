@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.common import as_ts, union_all, unpivot_stats
+from tallyframe.common import as_ts, unpivot_stats
 from tallyframe.operators.relational import latest_rows
 
 

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tallyframe.common import exact_sum, union_all
+from tallyframe.common import exact_sum
 from tallyframe.operators import anomaly as an
 from tallyframe.operators import freshness as fr
 from tallyframe.operators import health as hs
-from tallyframe.plans.fixtures import check_runs, daily_metrics, orders_dest, with_ctes
+from tallyframe.plans.fixtures import check_runs, daily_metrics, with_ctes
 from tallyframe.plans.registry import query
 
 M = with_ctes("daily_metrics")

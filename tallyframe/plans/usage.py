@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tallyframe.common import union_all
 from tallyframe.operators import checkset as cs
 from tallyframe.operators import contracts as dc
 from tallyframe.operators import cost as fo
