@@ -17,8 +17,9 @@ from tallyframe.operators.matching import connected_components
 #: Minima kept per document: BANDS groups of ROWS for candidates, and the low BITS of each for
 #: estimates. At a similarity of 0.8 a pair shares no band with a chance of 0.5904**24, 3 in a million.
 BANDS, ROWS, BITS = 24, 4, 4
-#: An estimate may be this much too low (about six standard deviations) before a pair is left out.
-SLACK = 0.25
+#: An estimate may be this much too low before a pair is left out: four and a half standard deviations,
+#: a chance of 3 in a million at a similarity of 0.8.
+SLACK = 0.19
 ROUNDS = 2
 
 _FACTORS = np.random.default_rng(7).integers(0, 2**62, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
@@ -136,7 +137,8 @@ def _pairs_apart(apart: DataFrame, signature: DataFrame, sets: DataFrame, percen
 
     A shingle that only one of these classes has is in no intersection. With ``most`` shingles that
     others have too, a pair shares at most the smaller ``most``, which bounds its similarity exactly: classes
-    that changed too much are left out whole, and most pairs of the others before they are formed."""
+    that changed too much are left out whole, and most pairs of the others before they are formed, as are
+    pairs whose estimate is far too low."""
 
     def shingle_rows(batches):
         for batch in batches:
@@ -158,13 +160,15 @@ def _pairs_apart(apart: DataFrame, signature: DataFrame, sets: DataFrame, percen
     # A node's two halves are long numbers here, which Spark aggregates without sorting.
     own = (rows.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.max("k1").alias("k1"), F.max("k2").alias("k2")).where("owners = 1")
            .groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("alone")).mapInArrow(named, "node binary, alone long"))
-    alive = signature.select("node", "n").join(nodes, "node", "left_semi").join(own, "node", "left").select(
-        "node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
+    alive = signature.select("node", "n", "signature").join(nodes, "node", "left_semi").join(own, "node", "left").select(
+        "node", "n", "signature", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
     left = cut_lineage(apart.join(alive, "node"), "alive")
-    other = left.select("band", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("most").alias("other_most"))
+    other = left.select("band", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("most").alias("other_most"),
+                        F.col("signature").alias("other_signature"))
     shared = F.least("most", "other_most")
     return left.where("label <> lead.label").join(other, "band").where(
-        (F.col("label") != F.col("other_label")) & (100 * shared >= percent * (F.col("n") + F.col("other_n") - shared)))
+        (F.col("label") != F.col("other_label")) & (100 * shared >= percent * (F.col("n") + F.col("other_n") - shared))
+        & (estimate("signature", "other_signature") >= percent / 100 - SLACK))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
