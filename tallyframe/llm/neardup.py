@@ -138,7 +138,7 @@ def _pairs_apart(apart: DataFrame, signature: DataFrame, sets: DataFrame, percen
     A shingle that only one of these classes has is in no intersection. With ``most`` shingles that
     others have too, a pair shares at most the smaller ``most``, which bounds its similarity exactly: classes
     that changed too much are left out whole, and most pairs of the others before they are formed, as are
-    pairs whose estimate is far too low."""
+    pairs whose estimate is far too low. A pair comes up in the first band it shares alone."""
 
     def shingle_rows(batches):
         for batch in batches:
@@ -160,15 +160,16 @@ def _pairs_apart(apart: DataFrame, signature: DataFrame, sets: DataFrame, percen
     # A node's two halves are long numbers here, which Spark aggregates without sorting.
     own = (rows.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.max("k1").alias("k1"), F.max("k2").alias("k2")).where("owners = 1")
            .groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("alone")).mapInArrow(named, "node binary, alone long"))
-    alive = signature.select("node", "n", "signature").join(nodes, "node", "left_semi").join(own, "node", "left").select(
-        "node", "n", "signature", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
+    alive = signature.select("node", "n", "signature", "bands").join(nodes, "node", "left_semi").join(own, "node", "left").select(
+        "node", "n", "signature", "bands", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
     left = cut_lineage(apart.join(alive, "node"), "alive")
     other = left.select("band", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("most").alias("other_most"),
-                        F.col("signature").alias("other_signature"))
+                        F.col("signature").alias("other_signature"), F.col("bands").alias("other_bands"))
+    first = F.coalesce(*[F.when(F.col("bands")[i] == F.col("other_bands")[i], F.col("bands")[i]) for i in range(BANDS)])
     shared = F.least("most", "other_most")
     return left.where("label <> lead.label").join(other, "band").where(
         (F.col("label") != F.col("other_label")) & (100 * shared >= percent * (F.col("n") + F.col("other_n") - shared))
-        & (estimate("signature", "other_signature") >= percent / 100 - SLACK))
+        & (first == F.col("band")) & (estimate("signature", "other_signature") >= percent / 100 - SLACK))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,7 +203,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     member = cut_lineage(band.join(shared, "band"), "members")
     popular = member.groupBy("node").agg(F.sum("size").alias("pop"))
     member = cut_lineage(member.select("band", "node").join(popular, "node"), "members")
-    signature = classes.join(popular, "node", "left_semi").select("node", "row", "n", "signature")
+    signature = classes.join(popular, "node", "left_semi").select("node", "row", "n", "signature", "bands")
     sets = _sets(docs, signature.select("row", "node"), words)
 
     def link(pairs: DataFrame) -> DataFrame:
