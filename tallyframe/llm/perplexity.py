@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.common import cut_lineage, exceeds, spread_join
+from tallyframe.llm import alphabet
+from tallyframe.llm import exchange as ex
 from tallyframe.llm.batches import _IS_BLANK, U64, Words, blocks, buffer, mix, with_columns
 from tallyframe.llm.exchange import DOUBLE, LONG, output_schema
 from tallyframe.llm.frames import restore, set_aside
@@ -185,12 +187,12 @@ def _medians(values: DataFrame, value: str, name: str) -> DataFrame:
     return whole.select("band_lang", (F.aggregate("bins", start, step)["at"] * BIN).alias(name))
 
 
-def language_bands(scored: DataFrame) -> DataFrame:
+def language_bands(scored: DataFrame, value: str = "log_perplexity", grams: str = "__grams") -> DataFrame:
     """(band_lang, middle, spread): median of the logarithm of the perplexity, and the standard deviation
     of its distance from there times the root of the text's length, from the median absolute deviation."""
-    known = scored.where("log_perplexity IS NOT NULL").select("band_lang", "log_perplexity", "__grams")
-    middle = cut_lineage(_medians(known, "log_perplexity", "middle"), "bands")
-    away = _by_language(known, middle).select("band_lang", (F.abs(F.col("log_perplexity") - F.col("middle")) * F.sqrt("__grams")).alias("away"))
+    known = scored.where(F.col(value).isNotNull()).select("band_lang", value, grams)
+    middle = cut_lineage(_medians(known, value, "middle"), "bands")
+    away = _by_language(known, middle).select("band_lang", (F.abs(F.col(value) - F.col("middle")) * F.sqrt(grams)).alias("away"))
     return cut_lineage(middle.join(_medians(away, "away", "mad"), "band_lang").select("band_lang", "middle", (1.4826 * F.col("mad")).alias("spread")), "bands")
 
 
@@ -206,35 +208,44 @@ def quality(docs: DataFrame, text: str = "text", lang: str | None = "lang", carr
     median, and WIDTH standard deviations to either side. Short texts vary more, so deviations are
     measured times the root of the text's length, and the band of a text is as wide as its length asks.
 
-    A NULL or empty text has no words and fails. Texts under four bytes have no perplexity. NULL
+    Folding drops case and every letter beyond ASCII, so texts are judged a second time by a model of
+    whole code points that grows with the corpus (``alphabet``): log_perplexity_points, of the half of the
+    corpus that a text isn't in. It must not lie above its band; below lie near copies, which the first
+    band judges.
+
+    A NULL or empty text has no words and fails. Texts under four bytes, or code points, have no
+    perplexity. NULL
     languages are a language of their own, as are all texts if ``lang`` is None. Returns the columns
     of docs (without ``text`` unless ``carry_text``), then these, which take the place of columns so
-    named. The model is bounded by its 2**20 n-grams (16 MB), the bands by the number of languages.
+    named. The folded model is bounded by its 2**20 n-grams (16 MB), the bands by the number of languages;
+    the other stays in Spark's tables.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(fit_model(docs, text))
-    new = {**METRICS, "log_perplexity": DOUBLE, "__grams": LONG}
+    new = {**METRICS, "log_perplexity": DOUBLE, "log_perplexity_points": DOUBLE, "__grams": LONG, "__points": LONG}
     drop = [] if carry_text else [text]
+    pieces = ex.write_pieces(docs, text)
 
-    def run(batches):
+    def finish(piece, table, answers):
         memo = np.full(1 << BITS * ORDER, np.nan, np.float32)
-        for batch in batches:
-            for a, b in blocks(buffer(batch.column(batch.schema.get_field_index(text)))[1]):
-                table = pa.Table.from_batches([batch.slice(a, b - a)])
-                found = _metrics(table, text, held.value, memo)
-                columns = {k: pa.array(v.astype(np.int64)) for k, v in found.items() if k != "log_perplexity"}
-                columns["log_perplexity"] = pa.array(found["log_perplexity"], pa.float64(), from_pandas=True)
-                ordered = {k: columns[k] for k in new}
-                yield from with_columns(table.drop_columns(drop), ordered)
-
-    scored = cut_lineage(docs.mapInArrow(run, output_schema(docs.drop(*drop), new)), "quality")
+        points, scored = alphabet.held_out(table, text, answers[0])
+        for a, b in blocks(buffer(table[text])[1]):
+            part = table.slice(a, b - a)
+            found = _metrics(part, text, held.value, memo) | {"log_perplexity_points": points[a:b], "__points": scored[a:b]}
+            ordered = {k: pa.array(found[k], pa.float64(), from_pandas=True) if t is DOUBLE else pa.array(found[k].astype(np.int64)) for k, t in new.items()}
+            yield from with_columns(part.drop_columns(drop), ordered)
+
+    scored = cut_lineage(ex.with_answers(pieces, [alphabet.answers(pieces, text)], finish, output_schema(docs.drop(*drop), new)), "quality")
     keyed = scored.withColumn("band_lang", F.coalesce(F.col(lang), F.lit("")) if lang else F.lit(""))
     judged = _by_language(keyed, language_bands(keyed))
+    judged = _by_language(judged, language_bands(keyed, "log_perplexity_points", "__points").withColumnsRenamed(
+        {"middle": "__middle", "spread": "__spread"}))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    half = F.greatest(F.lit(LEAST_WIDTH), WIDTH * F.col("spread") / F.sqrt("__grams"))
-    inside = F.abs(F.col("log_perplexity") - F.col("middle")) <= half
-    return (judged.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(True)))
-            .drop("band_lang", "middle", "spread", "__grams"))
+    half = lambda spread, grams: F.greatest(F.lit(LEAST_WIDTH), WIDTH * F.col(spread) / F.sqrt(grams))
+    inside = F.abs(F.col("log_perplexity") - F.col("middle")) <= half("spread", "__grams")
+    below = F.col("log_perplexity_points") - F.col("__middle") <= half("__spread", "__points")
+    return (judged.withColumn("base_failed", failed).withColumn("kept", ~failed & F.coalesce(inside, F.lit(True)) & F.coalesce(below, F.lit(True)))
+            .drop("band_lang", "middle", "spread", "__middle", "__spread", "__grams", "__points"))
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:

@@ -322,6 +322,60 @@ def test_bands_reject_noise(spark):
     assert kept == set(range(300))
 
 
+def test_bands_reject_swapped_letters(spark):
+    """Letters beyond ASCII and case count: a text whose letters are exchanged for others of equal byte length goes."""
+    from tallyframe.llm.perplexity import quality
+
+    r = random.Random(5)
+    for alphabet in ("абвгдежзийклмнопрстуфхцчшщыьэюя", "的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年"):
+        vocabulary = ["".join(r.choice(alphabet) for _ in range(r.randint(2, 7))) for _ in range(60)]
+        say = lambda: " ".join(r.choice(vocabulary) for _ in range(120))
+        noise = lambda: "".join(x if x == " " else r.choice(alphabet) for x in say())
+        rows = [(i, say(), "xx") for i in range(300)] + [(1000 + i, noise(), "xx") for i in range(5)]
+        kept = {x.doc_id for x in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("kept").collect()}
+        assert kept == set(range(300))
+
+
+def points_brute(texts):
+    """log_perplexity_points by dictionaries: modified Kneser-Ney of the other half's code points."""
+    from collections import Counter
+
+    half = [zlib.crc32((t or "").encode()) & 1 for t in texts]
+
+    def model(h):
+        counts = {4: Counter(t[i: i + 4] for t, x in zip(texts, half) if t and x == h for i in range(len(t) - 3))}
+        for k in (3, 2, 1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        off = {}
+        for k, c in counts.items():
+            n = [sum(v == j for v in c.values()) for j in range(5)]
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+            off[k] = [0] + [min(j, max(0.1, j - (j + 1) * y * n[j + 1] / n[j])) if n[j] else 0.5 for j in (1, 2, 3)]
+
+        def p(gram):
+            k = len(gram)
+            if k == 0:
+                return 2.0 ** -21
+            follow = [v for g, v in counts[k].items() if g[:-1] == gram[:-1]]
+            own = counts[k].get(gram, 0)
+            return (own - off[k][min(own, 3)] + sum(off[k][min(v, 3)] for v in follow) * p(gram[1:])) / sum(follow) if follow else p(gram[1:])
+
+        return p
+
+    models = [model(0), model(1)]
+    return [np.mean([-np.log(models[1 - h](t[i: i + 4])) for i in range(len(t) - 3)]) if t and len(t) > 3 else None for t, h in zip(texts, half)]
+
+
+def test_perplexity_of_code_points(spark):
+    from tallyframe.llm.perplexity import quality
+
+    texts = ["the cat sat on the mat", "a cat, a hat; 12 bats!", "Zé $#\nthe end", "the", None, "", "aaaaaaaaaaaa", "日本語のテキスト日本語", "日本語のテキスト", "😀😀😀é😀😀", "The Cat sat", "日本"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.log_perplexity_points for r in quality(df, lang=None).collect()}
+    for i, want in enumerate(points_brute(texts)):
+        assert (got[i] is None and want is None) or got[i] == pytest.approx(want, rel=1e-5)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
