@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.batches import U64, Words, blocks, buffer, mix
 
-#: Which words of a stretch a seed reads (1) and which may differ (0). One changed word in any
-#: stretch of 12 leaves at least one of the four masks a hit.
-MASKS = ("11111111", "110110110011", "111010011101", "1100111001011")
+#: Which words of a stretch a seed reads (1) and which may differ (0). Every stretch of at least
+#: MIN_WORDS equal words and more than MIN_SHARE equal words holds a hit of one of them, wherever the
+#: changed words are: a test goes through all patterns.
+MASKS = ("110111", "1111001", "1110101", "11001011", "1101000011", "10000101011")
 #: Words of the benchmark that one pass over the documents holds.
 BLOCK_WORDS = 400_000
 MIN_WORDS, MIN_SHARE = 10, 0.7
 _FILTER_BITS = 22
+#: Pairs of words that are compared at once.
+_COMPARED = 1 << 22
 
 MATCHES = "doc_id long, item_id long, n_matched long, first_word long, last_word long, identity double"
 
@@ -64,7 +67,7 @@ class Benchmark:
             there = self.at[np.repeat(low, count) + np.arange(len(here)) - np.repeat(np.cumsum(count) - count, count)] if len(here) else here
             found.append(np.stack([here - there, np.searchsorted(self.first, there, side="right") - 1, words.doc[here] if len(here) else here], axis=1))
         # All hits on one diagonal of a text and an item are one alignment.
-        for shift, item, row in np.unique(np.concatenate(found), axis=0).tolist():
+        for shift, item, row in self._equal_enough(words, np.unique(np.concatenate(found), axis=0), least).tolist():
             begin = max(self.first[item] + shift, words.first[row])
             end = min(self.first[item + 1] + shift, words.first[row + 1])
             same = words.hash[begin:end] == self.hash[begin - shift: end - shift]
@@ -78,6 +81,24 @@ class Benchmark:
         return out
 
 
+    def _equal_enough(self, words: Words, found: np.ndarray, least: int) -> np.ndarray:
+        """The alignments (shift, item, row) with at least ``least`` equal words, many compared at once."""
+        shift, item, row = found.T
+        begin = np.maximum(self.first[item] + shift, words.first[row])
+        size = np.minimum(self.first[item + 1] + shift, words.first[row + 1]) - begin
+        ends = np.cumsum(size)
+        keep = np.zeros(len(found), bool)
+        a = 0
+        while a < len(found):
+            done = ends[a] - size[a]
+            b = max(a + 1, int(np.searchsorted(ends, done + _COMPARED, side="right")))
+            at = np.arange(ends[b - 1] - done) + np.repeat(begin[a:b] - (ends[a:b] - size[a:b] - done), size[a:b])
+            equal = words.hash[at] == self.hash[at - np.repeat(shift[a:b], size[a:b])]
+            keep[a:b] = np.bincount(np.repeat(np.arange(b - a), size[a:b]), equal, minlength=b - a) >= least
+            a = b
+        return found[keep]
+
+
 def _best_stretch(same: np.ndarray, share: float) -> tuple[int, int] | None:
     """The stretch with the best score where an equal word counts 1 and another share / (share - 1):
     its score is above zero only if more than ``share`` of its words are equal."""

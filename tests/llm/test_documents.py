@@ -453,6 +453,36 @@ def test_every_changed_word_leaves_a_seed():
             assert hit
 
 
+def test_every_passage_leaves_a_seed():
+    """The most equal words of any stretch without a hit, by its length and last words, never suffice."""
+    from tallyframe.llm.decontaminate import MASKS, MIN_SHARE, MIN_WORDS
+
+    bits = max(map(len, MASKS))
+    reads = [int(m, 2) for m in MASKS]
+    most = {0: 0}  # last words, equal (1) or changed (0), before the begin none is equal
+    for n in range(1, 400):
+        after = {}
+        for last, equal in most.items():
+            for bit in (0, 1):
+                now = (last << 1 | bit) & (1 << bits) - 1
+                if not any(now & m == m for m in reads):
+                    after[now & (1 << bits - 1) - 1] = max(after.get(now & (1 << bits - 1) - 1, 0), equal + bit)
+        most = after
+        best = max(most.values())
+        assert best < MIN_WORDS or best <= MIN_SHARE * n, (n, best)
+
+
+def test_changed_passages_are_found(spark):
+    from tallyframe.llm.decontaminate import benchmark_matches
+
+    item = [f"w{i}" for i in range(24)]
+    patterns = [(12, {5}), (12, {8}), (11, {4}), (24, set(range(3, 24, 4)))]
+    rows = [(d, " ".join("x" if i in gone else w for i, w in enumerate(item[:n]))) for d, (n, gone) in enumerate(patterns)]
+    items = [(n, " ".join(item[:n])) for n in {n for n, _ in patterns}]
+    got = benchmark_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(d, n) for d, (n, _) in enumerate(patterns)} <= {(r.doc_id, r.item_id) for r in got}
+
+
 def test_packing(docs, empty):
     from public_tokenizers import path
     from tokenizers import Tokenizer
