@@ -45,6 +45,8 @@ class Benchmark:
     def __init__(self, ids: list, texts: list, masks: tuple[str, ...]):
         words = Words(*buffer(pa.array(texts, pa.string())), lower=True)
         self.ids, self.first, self.hash, self.masks = ids, words.first, words.hash, masks
+        sizes = np.diff(words.first)
+        self.whole = {n: words.run_hash(words.first[:-1][sizes == n], n) for n in np.unique(sizes).tolist() if n}
         found = [_seeds(words.hash, words.first, m, i) for i, m in enumerate(masks)]
         at, h = (np.concatenate(x) for x in zip(*found))
         order = np.argsort(h, kind="stable")
@@ -71,13 +73,20 @@ class Benchmark:
             begin = max(self.first[item] + shift, words.first[row])
             end = min(self.first[item + 1] + shift, words.first[row + 1])
             same = words.hash[begin:end] == self.hash[begin - shift: end - shift]
-            best = _best_stretch(same, share)
-            if best is None:
-                continue
-            a, b = best
-            n = int(same[a:b].sum())
-            if n >= least:
+            for a, b in _stretches(same, least, share):
+                n = int(same[a:b].sum())
                 out.append((row, item, n, int(begin + a - words.first[row]), int(begin + b - 1 - words.first[row]), n / (b - a)))
+        # An item of fewer words than any stretch needs must be there as a whole.
+        sizes = np.diff(self.first)
+        for size in np.unique(sizes[(sizes > 0) & (sizes < least)]).tolist():
+            short = np.flatnonzero(sizes == size)
+            h = self.whole[size]
+            order = np.argsort(h, kind="stable")
+            at, here = words.windows(size)
+            low, high = np.searchsorted(h[order], here, "left"), np.searchsorted(h[order], here, "right")
+            for i in np.flatnonzero(high > low).tolist():
+                row, place = int(words.doc[at[i]]), int(at[i] - words.first[words.doc[at[i]]])
+                out += [(row, item, size, place, place + size - 1, 1.0) for item in short[order[low[i]: high[i]]].tolist()]
         return out
 
 
@@ -99,15 +108,35 @@ class Benchmark:
         return found[keep]
 
 
-def _best_stretch(same: np.ndarray, share: float) -> tuple[int, int] | None:
-    """The stretch with the best score where an equal word counts 1 and another share / (share - 1):
-    its score is above zero only if more than ``share`` of its words are equal."""
-    score = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -share / (1 - share)))])
+def _stretches(same: np.ndarray, least: int, share: float) -> list[tuple[int, int]]:
+    """Disjoint stretches with at least ``least`` equal words, of which more than ``share`` are equal:
+    the one with the best score, then those before and behind it, until none is left."""
+    out, todo = [], [(0, len(same))]
+    while todo:
+        begin, end = todo.pop()
+        best = _best_stretch(same[begin:end], least, share)
+        if best is not None:
+            a, b = begin + best[0], begin + best[1]
+            out.append((a, b))
+            todo += [(begin, a), (b, end)]
+    return sorted(out)
+
+
+def _best_stretch(same: np.ndarray, least: int, share: float) -> tuple[int, int] | None:
+    """The stretch with the best score of those with ``least`` equal words, where an equal word counts 1
+    and another share / (share - 1): its score is above zero only if more than ``share`` of its words are equal."""
+    equal = np.concatenate([[0], np.cumsum(same)])
+    if equal[-1] < least:
+        return None
+    score = equal - (np.arange(len(equal)) - equal) * (share / (1 - share))
+    # A stretch that ends at b begins at the latest where ``least`` equal words are still to come.
+    latest = np.searchsorted(equal, equal - least, side="right") - 1
     lowest = np.minimum.accumulate(score)
-    b = int(np.argmax(score - lowest))
-    if score[b] <= lowest[b]:
+    gain = np.where(latest >= 0, score - lowest[latest], -np.inf)
+    b = int(np.argmax(gain))
+    if gain[b] <= 1e-9:
         return None
-    return int(np.flatnonzero(score[: b + 1] == lowest[b])[-1]), b
+    return int(np.flatnonzero(score[: latest[b] + 1] == lowest[latest[b]])[-1]), b
 
 
 def _blocks_of(items: DataFrame, item_id: str, text: str, words: int) -> Iterator[Benchmark]:
@@ -128,12 +157,13 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     Words are split at blanks after lower-casing A-Z. A seed is the hash of the words that a fixed
     mask reads; exchanged words that fall on the mask's gaps don't change it. Seeds of documents are
     joined with those of the items by hash. Around each hit the document and the item are laid on
-    each other at that shift, over the item's whole length, and compared word by word. The stretch
-    with the best balance is reported if more than ``share`` of its words are equal and at least
-    ``least`` words are.
+    each other at that shift, over the item's whole length, and compared word by word. Of the stretches
+    with at least ``least`` equal words, more than ``share`` of all, the one with the best balance is
+    reported, then those of the words before and behind it. An item of fewer than ``least`` words is
+    reported where it stands as a whole.
 
     The benchmark is joined in blocks of about ``block_words`` words, each in one pass over the
-    documents that moves no document. Returns a row per document, item and alignment: doc_id,
+    documents that moves no document. Returns a row per document, item and stretch: doc_id,
     item_id, n_matched, first_word and last_word (places in the document, from 0), identity.
     NULL and empty texts match nothing. Rows that repeat are reported each.
     """

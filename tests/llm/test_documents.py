@@ -483,6 +483,28 @@ def test_changed_passages_are_found(spark):
     assert {(d, n) for d, (n, _) in enumerate(patterns)} <= {(r.doc_id, r.item_id) for r in got}
 
 
+def test_all_stretches_of_an_alignment(spark):
+    """A better but shorter run hides no stretch, several of one alignment come out, short items count whole."""
+    from tallyframe.llm.decontaminate import _stretches, benchmark_matches
+
+    r = random.Random(12)
+    for _ in range(300):
+        same = np.array([r.random() < r.choice([0.5, 0.75, 0.9]) for _ in range(r.randint(1, 45))])
+        sums = np.concatenate([[0], np.cumsum(same)])
+        fits = lambda a, b: sums[b] - sums[a] >= 10 and 10 * (sums[b] - sums[a]) > 7 * (b - a)
+        got = _stretches(same, 10, 0.7)
+        assert all(fits(a, b) for a, b in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        free = [0, *[x for g in got for x in g], len(same)]
+        assert not any(fits(a, b) for lo, hi in zip(free[::2], free[1::2]) for a in range(lo, hi) for b in range(a + 1, hi + 1))
+    item = [f"w{i}" for i in range(60)]
+    gone = {0: set(range(9, 30)) | {36} | set(range(42, 60)), 1: set(range(15, 40)), 2: {2, 5, 8, 11} | set(range(14, 60))}
+    rows = [(d, " ".join("x" if i in out else w for i, w in enumerate(item))) for d, out in gone.items()] + [(3, "so A Short item here"), (4, "a short items")]
+    items = [(1, " ".join(item)), (2, "a short item")]
+    got = benchmark_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.doc_id, x.item_id, x.n_matched, x.first_word, x.last_word) for x in got) == [
+        (0, 1, 11, 30, 41), (1, 1, 15, 0, 14), (1, 1, 20, 40, 59), (2, 1, 10, 0, 13), (3, 2, 3, 1, 3)]
+
+
 def test_packing(docs, empty):
     from public_tokenizers import path
     from tokenizers import Tokenizer
