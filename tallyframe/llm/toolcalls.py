@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import types as T
 
 from tallyframe.common import cut_lineage, exceeds, spread_join
 
-TYPES = ("string", "integer", "number", "boolean")
+TYPES = ("string", "integer", "number", "boolean", "object", "array")
+#: A string of JSON, kept as it is, or the part of a number before a fraction of zero.
+_WHOLE = r'("(?:[^"\\]++|\\.)*+")|(-?[0-9]++)\.0(?=[,\]}E]|$)'
 
 
 def json_text(value: Column) -> Column:
@@ -22,16 +25,41 @@ def canonical_object(entries: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", F.transform(F.array_sort(entries), lambda e: F.concat(json_text(e["key"]), F.lit(":"), e["literal"]))), F.lit("}"))
 
 
-def canonical_arguments(arguments: Column) -> Column:
-    """JSON of a map from names to texts; NULL values are null, a NULL map is {}."""
+def canonical_value(value: Column) -> Column:
+    """JSON of a variant: keys in order at every level, no blanks, numbers without trailing zeros."""
+    return F.regexp_replace(F.to_json(value), F.lit(_WHOLE), F.lit("$1$2"))
+
+
+def _is_json(frame: DataFrame) -> bool:
+    return isinstance(frame.schema["arguments"].dataType, T.StringType)
+
+
+def canonical_arguments(arguments: Column, is_json: bool = False) -> Column:
+    """JSON of a map from names to texts; NULL values are null, a NULL map is {}. Or of a JSON text
+    (``is_json``), whose values keep their types; a text that isn't JSON becomes a string."""
+    if is_json:
+        return F.coalesce(canonical_value(F.try_parse_json(F.coalesce(arguments, F.lit("{}")))), json_text(arguments))
     entries = F.map_entries(F.coalesce(arguments, F.create_map().cast("map<string,string>")))
     return canonical_object(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), json_text(e["value"]).alias("literal"))))
 
 
 def fits_type(value: Column, kind: Column) -> Column:
-    """Whether a text is a value of a schema type."""
-    return (F.when(kind == "integer", value.rlike(r"^-?(0|[1-9][0-9]*)$")).when(kind == "boolean", value.isin("true", "false"))
-            .when(kind == "number", value.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")).otherwise(F.lit(True)))
+    """Whether a text is a value of a schema type; NULL for a type that isn't one of TYPES. Without a
+    type (NULL), any value fits."""
+    parsed = F.coalesce(F.schema_of_variant(F.try_parse_json(value)), F.lit(""))
+    return (F.when(kind.isNull() | (kind == "string"), F.lit(True)).when(kind == "integer", value.rlike(r"^-?(0|[1-9][0-9]*)$"))
+            .when(kind == "boolean", value.isin("true", "false")).when(kind == "number", value.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"))
+            .when(kind == "object", parsed.startswith("OBJECT")).when(kind == "array", parsed.startswith("ARRAY")))
+
+
+def fits_json_type(value: Column, kind: Column) -> Column:
+    """The same for a variant. A number without a fraction is an integer, however it is written."""
+    found, text = F.schema_of_variant(value), canonical_value(value)
+    number = found.rlike("^(BIGINT|DECIMAL|DOUBLE)")
+    real = text.try_cast("double")
+    return (F.when(kind.isNull(), F.lit(True)).when(kind == "string", found == "STRING").when(kind == "boolean", found == "BOOLEAN").when(kind == "number", number)
+            .when(kind == "integer", number & (text.rlike("^-?[0-9]+$") | (text.contains("E") & F.coalesce(F.floor(real).cast("double") == real, F.abs(real) > 1e15))))
+            .when(kind == "object", found.startswith("OBJECT")).when(kind == "array", found.startswith("ARRAY")))
 
 
 def call_levels(calls: DataFrame) -> DataFrame:
@@ -62,7 +90,9 @@ def call_levels(calls: DataFrame) -> DataFrame:
 def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """(call_id, errors): sorted messages on unknown tools, missing, unknown and ill-typed arguments.
 
-    schemas has a row per argument: tool, argument, type, required, values (allowed texts or NULL). A
+    schemas has a row per argument: tool, argument, type (one of TYPES, NULL for any), required, values
+    (allowed texts or NULL; canonical JSON for values that aren't strings). A type of another name is
+    reported with its argument. Arguments that aren't a JSON object are reported as ``json``. A
     tool's arguments are gathered into one row, which is joined to its calls.
     """
     tools = schemas.where("tool IS NOT NULL").groupBy("tool").agg(F.array_sort(F.collect_list(F.struct(
@@ -71,15 +101,27 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
         joined = spread_join(calls.select("call_id", "tool", "arguments"), tools, ["tool"], "left")
     else:
         joined = calls.select("call_id", "tool", "arguments").join(F.broadcast(tools), "tool", "left")
-    given = F.coalesce("arguments", F.create_map().cast("map<string,string>"))
+    is_json = _is_json(calls)
+    if is_json:
+        parsed = F.try_parse_json(F.coalesce("arguments", F.lit("{}")))
+        joined = joined.withColumn("__parsed", parsed).withColumn("__object", F.coalesce(F.schema_of_variant("__parsed").startswith("OBJECT"), F.lit(False)))
+        joined = joined.withColumn("__given", F.when(F.col("__object"), F.try_variant_get("__parsed", "$", "map<string,variant>")))
+        given = F.coalesce("__given", F.create_map().cast("map<string,variant>"))
+        fits, absent = fits_json_type, lambda v: v.isNull() | (F.schema_of_variant(v) == "VOID")
+        text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(canonical_value(v))
+    else:
+        given = F.coalesce("arguments", F.create_map().cast("map<string,string>"))
+        fits, absent, text = fits_type, lambda v: v.isNull(), lambda v: v
     value = lambda r: F.element_at(given, r["argument"])
-    per_rule = F.transform("rules", lambda r: F.when(
-        value(r).isNull(), F.when(r["required"], F.concat(F.lit("missing:"), r["argument"])))
-        .when(~fits_type(value(r), r["type"]), F.concat(F.lit("type:"), r["argument"]))
-        .when(r["values"].isNotNull() & ~F.array_contains(r["values"], value(r)), F.concat(F.lit("value:"), r["argument"])))
+    per_rule = F.transform("rules", lambda r: F.when(r["type"].isNotNull() & ~r["type"].isin(*TYPES), F.concat(F.lit("schema:"), r["argument"]))
+        .when(absent(value(r)), F.when(r["required"], F.concat(F.lit("missing:"), r["argument"])))
+        .when(~fits(value(r), r["type"]), F.concat(F.lit("type:"), r["argument"]))
+        .when(r["values"].isNotNull() & ~F.array_contains(r["values"], text(value(r))), F.concat(F.lit("value:"), r["argument"])))
     unknown = F.transform(F.array_except(F.map_keys(given), F.transform("rules", lambda r: r["argument"])), lambda k: F.concat(F.lit("unknown:"), k))
     errors = F.when(F.col("rules").isNull(), F.array(F.lit("tool"))).otherwise(F.array_sort(F.concat(
         F.filter(per_rule, lambda e: e.isNotNull()), unknown)))
+    if is_json:
+        errors = F.when(F.col("rules").isNotNull() & ~F.col("__object"), F.array(F.lit("json"))).otherwise(errors)
     return joined.select("call_id", errors.alias("errors"))
 
 
@@ -104,7 +146,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     """Join calls with their results by identifier, order them, validate and serialise them.
 
     calls: conv_id, turn, call_id, parent_id (the call whose result this one needs, or NULL), tool,
-    arguments (map of texts). results: call_id, turn, content. schemas: see ``argument_errors``.
+    arguments (JSON text, whose values keep their types and nesting, or a map of texts, which are
+    written as strings). results: call_id, turn, content. schemas: see ``argument_errors``.
     Further columns are ignored.
 
     One row per identifier: conv_id, call_id, turn, level and position (topological order within the
@@ -118,8 +161,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     """
     c = calls.select("conv_id", "turn", "call_id", "parent_id", "tool", "arguments")
     r = results.select("call_id", F.col("turn").alias("result_turn"), "content")
+    is_json = _is_json(c)
     named_c, named_r = c.where("call_id IS NOT NULL"), r.where("call_id IS NOT NULL")
-    first = F.struct("turn", "conv_id", "tool", canonical_arguments(F.col("arguments")).alias("text"), "parent_id")
+    first = F.struct("turn", "conv_id", "tool", canonical_arguments(F.col("arguments"), is_json).alias("text"), "parent_id")
     call_rows = F.struct("conv_id", "turn", "parent_id", "tool", "arguments")
     one_call = named_c.groupBy("call_id").agg(F.min_by(call_rows, first).alias("c"), F.count(F.lit(1)).alias("calls")).select("call_id", "c.*", "calls")
     one_result = named_r.groupBy("call_id").agg(F.min(F.struct("result_turn", "content")).alias("r"), F.count(F.lit(1)).alias("results")).select(
@@ -139,7 +183,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
                     F.when(F.col("results") > 1, F.array(F.lit("repeated_result"))).otherwise(F.array().cast("array<string>")))
     status = (F.when(F.col("calls").isNull(), "orphan").when(F.col("level").isNull(), "cycle").when(F.col("results").isNull(), "no_result")
               .when(F.size("errors") > 0, "invalid").otherwise("ok"))
-    text = F.concat(F.lit('{"arguments":'), canonical_arguments(F.col("arguments")), F.lit(',"call_id":'), json_text(F.col("call_id")),
+    text = F.concat(F.lit('{"arguments":'), canonical_arguments(F.col("arguments"), is_json), F.lit(',"call_id":'), json_text(F.col("call_id")),
                     F.lit(',"result":'), json_text(F.col("content")), F.lit(',"tool":'), json_text(F.col("tool")), F.lit("}"))
     out = every.select("conv_id", "call_id", "turn", "level", status.alias("status"), F.array_sort(more).alias("errors"), text.alias("json"))
     return _positions(out).select("conv_id", "call_id", "turn", "level", "position", "status", "errors", "json")

@@ -40,6 +40,34 @@ def test_calls(spark):
     assert loose == [("no_result", None), ("orphan", "who")]
 
 
+def test_structured_arguments(spark):
+    """Arguments as JSON text: types and nesting stay, keys are in order at each level, all types are checked."""
+    from tallyframe.llm.toolcalls import link_tool_calls
+
+    rules = [("t", "o", "object", True, None), ("t", "l", "array", False, None), ("t", "i", "integer", False, ["1", "3", "100"]), ("t", "n", "number", False, None),
+             ("t", "b", "boolean", False, None), ("t", "s", "string", False, ["a"]), ("odd", "x", "strnig", False, None), ("any", "x", None, False, None)]
+    given = {
+        "ok": ("t", '{"s":"a", "o": {"z": [1, {"y": 1.50, "x": null}], "a": {"c": "2.0,", "b": "\\\\\\"1.0}"}}, "n":-2.5e0,"l":[2.0, "é"],"i":1e2,"b":true}',
+               '{"b":true,"i":100,"l":[2,"é"],"n":-2.5,"o":{"a":{"b":"\\\\\\"1.0}","c":"2.0,"},"z":[1,{"x":null,"y":1.5}]},"s":"a"}', []),
+        "texts": ("t", '{"o":"{}","l":"[]","i":"1","n":"1","b":"true","s":1}', None, ["type:b", "type:i", "type:l", "type:n", "type:o", "type:s"]),
+        "swapped": ("t", '{"o":[],"l":{},"i":1.5,"n":true,"b":0,"s":null,"u":1}', None, ["type:b", "type:i", "type:l", "type:n", "type:o", "unknown:u"]),
+        "values": ("t", '{"o":{},"i":2,"s":"b"}', None, ["value:i", "value:s"]), "none": ("t", '{"o":null}', None, ["missing:o"]),
+        "broken": ("t", '{"o":', '"{\\"o\\":"', ["json"]), "list": ("t", "[1.0, 2]", "[1,2]", ["json"]), "null": ("t", None, "{}", ["missing:o"]),
+        "odd": ("odd", '{"x":"a"}', None, ["schema:x"]), "any": ("any", '{"x":[]}', '{"x":[]}', []), "tool": ("gone", "{}", "{}", ["tool"])}
+    calls = spark.createDataFrame([(1, i, k, None, v[0], v[1]) for i, (k, v) in enumerate(given.items())], CALLS.split(", position")[0].replace("map<string,string>", "string"))
+    results = spark.createDataFrame([(k, 99, "r") for k in given], "call_id string, turn long, content string")
+    got = {r.call_id: r for r in link_tool_calls(calls, results, spark.createDataFrame(rules, SCHEMAS)).collect()}
+    for k, (_, text, want, errors) in given.items():
+        assert (got[k].errors, got[k].status) == (errors, "invalid" if errors else "ok"), k
+        if want:
+            assert got[k].json == f'{{"arguments":{want},"call_id":"{k}","result":"r","tool":"{given[k][0]}"}}'
+        else:
+            assert json.loads(got[k].json)["arguments"] == json.loads(text)
+    texts = link(spark, [(1, i, k, None, "t", {"o": v, "l": w}) for i, (k, v, w) in enumerate([("a", '{"b": 1}', "[1]"), ("b", "[1]", "x")])] + [
+        (1, 5, "c", None, "odd", {"x": "a"})], [(k, 9, "r", ) for k in "abc"], rules).collect()
+    assert {r.call_id: r.errors for r in texts} == {"a": [], "b": ["type:l", "type:o"], "c": ["schema:x"]}
+
+
 def test_no_calls(spark):
     assert link(spark, [], [], []).collect() == []
 
