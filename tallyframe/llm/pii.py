@@ -23,11 +23,13 @@ BASE = {
     "card": r"[0-9](?:[0-9 -](?<=[0-9]|[ -](?=[0-9])))+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Candidates for what the method adds: long keys, long numbers, numbers grouped like a telephone's.
+#: Candidates for what the method adds: long keys, long numbers, numbers grouped like a telephone's, and
+#: keys with signs in them (base64 with its padding, the three parts of a web token). None has an upper length.
 EXTRA = {
-    "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9_]{20,128}+(?![A-Za-z0-9_])",
-    "number": r"(?<![0-9A-Za-z.-])[0-9]{9,32}+(?![0-9A-Za-z])",
+    "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9_]{20,}+",
+    "number": r"(?<![0-9A-Za-z.-])[0-9]{9,}+(?![A-Za-z])",
     "tel": r"(?<![0-9(+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "encoded": r"(?<![A-Za-z0-9_+/-])(?:eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+|(?=[A-Za-z0-9_]*+[+/=-])[A-Za-z0-9_+/-]{20,}+={0,2})",
 }
 KINDS = [*BASE, *EXTRA]
 #: Gazetteer: words that come before personal data or secrets.
@@ -121,9 +123,12 @@ def _votes(s: Column, all_spans: Column) -> dict[str, Column]:
     kind = s["kind"]
     return {
         # the form of the value itself: keys mix letters and digits at a usual length, words have no digits
-        "form": F.when(kind == KINDS.index("secret"), F.when(mixed & (hexa & F.length(value).isin(32, 40, 64, 128) | ~hexa & (digits * 8 >= F.length(value))), 1)
+        "form": F.when(kind == KINDS.index("secret"), F.when(mixed & (hexa & F.length(value).isin(32, 40, 64, 128, 256, 512) | ~hexa & (digits * 8 >= F.length(value))), 1)
                        .when(digits == 0, 0)).when(kind == KINDS.index("number"), F.when(value.rlike("^([0-9])\\1+$"), 0).when(digits.between(9, 19), 1))
-        .when(kind == KINDS.index("tel"), F.when(value.rlike(r"\(|-"), 1)),
+        .when(kind == KINDS.index("tel"), F.when(value.rlike(r"\(|-"), 1))
+        # base64 changes between cases and digits all the time, paths and joined words don't
+        .when(kind == KINDS.index("encoded"), F.when(value.rlike("[a-z][A-Z]") & value.rlike("[0-9][A-Za-z]|[A-Za-z][0-9]"), 1)
+              .when((digits == 0) | ~value.rlike("[A-Z]"), 0)),
         "gazetteer": F.when(word.isin(*CUES), 1).when(word != "", 0),
         "assignment": F.when(before.rlike("[=:][ ]*[\"']?$"), 1).when(before.rlike("[a-z] $"), 0),
         "prose": F.when(before.rlike(r"[a-z] $") & after.rlike("^[ .,;]"), 1).when(after.rlike("^[0-9A-Za-z_/]"), 0),
@@ -201,7 +206,8 @@ def detect_private(docs: DataFrame, text: str = "text") -> DataFrame:
     ``base``: e-mail addresses, IP addresses (parts up to 255), card numbers (16 to 19 digits that pass
     the Luhn check) and telephone numbers (8 to 15 digits) by their patterns, leftmost first, without
     overlaps inside a kind. ``added``: further spans that overlap no base span. Candidates are long keys,
-    long numbers and grouped numbers. Five labelers (form, gazetteer of cue words, assignment, prose
+    long numbers, grouped numbers and keys with signs in them, which take the place of keys and numbers
+    inside them once they are found personal. Five labelers (form, gazetteer of cue words, assignment, prose
     around, repetition) vote or abstain on each; Spark counts the vote patterns of all candidates,
     expectation-maximisation on these counts estimates how reliable each labeler is and how likely each
     pattern, and a logistic regression on votes, kind, length and digits learns these chances. Its
@@ -210,7 +216,7 @@ def detect_private(docs: DataFrame, text: str = "text") -> DataFrame:
     Both are arrays of (kind: place in KINDS, start, end, value, before, after), places in code points
     with the end exclusive, by kind and start. Returns the columns of docs but ``text``, and base and
     added, which take the place of columns so named. A NULL or empty text has no spans. What comes to the
-    driver are counts of patterns, at most 3 * 5 * 5 * 3**5 rows.
+    driver are counts of patterns, at most 4 * 5 * 5 * 3**5 rows.
     """
     spans = cut_lineage(find_spans(docs, text), "spans")
     of = F.transform("candidates", lambda s: F.struct(
@@ -235,6 +241,9 @@ def detect_private(docs: DataFrame, text: str = "text") -> DataFrame:
 
     bound = math.log(MIN_PROBABILITY / (1 - MIN_PROBABILITY))
     chosen = F.transform(F.filter(of, lambda c: score(c) >= bound), lambda c: c["span"])
+    whole = KINDS.index("encoded")
+    chosen = F.transform(F.array(chosen), lambda every: F.filter(every, lambda s: (s["kind"] == whole) | ~F.exists(
+        every, lambda o: (o["kind"] == whole) & (o["start"] < s["end"]) & (s["start"] < o["end"]))))[0]
     return spans.withColumn("added", F.when(F.size("candidates") > 0, chosen).otherwise(F.array().cast(_SPAN))).drop("candidates")
 
 

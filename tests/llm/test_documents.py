@@ -414,6 +414,29 @@ def test_private_data(spark, docs, empty):
     assert private_digests(empty).collect() == []
 
 
+def test_keys_of_any_length(spark):
+    """Keys and numbers have no upper length; base64 and web tokens are found as a whole."""
+    from tallyframe.llm.pii import private_digests
+
+    r = random.Random(10)
+    url, plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    of = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    # No run of digits is long enough for a card.
+    hexa = lambda n: "".join(of("0123456789abcdef", 9) + "e" for _ in range(n))[:n]
+    make = {"secret": lambda: hexa(r.choice([40, 128, 129, 256, 300])), "number": lambda: of("123456789", r.choice([12, 33, 60])),
+            "encoded": lambda: r.choice([of(plain, 43) + "=", "A/b1" + of(plain, 82) + "==", "eyJ" + of(url, 33) + "." + of(url, 200) + "." + of(url, 43)])}
+    rows, want = [], {}
+    for i in range(400):
+        kind = r.choice(["secret", "secret", "number", "encoded", "encoded"])
+        key = make[kind]()
+        rows.append((i, f'please keep the token = "{key}" in mind, and read state-of-the-art/words-joined/by-signs here'))
+        want[i] = f"{kind}:25:{25 + len(key)}"
+    got = {x.doc_id: x.spans.split(",") for x in private_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # A long number is a key of digits as well.
+    assert {i: [s for s in x if s.split(":")[0] in make][-1:] for i, x in got.items()} == {i: [w] for i, w in want.items()}
+    assert all(len(x) == 1 or want[i].startswith("number") for i, x in got.items())
+
+
 def test_benchmark_passages(spark, empty):
     from tallyframe.llm.decontaminate import benchmark_matches, drop_contaminated
 
