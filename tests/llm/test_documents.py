@@ -165,6 +165,35 @@ def test_byte_strings(docs, empty, small_pieces, monkeypatch, hot):
     assert suffixes.string_digests(empty).collect() == []
 
 
+def test_anchors_fill_all_shards_alike(spark, monkeypatch):
+    """Anchors have the least hashes of their strings; the cells they are laid out in are even."""
+    from tallyframe.llm import exchange as ex
+    from tallyframe.llm import suffixes
+
+    sent = {}
+    monkeypatch.setattr(ex, "write_pieces", lambda docs, text: docs)
+    monkeypatch.setattr(ex, "output_schema", lambda *a: None)
+    monkeypatch.setattr(ex, "suspects", lambda pieces, layout, items, merge: sent.update(items=items))
+
+    class Docs:
+        agg = lambda self, *a: self
+        first = lambda self: [1 << 20]
+
+    class Stop(Exception):
+        pass
+
+    def stop(*a):
+        raise Stop
+
+    monkeypatch.setattr(ex, "with_answers", stop)
+    with pytest.raises(Stop):
+        suffixes.remove_repeated_strings(Docs())
+    r = random.Random(13)
+    table = suffixes.pa.table({"text": ["".join(r.choice("abcdefgh ") for _ in range(200_000))]})
+    shard = np.bincount((sent["items"](table) >> np.uint64(59)).astype(np.int64), minlength=32)
+    assert shard.max() < 2 * shard.mean()
+
+
 def common(a, b):
     n = 0
     while n < min(len(a), len(b)) and a[n] == b[n]:
