@@ -118,7 +118,8 @@ def _pack(batches, path: str, end_id: int, tiers: tuple[int, ...], buffer: int):
     def flush(last: bool):
         nonlocal sequence, group, room
         rows = []
-        # Longest first: lengths are powers of two, so groups of equal token numbers fill exactly.
+        # Longest first: lengths are powers of two, so groups fill exactly within a flush; the next one's
+        # long sequences may close its last group short.
         for tier, parts in pool.pack(last):
             if room + tier > GROUP_TOKENS:
                 group, room = group + 1, 0
@@ -166,7 +167,8 @@ def pack_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     part cut to size. Every task packs its own documents, ``buffer`` tokens at a time, and moves
     nothing; what doesn't fill the shortest window waits for the next buffer, and at a task's end
     becomes sequences of smaller powers of two, so that no sequence needs padding. Sequences follow
-    each other in groups of equal token numbers (step_group).
+    each other in groups of equal token numbers (step_group); the last group of each buffer and of each
+    task may be shorter.
 
     Returns one row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, tier (length of the sequence), step_group and ids (little-endian, 32 bits).
