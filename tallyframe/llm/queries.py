@@ -202,3 +202,38 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ship(spark)
     return corpus_pipeline.run(spark, sf_dir)
+
+
+PHRASES_SQL = r"""
+WITH pieces AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, generate_subscripts(ps, 1) AS p, unnest(ps) AS piece FROM (
+    SELECT row_number() OVER () AS doc_id, lang,
+           regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents)),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM worded GROUP BY lang),
+grams AS (
+  SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: ws[i: i + size - 1])) AS phrase
+    FROM worded, (SELECT unnest([1, 2, 3, 4]) AS size)) GROUP BY ALL HAVING count(*) >= 30),
+cuts AS (
+  SELECT g.lang, g.phrase, g.size, g.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * g.f) // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM grams WHERE size > 1) g
+  JOIN grams x ON x.lang = g.lang AND x.phrase = g.phrase[1: k] JOIN grams y ON y.lang = g.lang AND y.phrase = g.phrase[k + 1: g.size]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, f, unnest(list_concat(list_transform(range(1, size), lambda i: phrase[i: i + 1]),
+                                     CASE WHEN size = 4 THEN [phrase[1: 3], phrase[2: 4]] ELSE [] END)) AS phrase FROM grams WHERE size > 2),
+longest AS (SELECT lang, phrase, max(f) AS f FROM inner_parts GROUP BY ALL),
+kept AS (SELECT b.*, array_to_string(b.phrase, ' ') AS words FROM best b LEFT JOIN longest x ON x.lang = b.lang AND x.phrase = b.phrase
+         WHERE x.f IS NULL OR 100 * x.f < 80 * b.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, words) AS rank, words AS phrase, a, l, r, t.n, score::BIGINT AS score
+FROM kept k JOIN totals t ON t.lang = k.lang
+QUALIFY row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, words) <= 2000
+"""
+
+
+@query("op12_phrase_collocations", PHRASES_SQL)
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.phrases import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
