@@ -262,3 +262,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
     return mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op13_language_id")
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyframe.llm.languages import identify_languages
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    found = identify_languages(docs, (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
