@@ -22,12 +22,14 @@ from tallyframe.llm.exchange import from_blob, to_blob
 
 DEPTH = 4
 #: Bytes of text that a task handles at once, and suffixes that a shard is laid out for.
-BATCH_BYTES, BLOCK_BYTES, SHARD_SUFFIXES = 8 << 20, 1 << 19, 1 << 21
-#: Bits of the filter of frequent words, at most: the bound of what is broadcast. Beyond it more suffixes
-#: than needed are sent; counts stay the same.
+BATCH_BYTES, BLOCK_BYTES, SHARD_SUFFIXES = 4 << 20, 1 << 19, 1 << 21
+#: Most frequent words that have numbers, which all tasks know (16 MB); other words are sent as hashes.
+RANKED = 1 << 20
+#: Bits of the filter of further frequent words, at most. Beyond it more suffixes than needed are sent;
+#: counts stay the same.
 FILTER_BITS = 1 << 26
-#: Words that may be called hot, at most (8 MB).
-MOST_HOT = 1 << 20
+#: Partitions of the exchange of suffixes, at most.
+MOST_PARTITIONS = 1 << 15
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -125,40 +127,83 @@ def _count(batches) -> Iterator[pa.RecordBatch]:
     yield out([None] * len(totals), list(totals.values()), list(totals))
 
 
-def _filter(frequent: DataFrame, rows: int) -> np.ndarray:
-    """Bit table of the frequent words' hashes: 32 bits a word, up to FILTER_BITS."""
-    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (32 * rows).bit_length()))
-    cell = F.expr(f"h & {bits - 1}L")
-    table = frequent.groupBy(F.shiftright(cell, 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("b")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[table["i"].to_numpy()] = table["b"].to_numpy().view(np.uint64)
-    return out
-
-
-def _send(batches, table: np.ndarray, hot: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+class Known:
+    """What all tasks know of the frequent words: the RANKED most frequent ones by number, a filter of the
+    rest, and from which count on a word is hot."""
+
+    def __init__(self, words: DataFrame, hot: int):
+        spread = words.groupBy(F.floor(4 * F.log2("f")).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.min("f").alias("f")).orderBy(F.desc("size")).collect()
+        held, least = 0, 1 << 62
+        for row in spread:  # at most 256 rows
+            if held + row["n"] > RANKED:
+                break
+            held, least = held + row["n"], row["f"]
+        top = words.where(F.col("f") >= least).toArrow()
+        f, h = top["f"].to_numpy(), top["h"].to_numpy().view(np.uint64)
+        order = np.lexsort((h, -f))
+        #: Hash of each number; 0 is no word.
+        self.ranked = np.append(U64(0), h[order])
+        self.hot = np.append(False, f[order] > hot)
+        rest = words.where(F.col("f") < least)
+        self.filter = self._bits(rest, sum(r["n"] for r in spread) - held)
+        self.index()
+
+    def index(self) -> None:
+        self.by_hash = np.argsort(self.ranked, kind="stable")
+        self.sorted = self.ranked[self.by_hash]
+
+    def __getstate__(self):
+        return {k: self.__dict__[k] for k in ("ranked", "hot", "filter")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.index()
+
+    @staticmethod
+    def _bits(words: DataFrame, rows: int) -> np.ndarray:
+        if not rows:
+            return np.zeros(0, np.uint64)
+        bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (32 * rows).bit_length()))
+        cell = F.expr(f"h & {bits - 1}L")
+        table = words.groupBy(F.shiftright(cell, 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("b")).toArrow()
+        out = np.zeros(bits // 64, np.uint64)
+        out[table["i"].to_numpy()] = table["b"].to_numpy().view(np.uint64)
+        return out
+
+    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words (0 for those without one), and which words may be frequent."""
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        number = np.where(self.sorted[at] == hashes, self.by_hash[at], 0)
+        known = number > 0
+        if len(self.filter):
+            cell = hashes & U64(len(self.filter) * 64 - 1)
+            known |= (self.filter[cell >> U64(6)] >> (cell & U64(63))) & U64(1) == 1
+        return number, known
+
+
+def _send(batches, known: Known, shards: int) -> Iterator[pa.RecordBatch]:
     """Suffixes of frequent words, equal ones as one with their number, packed per shard; and the words
-    themselves (shards below zero)."""
+    themselves (shards from ``shards`` on)."""
     told = np.zeros(0, np.uint64)
     for texts, langs in _batches(batches):
         t = Tokens(texts, langs)
         if not len(t.hash):
             continue
         u, first, code = np.unique(t.hash, return_index=True, return_inverse=True)
-        cell = u & U64(len(table) * 64 - 1)
-        known = (table[cell >> U64(6)] >> (cell & U64(63))) & U64(1) == 1
-        new = np.flatnonzero(known & ~np.isin(u, told, assume_unique=True))
+        number, frequent = known.numbers(u)
+        new = np.flatnonzero(frequent & ~np.isin(u, told, assume_unique=True))
         told = np.union1d(told, u[new])
         deal = (u[new] % U64(shards)).astype(np.int64)
         rows = []
         for s in np.unique(deal).tolist():
             at = first[new[deal == s]]
-            rows.append((-1 - s, to_blob(pa.table({"h": t.hash[at].view(np.int64), "lang": t.langs.take(pa.array(t.lang[at])), "word": t.words(at)}))))
-        rows += _suffixes(t.follows, code.astype(np.int64), known, u, np.isin(u, hot, assume_unique=True), shards)
+            rows.append((shards + s, to_blob(pa.table({"h": t.hash[at].view(np.int64), "lang": t.langs.take(pa.array(t.lang[at])), "word": t.words(at)}))))
+        rows += _suffixes(t.follows, code.astype(np.int64), frequent, u, number, known.hot, shards)
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["shard", "blob"])
 
 
-def _suffixes(follows, code, known, u, is_hot, shards: int) -> list[tuple[int, bytes]]:
-    ok = known[code]
+def _suffixes(follows, code, frequent, u, number, is_hot, shards: int) -> list[tuple[int, bytes]]:
+    ok = frequent[code]
     link = follows.copy()
     link[:-1] &= ok[:-1] & ok[1:]
     at = np.flatnonzero(link)
@@ -180,7 +225,8 @@ def _suffixes(follows, code, known, u, is_hot, shards: int) -> list[tuple[int, b
     begin = np.flatnonzero(new)
     weight = np.diff(np.append(begin, len(order)))
     c = [x[begin] for x in c]
-    hashes, hot = np.append(U64(0), u), np.append(False, is_hot)
+    hashes, numbers = np.append(U64(0), u), np.append(0, number)
+    hot = is_hot[numbers]
     # Two leading words route a suffix; a third and a fourth one where those before are all hot.
     deep = np.full(len(begin), 2, np.uint8)
     warm = hot[c[0]] & hot[c[1]]
@@ -193,28 +239,34 @@ def _suffixes(follows, code, known, u, is_hot, shards: int) -> list[tuple[int, b
     order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
     c, weight, deep, shard = [x[order] for x in c], weight[order], deep[order], shard[order]
     begin = np.flatnonzero(np.diff(shard, prepend=-1))
-    return [(s, _pack([x[a:b] for x in c], weight[a:b], deep[a:b], hashes)) for s, a, b in zip(
+    return [(s, _pack(np.stack([x[a:b] for x in c]), weight[a:b], deep[a:b], hashes, numbers)) for s, a, b in zip(
         shard[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(shard)])]
 
 
-def _pack(c: list[np.ndarray], weight: np.ndarray, deep: np.ndarray, hashes: np.ndarray) -> bytes:
-    used, codes = np.unique(np.concatenate(c), return_inverse=True)
-    small = np.uint16 if len(used) < 1 << 16 else np.uint32
-    parts = [hashes[used].tobytes(), codes.astype(small).tobytes(), weight.astype(np.uint32).tobytes(), deep.tobytes()]
-    raw = b"".join(parts)
-    return np.array([len(used), len(weight), len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+def _pack(c: np.ndarray, weight: np.ndarray, deep: np.ndarray, hashes: np.ndarray, numbers: np.ndarray) -> bytes:
+    """Numbers in planes of bytes, so that they compress; words without a number as RANKED + 1 and on,
+    their hashes first."""
+    plain = numbers[c]
+    odd = (plain == 0) & (c > 0)
+    extra = np.zeros(0, np.uint64)
+    if odd.any():
+        used, place = np.unique(c[odd], return_inverse=True)
+        extra = hashes[used]
+        plain[odd] = RANKED + 1 + place
+    planes = np.stack([(plain >> 8 * i).astype(np.uint8) for i in range(3)])
+    raw = b"".join([extra.tobytes(), planes.tobytes(), weight.astype(np.uint32).tobytes(), deep.tobytes()])
+    return np.array([len(extra), len(weight), len(raw)], np.int64).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(blob) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, codes (DEPTH x n), weights and key depths."""
-    used, n, size = np.frombuffer(blob, np.int64, 3).tolist()
+    """Hashes of words without a number, numbers (DEPTH x n), weights and key depths."""
+    extra, n, size = np.frombuffer(blob, np.int64, 3).tolist()
     raw = pa.decompress(memoryview(blob)[24:], decompressed_size=size, codec="zstd", asbytes=True)
-    width = 2 if used < 1 << 16 else 4
-    hashes = np.frombuffer(raw, np.uint64, used)
-    at = 8 * used
-    codes = np.frombuffer(raw, np.uint16 if width == 2 else np.uint32, DEPTH * n, at).reshape(DEPTH, n)
-    at += width * DEPTH * n
-    return hashes, codes, np.frombuffer(raw, np.uint32, n, at), np.frombuffer(raw, np.uint8, n, at + 4 * n)
+    at = 8 * extra
+    planes = np.frombuffer(raw, np.uint8, 3 * DEPTH * n, at).reshape(3, DEPTH, n).astype(np.int32)
+    at += 3 * DEPTH * n
+    return (np.frombuffer(raw, np.uint64, extra), planes[0] | planes[1] << 8 | planes[2] << 16, np.frombuffer(raw, np.uint32, n, at),
+            np.frombuffer(raw, np.uint8, n, at + 4 * n))
 
 
 def equal_partitions(keys: np.ndarray, weight: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -283,47 +335,49 @@ def _sums(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 FOUND = "w1 long, w2 long, w3 long, w4 long, f long, lang string, word string"
 
 
-def _shard(least: int):
-    def answer(table: pa.Table) -> pa.Table:
-        blobs = [x.as_buffer() for x in table["blob"]]
-        if table["shard"][0].as_py() < 0:
-            words = pa.concat_tables([from_blob(b) for b in blobs])
-            # The least and the greatest word of a hash: they differ only if two words share it.
-            words = words.group_by(["h", "lang"]).aggregate([("word", "min"), ("word", "max")])
-            words = pa.table({"h": pa.concat_arrays(words["h"].chunks * 2), "lang": pa.concat_arrays(words["lang"].chunks * 2),
-                              "word": pa.concat_arrays([*words["word_min"].chunks, *words["word_max"].chunks])}).group_by(["h", "lang", "word"]).aggregate([])
-            none = pa.nulls(len(words), pa.int64())
-            return pa.table([words["h"], none, none, none, none, words["lang"], words["word"]], names=["w1", "w2", "w3", "w4", "f", "lang", "word"])
-        parts = [_unpack(b) for b in blobs]
-        hashes = np.unique(np.concatenate([p[0] for p in parts]))  # 0 stays 0
-        if hashes[0]:
-            hashes = np.append(U64(0), hashes)
-        keys = np.concatenate([np.searchsorted(hashes, p[0]).astype(np.int32)[p[1]] for p in parts], axis=1)
-        weight = np.concatenate([p[2] for p in parts]).astype(np.int64)
-        deep = np.concatenate([p[3] for p in parts])
-        out = [np.zeros((5, 0), np.int64)]
-
-        def emit(d: int, lead: np.ndarray, counts: np.ndarray) -> None:
-            row = np.zeros((5, len(lead)), np.int64)
-            row[:d] = hashes.view(np.int64)[keys[:d, lead]]
-            row[4] = counts
-            out.append(row)
-
-        for d, lead, counts in equal_partitions(keys, weight, least):
-            # A phrase shorter than its routing key is spread over shards: see below.
-            whole = deep[lead] <= d
-            if d > 1:
-                emit(d, lead[whole], counts[whole])
-        for d in range(2, DEPTH):
-            spread = np.flatnonzero((deep > d) & (keys[d - 1] > 0))
-            if len(spread):
-                lead, counts = _sums(keys[:d, spread], weight[spread])
-                emit(d, spread[lead], counts)
-        rows = np.concatenate(out, axis=1)
-        none = pa.nulls(rows.shape[1], pa.string())
-        return pa.table([*[pa.array(r) for r in rows], none, none], names=["w1", "w2", "w3", "w4", "f", "lang", "word"])
-
-    return answer
+def _words(blobs: list) -> pa.Table:
+    """The words of a dictionary shard once each: two of one hash both stay, to be noticed."""
+    words = pa.concat_tables([from_blob(b) for b in blobs]).group_by(["h", "lang", "word"]).aggregate([])
+    none = pa.nulls(len(words), pa.int64())
+    return pa.table([words["h"], none, none, none, none, words["lang"], words["word"]], names=["w1", "w2", "w3", "w4", "f", "lang", "word"])
+
+
+def _phrases(blobs: list, ranked: np.ndarray, least: int) -> pa.Table:
+    parts = [_unpack(b) for b in blobs]
+    extra = np.unique(np.concatenate([p[0] for p in parts]))
+    for found, numbers, _, _ in parts:
+        if len(found):
+            odd = numbers > RANKED
+            numbers[odd] = (RANKED + 1 + np.searchsorted(extra, found)).astype(np.int32)[numbers[odd] - RANKED - 1]
+    keys = np.concatenate([p[1] for p in parts], axis=1)
+    weight = np.concatenate([p[2] for p in parts]).astype(np.int64)
+    deep = np.concatenate([p[3] for p in parts])
+    del parts
+    out = [np.zeros((5, 0), np.int64)]
+
+    def emit(d: int, lead: np.ndarray, counts: np.ndarray) -> None:
+        row = np.zeros((5, len(lead)), np.int64)
+        numbers = keys[:d, lead]
+        odd = numbers > RANKED
+        row[:d] = ranked.view(np.int64)[np.where(odd, 0, numbers)]
+        if odd.any():
+            row[:d][odd] = extra.view(np.int64)[numbers[odd] - RANKED - 1]
+        row[4] = counts
+        out.append(row)
+
+    for d, lead, counts in equal_partitions(keys, weight, least):
+        # A phrase shorter than its routing key is spread over shards: see below.
+        whole = deep[lead] <= d
+        if d > 1:
+            emit(d, lead[whole], counts[whole])
+    for d in range(2, DEPTH):
+        spread = np.flatnonzero((deep > d) & (keys[d - 1] > 0))
+        if len(spread):
+            lead, counts = _sums(keys[:d, spread], weight[spread])
+            emit(d, spread[lead], counts)
+    rows = np.concatenate(out, axis=1)
+    none = pa.nulls(rows.shape[1], pa.string())
+    return pa.table([*[pa.array(r) for r in rows], none, none], names=["w1", "w2", "w3", "w4", "f", "lang", "word"])
 
 
 def phrase_counts(docs: DataFrame, least: int = 30, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -340,12 +394,28 @@ def phrase_counts(docs: DataFrame, least: int = 30, lang: str = "lang", text: st
     words = counted.where("h IS NOT NULL").select("h", F.col("n").alias("f"))
     tokens = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-tokens // SHARD_SUFFIXES))
-    table = spark.sparkContext.broadcast(_filter(words, words.count()))
     # A pair of words can fill half a shard only if both do.
-    some = max(tokens // (2 * shards), tokens // MOST_HOT) if shards > 1 else tokens
-    hot = spark.sparkContext.broadcast(words.where(F.col("f") > some).select("h").toArrow()["h"].to_numpy().view(np.uint64))
-    sent = docs.mapInArrow(lambda it: _send(it, table.value, hot.value, shards), "shard long, blob binary")
-    found = cut_lineage(sent.groupBy("shard").applyInArrow(_shard(least), FOUND), "phrases")
+    known = spark.sparkContext.broadcast(Known(words, tokens // (2 * shards) if shards > 1 else tokens))
+
+    def answer(batches):
+        def done(shard: int, blobs: list) -> Iterator[pa.RecordBatch]:
+            yield from (_words(blobs) if shard >= shards else _phrases(blobs, known.value.ranked, least)).to_batches()
+
+        shard, blobs = None, []
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if blobs and number != shard:
+                    yield from done(shard, blobs)
+                    blobs = []
+                shard = number
+                blobs.append(blob.as_buffer())
+        if blobs:
+            yield from done(shard, blobs)
+
+    # One partition per shard, so that a task's share stays the same as the corpus grows.
+    sent = docs.mapInArrow(lambda it: _send(it, known.value, shards), "shard long, blob binary").repartitionById(
+        min(2 * shards, MOST_PARTITIONS), F.expr(f"cast(shard % {MOST_PARTITIONS} AS int)")).sortWithinPartitions("shard")
+    found = cut_lineage(sent.mapInArrow(answer, FOUND), "phrases")
     names = found.where("f IS NULL").select(F.col("w1").alias("h"), "lang", "word")
     if not names.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         raise RuntimeError("two frequent words share a 64-bit hash")
