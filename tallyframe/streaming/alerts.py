@@ -1,40 +1,106 @@
-"""Streaming metric collection with z-score alerts."""
+"""Streaming metric collection with z-score alerts against a baseline kept as keyed state."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tallyframe.common import top_rows
-from tallyframe.operators.anomaly import score_metrics
+from tallyframe.operators.anomaly import BASELINE, CRITICAL, MIN_POINTS, WARNING
+from tallyframe.streaming.clock import closed
 from tallyframe.streaming.common import batch_path, read_batches, run_available
 
+#: Keyed state of single values needs this store.
+STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def collect_metrics(stream: DataFrame, keys: Sequence[str], at: str, window: str, watermark: str, aggs: Sequence[Column], out: str, checkpoint: str):
-    """Metric rows per key and tumbling window, and after each batch the alerts over the history.
 
-    The history holds one row per key and window, which is what the scoring sorts."""
-    spark = stream.sparkSession
-    g = stream.withWatermark(at, watermark).groupBy(F.window(at, window), *keys).agg(*aggs)
-    names = [c for c in g.columns if c not in (*keys, "window")]
-    rows = g.select(F.col("window.start").alias("measured_at"), *keys, F.explode(F.create_map(*[
-        x for n in names for x in (F.lit(n), F.col(n).cast("double"))])).alias("metric_name", "value"))
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """The store for keyed state while a query starts; the session's own setting comes back afterwards."""
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE[0]) if before is None else spark.conf.set(STORE[0], before)
+
+
+def score(value: float | None, before: Sequence[float | None], warning: float, critical: float) -> tuple:
+    """Mean, stddev, points, z-score, whether it is an anomaly, and the severity of one value against those before it."""
+    known = [x for x in before if x is not None]
+    n, mean, spread, z = len(known), value, 0.0, 0.0
+    if n >= MIN_POINTS:
+        mean = math.fsum(known) / n
+        spread = math.sqrt(math.fsum((x - mean) ** 2 for x in known) / n)
+        # A spread that is only rounding noise of equal values counts as none.
+        if spread > abs(mean) * 1e-12:
+            z = None if value is None else abs(value - mean) / spread
+    level = "normal" if z is None or z <= warning else "warning" if z <= critical else "critical"
+    return mean, spread, n, z, None if z is None else z > warning, level
+
+
+SCORES = T.StructType([
+    T.StructField("baseline_mean", T.DoubleType()), T.StructField("baseline_stddev", T.DoubleType()), T.StructField("n_points", T.LongType()),
+    T.StructField("z_score", T.DoubleType()), T.StructField("is_anomaly", T.BooleanType()), T.StructField("severity", T.StringType())])
+
+
+class TrailingBaseline(StatefulProcessor):
+    """Scores the closed windows of a key in order. State: the last ``size`` values of the key, and no more."""
+
+    def __init__(self, columns: Sequence[str], size: int, warning: float, critical: float):
+        self.columns, self.size, self.levels = list(columns), size, (warning, critical)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getValueState("ring", T.StructType([T.StructField("values", T.ArrayType(T.DoubleType()))]))
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        known = list(self.ring.get()[0]) if self.ring.exists() else []
+        new = pd.concat(list(rows)).sort_values("measured_at")
+        scores = []
+        for value in new["value"].tolist():
+            value = None if pd.isna(value) else float(value)
+            scores.append(score(value, known, *self.levels))
+            known = [*known, value][-self.size:]
+        self.ring.update((known,))
+        yield pd.concat([new[self.columns].reset_index(drop=True), pd.DataFrame(scores, columns=SCORES.names)], axis=1)
+
+    def close(self) -> None:
+        pass
+
+
+def collect_metrics(stream: DataFrame, keys: Sequence[str], at: str, window: str, watermark: str, aggs: Sequence[Column], out: str, checkpoint: str,
+                    clock: str | None = None, baseline: int = BASELINE, warning: float = WARNING, critical: float = CRITICAL):
+    """Metrics per key and tumbling window, each scored once, when its window closes, against the ``baseline``
+    values of the key before it.
+
+    Windows close in order of time, so a key's values come in order over all batches. A batch reads its
+    own rows and the state of the keys it closes windows of; it reads no earlier batch. State per key and metric is
+    a list of ``baseline`` numbers. Rows behind the watermark are dropped, as their windows are scored already."""
+    counted = closed(stream, at, window, watermark, keys, aggs, clock)
+    names = [c for c in counted.columns if c not in (*keys, "window")]
+    values = F.array(*[F.struct(F.lit(n).alias("metric_name"), F.col(n).cast("double").alias("value")) for n in names])
+    rows = counted.select(F.col("window.start").alias("measured_at"), *keys, F.inline(values))
+    schema = T.StructType([*rows.schema.fields, *SCORES.fields])
+    scored = rows.groupBy(*keys, "metric_name").transformWithStateInPandas(
+        TrailingBaseline(rows.columns, baseline, warning, critical), schema, "Append", "None")
 
     def write(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(batch_path(f"{out}/metrics", batch_id))
-        scored = score_metrics(history(spark, out, keys), [*keys, "metric_name"], "measured_at", "value")
-        scored.where("is_anomaly").write.mode("overwrite").parquet(batch_path(f"{out}/alerts", batch_id))
 
-    return run_available(rows, write, checkpoint, mode="update")
+    with keyed_state(stream.sparkSession):
+        return run_available(scored, write, checkpoint)
 
 
-def history(spark, out: str, keys: Sequence[str]) -> DataFrame:
-    """The last value written for every key, window and metric."""
-    return top_rows(read_batches(spark, f"{out}/metrics"), [*keys, "metric_name", "measured_at"], [F.desc("batch")]).drop("batch")
+def scored_metrics(spark: SparkSession, out: str) -> DataFrame:
+    """Every metric of every closed window with its score, as written when the window closed."""
+    return read_batches(spark, f"{out}/metrics").drop("batch")
 
 
-def current_alerts(spark, out: str, keys: Sequence[str]) -> DataFrame:
-    """Alerts over the whole history as it stands."""
-    return score_metrics(history(spark, out, keys), [*keys, "metric_name"], "measured_at", "value").where("is_anomaly")
+def current_alerts(spark: SparkSession, out: str) -> DataFrame:
+    return scored_metrics(spark, out).where("is_anomaly")
