@@ -185,14 +185,62 @@ def test_type_compatibility(spark):
     ([("a", "b"), ("b", "a"), ("x", "a"), ("b", "z")], {"x": 0, "a": None, "b": None, "z": None}),
 ])
 def test_topological_levels(spark, edges, levels):
-    got = g.topological_levels(spark.createDataFrame(edges, "src string, dst string"), rewrite_every=1)
+    got = g.topological_levels(spark.createDataFrame(edges, "src string, dst string"))
     assert {x.node: x.level for x in got.collect()} == levels
 
 
-def test_long_chain_rewrites_open_edges(spark):
-    edges = [(i, i + 1) for i in range(12)]
-    got = g.topological_levels(spark.createDataFrame(edges, "src long, dst long"), rewrite_every=3)
-    assert {x.node: x.level for x in got.collect()} == {i: i for i in range(13)}
+def jobs_of(spark, work):
+    """Result of some work and the number of Spark jobs that it took."""
+    import uuid
+
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return work(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_levels_of_a_long_chain(spark):
+    """A job per level would be 20,000 of them."""
+    n = 20_000
+    edges = spark.range(n).select(((F.col("id") * 7919) % 20_011).alias("src"), (((F.col("id") + 1) * 7919) % 20_011).alias("dst"))
+    got, jobs = jobs_of(spark, lambda: g.topological_levels(edges))
+    assert got.where((F.col("level") * 7919) % 20_011 == F.col("node")).where("NOT on_cycle").count() == got.count() == n + 1
+    assert jobs < 120, jobs
+
+
+def levels_brute(edges, extra=()):
+    nodes, into = {x for e in edges for x in e} | set(extra), {}
+    for a, b in set(edges):
+        into.setdefault(b, set()).add(a)
+    level, ready = {}, True
+    while ready:
+        ready = {x: max((level[a] + 1 for a in into.get(x, ())), default=0) for x in nodes if x not in level and all(a in level for a in into.get(x, ()))}
+        level.update(ready)
+    return {x: (level.get(x), x not in level) for x in nodes}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_levels_of_random_graphs(spark, seed):
+    """Forests with long branches, cross links, layers, cycles with tails, loops, repeated edges, nodes without edges."""
+    import random
+
+    r = random.Random(seed)
+    edges = [(r.choice([i, r.randrange(i + 1)]), i + 1) for i in range(60)]
+    edges += [(a, b) for a, b in ((r.randrange(61), r.randrange(61)) for _ in range(r.choice([0, 5, 60]))) if a < b]
+    edges += [(100 + 3 * i + a, 103 + 3 * i + b) for i in range(6) for a in range(3) for b in range(3)]  # no chain to compress
+    if seed % 2:
+        edges += [(200, 201), (201, 202), (202, 200), (202, 203), (203, 204), (5, 200), (204, 30), (300, 300), (300, 301), (400, 401), (401, 400)]
+        edges += [(a, b) for a in (500, 501, 502) for b in (500, 501, 502) if a != b] + [(502, 110)]
+    edges += edges[:3]
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    got = g.topological_levels(frame, spark.createDataFrame([(900,), (3,)], "node long"))
+    assert {x.node: (x.level, x.on_cycle) for x in got.collect()} == levels_brute(edges, [900, 3])
+
+
+def test_levels_of_nothing(spark):
+    assert g.topological_levels(spark.createDataFrame([], "src long, dst long")).collect() == []
 
 
 def test_table_references(spark):
