@@ -38,6 +38,14 @@ def hourly_cost(usage: DataFrame, prices: DataFrame, sku: str, at: str, quantity
     return j.groupBy("hour", resource).agg(exact_sum(F.col("q") * F.coalesce("price", F.lit(0.0))).alias("hour_cost"), exact_sum("q").alias("hour_quantity"))
 
 
+def shared(amount: str, part: str, whole: str) -> Column:
+    """amount * part / whole, rounded half away from zero to four places: in whole ten-thousandths and with one
+    division, so that no rounding of doubles decides the last place."""
+    units = f"cast(cast({amount} AS decimal(24,4)) * 10000 AS decimal(24,0))"
+    rounded = f"(2BD * abs({units}) * cast({part} AS decimal(10,0)) + cast({whole} AS decimal(18,0))) div (2BD * cast({whole} AS decimal(18,0)))"
+    return F.expr(f"cast(sign({amount}) AS long) * ({rounded}) / 10000D")
+
+
 def query_cost(queries: DataFrame, hourly: DataFrame, resource: str, at: str, duration_ms: Column) -> DataFrame:
     """Cost of the hour shared among its queries by effective duration (1 ms to 1 h)."""
     q = queries.withColumns({"hour": F.date_trunc("hour", F.col(at)).cast("timestamp_ntz"),
@@ -45,9 +53,8 @@ def query_cost(queries: DataFrame, hourly: DataFrame, resource: str, at: str, du
     total = q.groupBy("hour", resource).agg(F.sum("effective_ms").alias("total_ms"))
     rates = total.join(hourly, ["hour", resource], "left").select(
         "hour", resource, "total_ms", F.coalesce("hour_cost", F.lit(0.0)).alias("hour_cost"), F.coalesce("hour_quantity", F.lit(0.0)).alias("hour_quantity"))
-    share = F.col("effective_ms") / F.col("total_ms")
     return spread_join(q, rates, ["hour", resource]).select(
-        *queries.columns, F.round(F.col("hour_cost") * share, 4).alias("estimated_cost"), F.round(F.col("hour_quantity") * share, 4).alias("estimated_quantity"))
+        *queries.columns, shared("hour_cost", "effective_ms", "total_ms").alias("estimated_cost"), shared("hour_quantity", "effective_ms", "total_ms").alias("estimated_quantity"))
 
 
 def idle_cost(hourly: DataFrame, queries: DataFrame, resource: str, at: str) -> DataFrame:

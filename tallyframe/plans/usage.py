@@ -176,8 +176,12 @@ def _hourly(t):
 HOURLY = f"h AS (SELECT hour, warehouse, {COST} AS hour_cost, {QTY} AS hour_quantity FROM c GROUP BY 1, 2)"
 
 
+# In whole ten-thousandths with one division: amounts are never negative here.
+SHARE = "(2 * coalesce(round({0} * 10000), 0)::HUGEINT * ms + total::HUGEINT) // (2 * total::HUGEINT) / 10000.0"
+
+
 @query("fo02_query_cost", P + f""", {HOURLY}, q AS (SELECT event_id, hour, warehouse, greatest(least(CAST(round(value * 100) AS BIGINT), 3600000), 1) AS ms FROM u), tot AS (SELECT hour, warehouse, sum(ms) AS total FROM q GROUP BY 1, 2)
-SELECT event_id, round(coalesce(hour_cost, 0) * (ms / total), 4) AS estimated_cost, round(coalesce(hour_quantity, 0) * (ms / total), 4) AS estimated_quantity FROM q JOIN tot USING (hour, warehouse) LEFT JOIN h USING (hour, warehouse)""")
+SELECT event_id, {SHARE.format("hour_cost")} AS estimated_cost, {SHARE.format("hour_quantity")} AS estimated_quantity FROM q JOIN tot USING (hour, warehouse) LEFT JOIN h USING (hour, warehouse)""")
 def _(t):
     q = usage(t).select("event_id", "ts", "warehouse", F.round(F.col("value") * 100).cast("long").alias("ms"))
     return fo.query_cost(q, _hourly(t), "warehouse", "ts", F.col("ms")).select("event_id", "estimated_cost", "estimated_quantity")
