@@ -31,47 +31,49 @@ def keyed_state(spark: SparkSession):
         spark.conf.unset(STORE[0]) if before is None else spark.conf.set(STORE[0], before)
 
 
-def score(value: float | None, before: Sequence[float | None], warning: float, critical: float) -> tuple:
-    """Mean, stddev, points, z-score, whether it is an anomaly, and the severity of one value against those before it."""
-    known = [x for x in before if x is not None]
-    n, mean, spread, z = len(known), value, 0.0, 0.0
-    if n >= MIN_POINTS:
-        mean = math.fsum(known) / n
-        spread = math.sqrt(math.fsum((x - mean) ** 2 for x in known) / n)
-        # A spread that is only rounding noise of equal values counts as none.
-        if spread > abs(mean) * 1e-12:
-            z = None if value is None else abs(value - mean) / spread
-    level = "normal" if z is None or z <= warning else "warning" if z <= critical else "critical"
-    return mean, spread, n, z, None if z is None else z > warning, level
-
-
 SCORES = T.StructType([
     T.StructField("baseline_mean", T.DoubleType()), T.StructField("baseline_stddev", T.DoubleType()), T.StructField("n_points", T.LongType()),
     T.StructField("z_score", T.DoubleType()), T.StructField("is_anomaly", T.BooleanType()), T.StructField("severity", T.StringType())])
 
 
-class TrailingBaseline(StatefulProcessor):
-    """Scores the closed windows of a key in order. State: the last ``size`` values of the key, and no more."""
+def trailing_baseline(columns: Sequence[str], size: int, warning: float, critical: float) -> StatefulProcessor:
+    """The processor that scores windows; nested, so that it travels to the workers."""
+    names = SCORES.names
+
+    def score(value: float | None, before: Sequence[float | None]) -> tuple:
+        """Mean, stddev, points, z-score, whether it is an anomaly, and the severity of one value against those before it."""
+        known = [x for x in before if x is not None]
+        n, mean, spread, z = len(known), value, 0.0, 0.0
+        if n >= MIN_POINTS:
+            mean = math.fsum(known) / n
+            spread = math.sqrt(math.fsum((x - mean) ** 2 for x in known) / n)
+            # A spread that is only rounding noise of equal values counts as none.
+            if spread > abs(mean) * 1e-12:
+                z = None if value is None else abs(value - mean) / spread
+        level = "normal" if z is None or z <= warning else "warning" if z <= critical else "critical"
+        return mean, spread, n, z, None if z is None else z > warning, level
+
+    class TrailingBaseline(StatefulProcessor):
+        """Scores the closed windows of a key in order. State: the last ``size`` values of the key, and no more."""
 
-    def __init__(self, columns: Sequence[str], size: int, warning: float, critical: float):
-        self.columns, self.size, self.levels = list(columns), size, (warning, critical)
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.ring = handle.getValueState("ring", T.StructType([T.StructField("values", T.ArrayType(T.DoubleType()))]))
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getValueState("ring", T.StructType([T.StructField("values", T.ArrayType(T.DoubleType()))]))
+        def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+            known = list(self.ring.get()[0]) if self.ring.exists() else []
+            new = pd.concat(list(rows)).sort_values("measured_at")
+            scores = []
+            for value in new["value"].tolist():
+                value = None if pd.isna(value) else float(value)
+                scores.append(score(value, known))
+                known = [*known, value][-size:]
+            self.ring.update((known,))
+            yield pd.concat([new[list(columns)].reset_index(drop=True), pd.DataFrame(scores, columns=names)], axis=1)
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
-        known = list(self.ring.get()[0]) if self.ring.exists() else []
-        new = pd.concat(list(rows)).sort_values("measured_at")
-        scores = []
-        for value in new["value"].tolist():
-            value = None if pd.isna(value) else float(value)
-            scores.append(score(value, known, *self.levels))
-            known = [*known, value][-self.size:]
-        self.ring.update((known,))
-        yield pd.concat([new[self.columns].reset_index(drop=True), pd.DataFrame(scores, columns=SCORES.names)], axis=1)
+        def close(self) -> None:
+            pass
 
-    def close(self) -> None:
-        pass
+    return TrailingBaseline()
 
 
 def collect_metrics(stream: DataFrame, keys: Sequence[str], at: str, window: str, watermark: str, aggs: Sequence[Column], out: str, checkpoint: str,
@@ -88,7 +90,7 @@ def collect_metrics(stream: DataFrame, keys: Sequence[str], at: str, window: str
     rows = counted.select(F.col("window.start").alias("measured_at"), *keys, F.inline(values))
     schema = T.StructType([*rows.schema.fields, *SCORES.fields])
     scored = rows.groupBy(*keys, "metric_name").transformWithStateInPandas(
-        TrailingBaseline(rows.columns, baseline, warning, critical), schema, "Append", "None")
+        trailing_baseline(rows.columns, baseline, warning, critical), schema, "Append", "None")
 
     def write(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(batch_path(f"{out}/metrics", batch_id))

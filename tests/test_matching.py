@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -197,7 +198,99 @@ def test_links_with_thresholds_of_zero(spark, name_threshold):
         assert components(ids, got) == components(ids, brute)
 
 
-def test_rules_without_candidates_are_refused(spark):
-    df = spark.createDataFrame([(1, "martha"), (2, "marhta")], "id long, name string")
-    with pytest.raises(ValueError):
-        mt.detect_duplicates(df, "id", [MatchRule("name", "name", "fuzzy_jaro_winkler", 1.0, 0.8)])
+def names(n, seed, long=False):
+    """Names as people have them: a few first names and many last ones, with slips."""
+    rnd = random.Random(seed)
+    first = ["Anna", "Maria", "Johann", "Peter", "Katharina", "Li", "Bo", "Ngozi", "Élodie", "Jan-Willem"]
+    parts = ["ber", "ger", "son", "ova", "man", "stein", "ski", "er", "ó", "mc", "li", "hart", "ing", "wood", "x"]
+    last = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4))) for _ in range(n // 6 + 1)]
+    out = []
+    for _ in range(n):
+        x = list(f"{rnd.choice(first)} {rnd.choice(last)}" if rnd.random() < 0.8 else rnd.choice(last))
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            x = x or ["a"]
+            i = rnd.randrange(len(x))
+            what = rnd.randrange(3)
+            x[i: i + 1] = {0: [], 1: [rnd.choice("abexyz")], 2: [x[i], rnd.choice("ntr")]}[what]
+        out.append("".join(x) or "a")
+    return out
+
+
+@pytest.mark.parametrize("ratio", [0.7, 0.85, 0.92])
+def test_jaro_winkler_index_is_complete(spark, ratio):
+    """All pairs of 3,000 names, and short random words in which characters repeat."""
+    score = M._jaro_winkler_udf().func
+    for values in (sorted({x.lower() for x in names({0.7: 400, 0.85: 3000, 0.92: 1000}[ratio], 4)}), sorted(set(words(250, 8, "abc", 1, 8)))):
+        got = {(r.v, r.w) for r in mt.jaro_winkler_pairs(spark.createDataFrame([(x,) for x in [*values, values[0], "", None]], "x string"), "x", ratio).collect()}
+        a, b = zip(*itertools.combinations(values, 2))
+        hit = score(pd.Series(a), pd.Series(b)) >= ratio
+        want = {(x, y) for x, y, h in zip(a, b, hit) if h}
+        assert got == want and want
+
+
+def good_pairs(rows, rules, review):
+    """Scores by the definition, over all pairs; similarities of distinct values are computed once."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def similar(kind, x, y):
+        if kind == "exact":
+            return float(x.strip().lower() == y.strip().lower())
+        x, y = x.lower(), y.lower()
+        return jaro_winkler(x, y) if kind == "fuzzy_jaro_winkler" else 1.0 if x == y else 1 - distance(x, y) / max(len(x), len(y))
+
+    for a, b in itertools.combinations(rows, 2):
+        won = weight = 0.0
+        for r in rules:
+            x, y = a[r.field], b[r.field]
+            if x and y:
+                s = similar(r.kind, x, y)
+                if s >= r.threshold:
+                    won, weight = won + s * r.weight, weight + r.weight
+        if weight and won / weight * 100 >= review:
+            yield a["id"], b["id"]
+
+
+def components(ids, pairs):
+    parent = {i: i for i in ids}
+
+    def top(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    return {i: top(i) for i in ids}
+
+
+RULE_SETS = {
+    "one": [MatchRule("name", "name", "fuzzy_jaro_winkler", 1.0, 0.92)],
+    "two distances": [MatchRule("name", "name", "fuzzy_levenshtein", 2.0), MatchRule("street", "street", "fuzzy_levenshtein", 1.0)],
+    "with an equal field": [MatchRule("name", "name", "fuzzy_jaro_winkler", 2.0, 0.85), MatchRule("street", "street", "fuzzy_levenshtein", 1.0, 0.6),
+                            MatchRule("town", "town", "exact", 0.5)],
+}
+
+
+@pytest.mark.parametrize("which", RULE_SETS)
+def test_links_under_several_distances(spark, which):
+    """The links connect what the good pairs among all pairs connect, and all links kept are good."""
+    rules, rnd = RULE_SETS[which], random.Random(len(which))
+    streets, people = names(30, 5), names(80, 6)
+    rows = [{"id": i, "name": rnd.choice([rnd.choice(people), rnd.choice(names(5, i)), None]), "street": rnd.choice([rnd.choice(streets), None]) if i % 5 else "",
+             "town": rnd.choice(["a", "b", "B ", None])} for i in range(140)]
+    frame = spark.createDataFrame([(x["id"], x["name"], x["street"], x["town"]) for x in rows], "id long, name string, street string, town string")
+    review = 85.0
+    want = set(good_pairs(rows, rules, review))
+    links = {(r.a, r.b) for r in mt.detect_duplicates(frame, "id", rules, review=review).collect()}
+    assert links <= want and len(want) > 10
+    assert components(range(140), links) == components(range(140), want)
+
+
+def test_least_similarity():
+    one, two = MatchRule("a", "a", "fuzzy_levenshtein", 2.0), MatchRule("b", "b", "fuzzy_levenshtein", 1.0)
+    assert mt.least_similarity([one], 0, 80) == pytest.approx(0.8)
+    assert mt.least_similarity([one, two], 0, 80) == pytest.approx(0.7)  # b equal: (2 s + 1) / 3 >= 0.8
+    assert mt.least_similarity([one, two], 1, 80) == pytest.approx(0.4)  # a equal: (2 + s) / 3 >= 0.8
+    assert mt.least_similarity([MatchRule("a", "a", "fuzzy_levenshtein", 2.0, 0.9), two], 0, 80) == 0.9
