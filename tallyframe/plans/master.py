@@ -124,6 +124,28 @@ def _(t):
     return mt.similar_values(t.supplier, "s_name", 0.88).select("v", "w")
 
 
+# Without SQL: DuckDB rounds half transpositions down. A test compares with all pairs.
+@query("md08_jaro_winkler_names")
+def _(t):
+    return mt.jaro_winkler_pairs(t.part.select(F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("x")), "x", 0.9).withColumn("ratio", F.round("ratio", 6))
+
+
+TWO_DISTANCES = [MatchRule("name", "name", "fuzzy_levenshtein"), MatchRule("kind", "kind", "fuzzy_levenshtein"), MatchRule("size", "size", "exact", 0.5, 1.0)]
+
+
+@query("md08_two_distances", """
+WITH RECURSIVE g AS (SELECT p_name AS name, p_type AS kind, p_size % 3 AS size, min(p_partkey) AS id, count(*) AS n FROM part GROUP BY ALL),
+s AS (SELECT a.id AS a, b.id AS b, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) AS s1,
+ 1 - levenshtein(lower(a.kind), lower(b.kind)) / greatest(length(a.kind), length(b.kind)) AS s2, (a.size = b.size)::INT * 0.5 AS s3 FROM g a JOIN g b ON a.id <> b.id),
+links AS (SELECT a, b FROM s WHERE (s1 + s2 + s3) / (2 + s3) * 100 >= 80),
+reach AS (SELECT id AS x, id AS y FROM g UNION SELECT r.x, l.b FROM reach r JOIN links l ON l.a = r.y), c AS (SELECT x, min(y) AS component FROM reach GROUP BY x)
+SELECT p_partkey AS node, component FROM part JOIN g ON name = p_name AND kind = p_type AND size = p_size % 3 JOIN c ON c.x = g.id
+WHERE g.n > 1 OR g.id IN (SELECT a FROM links)""")
+def _(t):
+    goods = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), (F.col("p_size") % 3).cast("string").alias("size"))
+    return mt.connected_components(mt.detect_duplicates(goods, "id", TWO_DISTANCES), "a", "b")
+
+
 # every tenth number is left out, which ends a chain of links
 LINKED = "SELECT DISTINCT o_custkey + o_custkey // 10 AS k FROM orders"
 
