@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.common import cut_lineage, union_all
+from tallyframe.common import cut_lineage, spread_join, union_all
 from tallyframe.llm.batches import U64, Words, blocks, buffer, mix
 from tallyframe.operators.matching import connected_components
 
@@ -21,6 +21,8 @@ BANDS, ROWS, BITS = 24, 4, 4
 #: a chance of 3 in a million at a similarity of 0.8.
 SLACK = 0.19
 ROUNDS = 2
+#: Rare shingles that two near classes must share.
+RARE = 8
 
 _FACTORS = np.random.default_rng(7).integers(0, 2**62, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
 SKETCH = "doc_id long, text_hash long, n_shingles long, node binary, bands array<long>, signature array<long>"
@@ -135,10 +137,12 @@ def _pairs_apart(apart: DataFrame, signature: DataFrame, sets: DataFrame, percen
     """Pairs of members of one bucket that are in different groups, one of them not in its leading group,
     as far as they can reach the similarity at all.
 
-    A shingle that only one of these classes has is in no intersection. With ``most`` shingles that
-    others have too, a pair shares at most the smaller ``most``, which bounds its similarity exactly: classes
-    that changed too much are left out whole, and most pairs of the others before they are formed, as are
-    pairs whose estimate is far too low. A pair comes up in the first band it shares alone."""
+    The shingles of a class are put in order of how many of these classes have them. Two classes of n and m
+so the n - o + k rarest of
+    the one and the m - o + k rarest of the other have k in common, for every k up to o; RARE is the k tested. at least o = percent * (n + m) / (100 + percent) of them, so the n - o + 1 rarest of
+    the one and the m - o + 1 rarest of the other have one in common. Shingles that a class has alone come
+    first and are in no intersection, so they are only counted. Both bounds are exact; they and the estimate are part
+    of the join, so that pairs that fail are never rows. A pair comes up in the first band it shares alone."""
 
     def shingle_rows(batches):
         for batch in batches:
@@ -147,29 +151,42 @@ def _pairs_apart(apart: DataFrame, signature: DataFrame, sets: DataFrame, percen
                 owned = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
                 sizes = [len(x) for x in owned]
                 halves = np.frombuffer(b"".join(part.column(0).to_pylist()), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owned)), *[pa.array(np.repeat(halves[:, j], sizes)) for j in (0, 1)]],
-                                                 names=["h", "k1", "k2"])
+                # With the smallest partner, of percent * n shingles, so many of the rarest count.
+                most = [n - -(-percent * n // 100) + RARE for n in sizes]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(owned)), *[pa.array(np.repeat(halves[:, j], sizes)) for j in (0, 1)],
+                                                  pa.array(np.repeat(most, sizes), pa.int32())], names=["h", "k1", "k2", "most_rare"])
 
     def named(batches):
         for batch in batches:
             halves = np.stack([batch.column(j).to_numpy() for j in (0, 1)], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in halves], pa.binary()), batch.column(2)], names=["node", "alone"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in halves], pa.binary()), *batch.columns[2:]], names=["node", "common", "rare"])
 
     nodes = apart.select("node").distinct()
-    rows = sets.join(nodes, "node", "left_semi").select("node", "hashes").mapInArrow(shingle_rows, "h long, k1 long, k2 long")
+    rows = cut_lineage(sets.join(nodes, "node", "left_semi").select("node", "hashes").mapInArrow(shingle_rows, "h long, k1 long, k2 long, most_rare int"), "shingles")
     # A node's two halves are long numbers here, which Spark aggregates without sorting.
-    own = (rows.groupBy("h").agg(F.count(F.lit(1)).alias("owners"), F.max("k1").alias("k1"), F.max("k2").alias("k2")).where("owners = 1")
-           .groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("alone")).mapInArrow(named, "node binary, alone long"))
-    alive = signature.select("node", "n", "signature", "bands").join(nodes, "node", "left_semi").join(own, "node", "left").select(
-        "node", "n", "signature", "bands", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most")).where(100 * F.col("most") >= percent * F.col("n"))
+    owners = rows.groupBy("h").agg(F.count(F.lit(1)).alias("owners")).where("owners > 1")
+    ranked = spread_join(rows, owners, ["h"], no_broadcast=True).groupBy("k1", "k2").agg(
+        F.count(F.lit(1)).alias("common"), F.slice(F.sort_array(F.collect_list(F.struct("owners", "h"))), 1, F.max("most_rare")).alias("rare"))
+    common = ranked.select("k1", "k2", "common", F.transform("rare", lambda x: x["h"]).alias("rare")).mapInArrow(named, "node binary, common long, rare array<long>")
+    alive = signature.select("node", "n", "signature", "bands").join(nodes, "node", "left_semi").join(common, "node").select(
+        "node", "n", "signature", "bands", F.col("common").alias("most"), "rare").where(100 * F.col("most") >= percent * F.col("n"))
     left = cut_lineage(apart.join(alive, "node"), "alive")
     other = left.select("band", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"), F.col("most").alias("other_most"),
-                        F.col("signature").alias("other_signature"), F.col("bands").alias("other_bands"))
+                        F.col("signature").alias("other_signature"), F.col("bands").alias("other_bands"),
+                        F.col("rare").alias("other_rare"))
     first = F.coalesce(*[F.when(F.col("bands")[i] == F.col("other_bands")[i], F.col("bands")[i]) for i in range(BANDS)])
     shared = F.least("most", "other_most")
+    needed = F.ceil(percent * (F.col("n") + F.col("other_n")) / (100 + percent) - 1e-9)
+
+    k = F.least(needed, F.lit(RARE))
+
+    def rarest(rare: str, most: str) -> Column:
+        return F.slice(rare, F.lit(1), F.greatest(F.col(most) - needed + k, F.lit(0)).cast("int"))
+
     return left.where("label <> lead.label").join(other, "band").where(
         (F.col("label") != F.col("other_label")) & (100 * shared >= percent * (F.col("n") + F.col("other_n") - shared))
-        & (first == F.col("band")) & (estimate("signature", "other_signature") >= percent / 100 - SLACK))
+        & (first == F.col("band")) & (estimate("signature", "other_signature") >= percent / 100 - SLACK)
+        & (F.size(F.array_intersect(rarest("rare", "most"), rarest("other_rare", "other_most"))) >= k))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,7 +265,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
     least = group.join(classes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     of_node = group.join(least, "component").select("node", "component_id")
     named = classes.select("node", "rep").join(of_node, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    return sketch.select("doc_id", "n_shingles", "node").join(named, "node", "left").select(
+    rows = sketch.select("doc_id", "n_shingles", "node")
+    # Copies by the thousand share a node; texts without words have none.
+    found = spread_join(rows.where("node IS NOT NULL"), named, ["node"], "left").unionByName(rows.where("node IS NULL"), allowMissingColumns=True)
+    return found.select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
