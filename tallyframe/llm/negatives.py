@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyframe.common import cut_lineage, top_rows
 from tallyframe.llm.exchange import from_blob, to_blob
 
-#: Rows the codebooks are fitted on, at most. They only decide how rows are laid out; every row is indexed.
+#: Rows the codebooks are fitted on, twice as many at most. They only decide how rows are laid out; every row is indexed.
 SAMPLE = 8192
 #: Rows of a block of the index, anchors of a block of searches, rows that a cell is meant to hold, entries
 #: of a codebook at most (so there are at most 65,536 cells).
