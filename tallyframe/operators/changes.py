@@ -19,6 +19,26 @@ def apply_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str]) ->
     return kept.unionByName(live.select(*target.columns))
 
 
+def any_null(keys: Sequence[str]):
+    """Whether a key has a NULL part."""
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(f"`{k}`").isNull()
+    return null
+
+
+def one_image(source: DataFrame, keys: Sequence[str], columns: Sequence[str], order: str | None = None) -> DataFrame:
+    """A row per key without NULL parts: its image as struct ``__src`` of the columns and ``__hit``, true.
+
+    With ``order`` the last image by it; else a repeated key raises an error."""
+    image = F.struct(*columns, F.lit(True).alias("__hit"))
+    found = source.where(~any_null(keys)).groupBy(*keys)
+    if order:
+        return found.agg(F.max_by(image, F.col(order)).alias("__src"))
+    return found.agg(F.first(image).alias("__src"), F.count(F.lit(1)).alias("__n")).select(
+        *keys, F.when(F.col("__n") > 1, F.raise_error("a key is repeated in the source of a merge")).otherwise(F.col("__src")).alias("__src"))
+
+
 def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], delete_missing: bool = False, order: str | None = None) -> DataFrame:
     """Upsert: matched target rows take the source values, unmatched source rows are added, and
     unmatched target rows stay unless ``delete_missing``.
@@ -27,17 +47,8 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], delete_miss
     the source: then the last image by it counts. Keys with a NULL part match nothing."""
     cols = target.columns
     rest = [c for c in cols if c not in keys]
-    null = F.lit(False)
-    for k in keys:
-        null = null | F.col(f"`{k}`").isNull()
-    image = F.struct(*rest, F.lit(True).alias("__hit"))
-    found = source.where(~null).groupBy(*keys)
-    if order:
-        src = found.agg(F.max_by(image, F.col(order)).alias("__src"))
-    else:
-        src = found.agg(F.first(image).alias("__src"), F.count(F.lit(1)).alias("__n")).select(
-            *keys, F.when(F.col("__n") > 1, F.raise_error("a key is repeated in the source of a merge")).otherwise(F.col("__src")).alias("__src"))
-    source = src.select(*keys, "__src.*").drop("__hit").unionByName(source.where(null).select(*keys, *rest))
+    src = one_image(source, keys, rest, order)
+    source = src.select(*keys, "__src.*").drop("__hit").unionByName(source.where(any_null(keys)).select(*keys, *rest))
     how = "inner" if delete_missing else "left"
     hit = F.col("__src.__hit")
     updated = spread_join(target, src, keys, how).select(

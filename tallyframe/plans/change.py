@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyframe.common import new_scratch_path
 from tallyframe.operators import changes as ch
+from tallyframe.operators import filemerge as fm
 from tallyframe.operators import schema as sc
 from tallyframe.operators.relational import presence
 from tallyframe.plans.fixtures import column_inventory, customer_versions, orders_changes, orders_dest, with_ctes
@@ -62,6 +64,46 @@ def _(t):
     return ch.merge(target, clicks, ["k"], order="event_id")
 
 
+def _listed(t, table, files=16):
+    """A table written as files that are ranges of its key, with their list."""
+    folder = new_scratch_path(t.spark, "listed")
+    table.repartitionByRange(files, *KEY).write.parquet(f"{folder}/table")
+    fm.list_table(t.spark, f"{folder}/table", folder)
+    return folder
+
+
+@query("cd02_apply_changes_files", with_ctes("orders_applied") + "SELECT * FROM orders_applied")
+def _(t):
+    """The feed in two parts, one after the other, each applied to the files that hold its keys."""
+    folder, feed, early = _listed(t, t.orders), orders_changes(t), F.col("_commit_version") <= 2
+    for version, part in ((1, early), (2, ~early)):
+        fm.apply_changes_to_files(t.spark, folder, feed.where(part), KEY, version)
+    return fm.read_table(t.spark, folder)
+
+
+@query("cd05_upsert_files", with_ctes("orders_dest") + f"SELECT {COLS} FROM orders UNION ALL SELECT {COLS} FROM orders_dest ANTI JOIN orders USING (o_orderkey)")
+def _(t):
+    folder = _listed(t, orders_dest(t))
+    fm.merge_to_files(t.spark, folder, t.orders, KEY, 1)
+    return fm.read_table(t.spark, folder)
+
+
+@query("cd05_files_kept", """
+SELECT state, o_orderkey, o_totalprice FROM (
+ SELECT 'kept' AS state, * FROM orders WHERE o_orderkey % 7 > 0 UNION ALL
+ SELECT 'written', * REPLACE (CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE o_orderkey % 7 = 0)""")
+def _(t):
+    """Files of equal key remainder; the source changes rows of one remainder and repeats all others."""
+    folder = new_scratch_path(t.spark, "listed")
+    part = F.col("o_orderkey") % 7
+    t.orders.withColumn("part", part).repartition(7, "part").write.partitionBy("part").parquet(f"{folder}/parts")
+    fm.list_table(t.spark, f"{folder}/parts", folder)
+    price = F.when((part == 0) & (F.col("o_orderkey") % 3 == 0), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    files = fm.merge_to_files(t.spark, folder, t.orders.withColumn("o_totalprice", price), KEY, 1)
+    rows = fm.read_table(t.spark, folder).select("o_orderkey", "o_totalprice", fm.file_path().alias("path"))
+    return rows.join(files, "path").select("state", "o_orderkey", "o_totalprice")
+
+
 @query("cd06_sync_state", """SELECT count(*) AS total, count(*) FILTER (WHERE s = 'success' AND NOT st) AS synced, count(*) FILTER (WHERE st) AS stale, count(*) FILTER (WHERE s = 'failed') AS failed
 FROM (SELECT user_id, CASE WHEN arg_max(event_type, event_id) = 'error' THEN 'failed' ELSE 'success' END AS s, max(ts) < TIMESTAMP '2024-01-29' AS st FROM events GROUP BY 1)""")
 def _(t):
