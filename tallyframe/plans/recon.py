@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from tallyframe.common import union_all
+from tallyframe.common import cut_lineage, union_all
 from tallyframe.operators import changes as ch
 from tallyframe.operators import checksum as ck
+from tallyframe.operators import digesttree as dt
 from tallyframe.operators import reconcile as rc
 from tallyframe.operators import stats as st
 from tallyframe.plans.fixtures import orders_changes, orders_dest, with_ctes
@@ -164,6 +165,36 @@ def _(t):
     return ck.table_checksum(t.orders, _ck_cols())
 
 
+TREE_ROW = """CAST('0x' || substr(md5(concat(o_orderkey, '|', o_custkey, '|', coalesce(o_orderstatus, 'NULL'), '|', CAST(o_totalprice AS DECIMAL(18,2)), '|', o_orderpriority)), 1, 15) AS BIGINT)"""
+TREE_FIGURES = "count(*) AS n_rows, sum(h) AS sum_hash, bit_xor(h) AS xor_hash"
+WIDTH = 64
+
+
+def _tree_sql(table):
+    return " UNION ALL ".join(f"SELECT {i} AS level, o_orderkey // {WIDTH * dt.FANOUT**i} AS node, {TREE_FIGURES} FROM (SELECT o_orderkey, {TREE_ROW} AS h FROM {table}) GROUP BY 2"
+                              for i in range(4))
+
+
+@query("rc09_digest_tree", f"SELECT * REPLACE (CAST(sum_hash AS VARCHAR) AS sum_hash) FROM ({_tree_sql('orders')})")
+def _(t):
+    return dt.digest_tree(t.orders, "o_orderkey", ck.md5_word(_ck_cols()), WIDTH, 3).withColumn("sum_hash", F.col("sum_hash").cast("string"))
+
+
+@query("rc11_differing_leaves", D + f""", a AS ({_tree_sql('orders')}), b AS ({_tree_sql('orders_dest')})
+SELECT node FROM a FULL JOIN b USING (level, node) WHERE level = 0 AND (a.n_rows, a.sum_hash, a.xor_hash) IS DISTINCT FROM (b.n_rows, b.sum_hash, b.xor_hash)""")
+def _(t):
+    trees = [cut_lineage(dt.digest_tree(df, "o_orderkey", ck.md5_word(_ck_cols()), WIDTH, 3), "tree") for df in (t.orders, orders_dest(t))]
+    return dt.differing_leaves(*trees, 3)
+
+
+@query("rc11_tree_column_diffs", D + DIFFS)
+def _(t):
+    sides = [df.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")) for df in (t.orders, orders_dest(t))]
+    hashed = dt.row_hash(t.orders.columns)
+    trees = [cut_lineage(dt.digest_tree(df, "o_orderkey", hashed, WIDTH), "tree") for df in sides]
+    return dt.tree_column_diffs(*sides, *trees, "o_orderkey", WIDTH)
+
+
 @query("rc10_xor_checksum")
 def _(t):
     return t.orders.agg(*ck.xor_checksum([F.col(c) for c in t.orders.columns]))
