@@ -138,11 +138,11 @@ def _pairs_apart(apart: DataFrame, signature: DataFrame, sets: DataFrame, percen
     as far as they can reach the similarity at all.
 
     The shingles of a class are put in order of how many of these classes have them. Two classes of n and m
-so the n - o + k rarest of
-    the one and the m - o + k rarest of the other have k in common, for every k up to o; RARE is the k tested. at least o = percent * (n + m) / (100 + percent) of them, so the n - o + 1 rarest of
-    the one and the m - o + 1 rarest of the other have one in common. Shingles that a class has alone come
-    first and are in no intersection, so they are only counted. Both bounds are exact; they and the estimate are part
-    of the join, so that pairs that fail are never rows. A pair comes up in the first band it shares alone."""
+    shingles that are near share at least o = percent * (n + m) / (100 + percent) of them, so the n - o + k
+    rarest of the one and the m - o + k rarest of the other have k in common, for every k up to o; RARE is the
+    k tested. Shingles that a class has alone come first and are in no intersection, so they are only
+    counted. Both bounds are exact; they and the estimate are part of the join, so that pairs that fail are
+    never rows. A pair comes up in the first band it shares alone."""
 
     def shingle_rows(batches):
         for batch in batches:
@@ -234,7 +234,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     tested: list[DataFrame] = []
-    links: list[DataFrame] = []
     group = None
     labelled = member.withColumn("label", F.col("node"))
     for number in range(ROUNDS + 1):
@@ -256,8 +255,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, doc_id:
         found = link(tested[-1])
         if found.isEmpty():
             continue
-        links.append(found)
-        group = cut_lineage(connected_components(union_all(links), "a", "b"), "groups")
+        # A group is a star around its component, which says all that its links do.
+        stars = [] if group is None else [group.select(F.col("node").alias("a"), F.col("component").alias("b"))]
+        group = cut_lineage(connected_components(union_all([*stars, found]), "a", "b"), "groups")
         labelled = cut_lineage(member.join(group, "node", "left").select("band", "node", "pop", F.coalesce("component", "node").alias("label")), "labels")
 
     if group is None:
