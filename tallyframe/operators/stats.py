@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.common import exact_percentiles, union_all, unpivot_stats
+from tallyframe.common import exact_percentiles, top_rows, unpivot_stats
+from tallyframe.operators.profile import value_counts
 
 PROBS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -53,20 +54,22 @@ def top_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
 
 
 def compare_categorical(src: DataFrame, dst: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Cardinality, null rate and five most frequent values (as text) per side, with deltas."""
+    """Cardinality, null rate and five most frequent values (as text) per side, with deltas.
+
+    The values of all columns are counted in one scan and one shuffle per side; an empty side has a cardinality
+    and null rate of 0 and no values."""
+    names = src.sparkSession.createDataFrame([(c,) for c in columns], "column_name string")
+
     def side(df, tag):
-        rows = []
-        for c in columns:
-            counts = df.groupBy(F.col(c).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-            s = counts.agg(F.count("value").alias("cardinality"), F.sum("n").alias("rows"),
-                           F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"))
-            top = top_values(df, c).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "value", "n"))).alias("t"))
-            text = F.concat_ws(",", F.transform("t", lambda x: F.concat_ws("=", x["value"], x["n"].cast("string"))))
-            rows.append(s.select(
-                F.lit(c).alias("column_name"), F.col("cardinality").alias(f"{tag}_cardinality"),
-                F.round(F.col("nulls") / F.greatest("rows", F.lit(1)), 4).alias(f"{tag}_null_rate"),
-                top.select(text).scalar().alias(f"{tag}_top_5")))
-        return union_all(rows)
+        counts = value_counts(df, columns)
+        s = counts.groupBy("column_name").agg(F.count("value").alias("cardinality"), F.sum("freq").alias("rows"),
+                                              F.sum(F.when(F.col("value").isNull(), F.col("freq"))).alias("nulls"))
+        best = top_rows(counts.where("value IS NOT NULL"), ["column_name"], [F.desc("freq"), F.col("value")], 5).groupBy("column_name").agg(
+            F.array_sort(F.collect_list(F.struct((-F.col("freq")).alias("k"), "value", "freq"))).alias("t"))
+        text = F.concat_ws(",", F.transform("t", lambda x: F.concat_ws("=", x["value"], x["freq"].cast("string"))))
+        return names.join(s, "column_name", "left").join(best, "column_name", "left").select(
+            "column_name", F.coalesce("cardinality", F.lit(0)).alias(f"{tag}_cardinality"),
+            F.round(F.coalesce("nulls", F.lit(0)) / F.greatest("rows", F.lit(1)), 4).alias(f"{tag}_null_rate"), text.alias(f"{tag}_top_5"))
 
     j = side(src, "source").join(side(dst, "dest"), "column_name")
     return j.select("*", (F.col("source_cardinality") - F.col("dest_cardinality")).alias("delta_cardinality"),
