@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyframe.operators import profile as pr
+from tallyframe.operators import profilestate as ps
 from tallyframe.plans.fixtures import orders_dest, with_ctes
 from tallyframe.plans.registry import query
 from tallyframe.sources.tables import sql_source
@@ -41,6 +42,39 @@ def _(t):
     return a.join(e, "column_name").select("column_name", "null_count", (F.abs(F.col("approx") - F.col("distinct_count")) <= 0.15 * F.col("distinct_count")).alias("within_bound"))
 
 
+def _merged_sql():
+    """Exact figures of one quarter; the estimates of the merged states must lie within their bounds."""
+    parts = []
+    for c, num in (("o_custkey", True), ("o_totalprice", True), ("o_orderpriority", False)):
+        value = (lambda f: f"CAST({f}({c}) AS DOUBLE)") if num else (lambda f: "NULL::DOUBLE")
+        length = (lambda f: "NULL::BIGINT") if num else (lambda f: f"{f}(length({c}))")
+        parts.append(f"""SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS null_count, {value('min')} AS min_number,
+ {value('max')} AS max_number, {length('min')} AS min_length, {length('max')} AS max_length, true AS distinct_within, {'true' if num else 'NULL::BOOLEAN'} AS median_within
+ FROM orders WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1995-04-01'""")
+    return " UNION ALL ".join(parts)
+
+
+@query("pr01_profile_from_states", _merged_sql())
+def _(t):
+    """Profile of a quarter from the states of its days; distinct values and medians are compared with exact ones."""
+    cols = ["o_custkey", "o_totalprice", "o_orderpriority"]
+    days = ps.profile_state(t.orders.withColumn("day", F.to_date("o_orderdate")), ["day"], cols)
+    span = days.where("day >= DATE '1995-01-01' AND day < DATE '1995-04-01'")
+    merged = ps.merge_states(span)
+    p = ps.profile_of(merged).join(merged.select("column_name", "min_number", "max_number"), "column_name")
+    rows = t.orders.where("o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '1995-04-01'")
+    exact = pr.distinct_counts(rows, cols)
+    medians = p.where("p50 IS NOT NULL").select("column_name", "p50")
+    values = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in cols[:2]])).alias("x")).select("x.*")
+    # The median's ranks: from those below it to those up to it.
+    ranks = values.join(medians, "column_name").groupBy("column_name").agg(
+        F.avg((F.col("v") < F.col("p50")).cast("int")).alias("below"), F.avg((F.col("v") <= F.col("p50")).cast("int")).alias("upto"))
+    return p.join(exact, "column_name").join(ranks, "column_name", "left").select(
+        "column_name", "n_rows", "null_count", "min_number", "max_number", "min_length", "max_length",
+        (F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= F.greatest(F.lit(1.0), ps.DISTINCT_BOUND * F.col("distinct_count"))).alias("distinct_within"),
+        ((F.col("below") <= 0.5 + ps.RANK_BOUND) & (F.col("upto") >= 0.5 - ps.RANK_BOUND)).alias("median_within"))
+
+
 def top_sql(table, cols, n, max_numeric=None):
     out = []
     for c in cols:
