@@ -8,6 +8,7 @@ from tallyframe.operators import checksum as ck
 from tallyframe.operators import digesttree as dt
 from tallyframe.operators import reconcile as rc
 from tallyframe.operators import stats as st
+from tallyframe.operators.radix import exact_quantiles
 from tallyframe.plans.fixtures import orders_changes, orders_dest, with_ctes
 from tallyframe.plans.registry import query
 
@@ -289,6 +290,20 @@ def _(t):
     return out.select("column_name", *[F.round(c, 4).alias(c) for c in out.columns if c != "column_name"])
 
 
+EXACT = {"o_orderkey": "o_orderkey * 1099511627776 + 9007199254740993", "o_totalprice": "CAST(o_totalprice AS DECIMAL(38,10))"}
+RANKS = ("0.25", "0.5", "0.95")
+
+
+@query("rc15_exact_quantiles", " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, {p}::DOUBLE AS prob, count(*) AS n_values,
+ CAST(max(v) FILTER (k = floor({p} * (n - 1))) AS DECIMAL(38,10)) AS low, CAST(max(v) FILTER (k = ceil({p} * (n - 1))) AS DECIMAL(38,10)) AS high
+ FROM (SELECT {e} AS v, row_number() OVER (ORDER BY {e}) - 1 AS k, count(*) OVER () AS n FROM orders)"""
+    for c, e in EXACT.items() for p in RANKS))
+def _(t):
+    """Order statistics of whole numbers beyond those that a double tells apart, and of decimals of ten places."""
+    return exact_quantiles(t.orders.selectExpr(*[f"{e} AS {c}" for c, e in EXACT.items()]), list(EXACT), RANKS).drop("value")
+
+
 def _cat_side(side, tbl, col):
     return f"""SELECT '{col}' AS column_name, count(DISTINCT {col}) AS {side}_cardinality,
  round(1 - count({col}) / count(*), 4) AS {side}_null_rate,
