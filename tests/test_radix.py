@@ -7,6 +7,7 @@ from fractions import Fraction
 import pytest
 
 from tallyframe.operators.radix import exact_quantiles
+from tallyframe.plans import load_all
 
 PROBS = ["0", "0.1", "0.25", "0.5", "0.75", "0.999", "1"]
 SCHEMA = "small int, big long, ends long, money decimal(12,2), wide decimal(38,10), same long, none long"
@@ -55,3 +56,11 @@ def test_scans_do_not_grow_with_columns(spark):
         seen.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{group}-{len(columns)}")))
     spark.sparkContext.setJobGroup("rest", "")
     assert seen[0] == seen[1]
+
+
+def test_query_with_keys_whose_product_passes_a_long(spark, tmp_path):
+    keys = [0, 1, 2**23, 2**23 + 5, 2**40]
+    spark.createDataFrame([(k, 1.5 * i) for i, k in enumerate(keys)], "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = load_all()[0]["rc15_exact_quantiles"](spark, str(tmp_path)).where("column_name = 'o_orderkey'").collect()
+    key = [k * 2**40 + 2**53 + 1 for k in keys]
+    assert {r.prob: (r.low, r.high, r.n_values) for r in rows} == {0.25: (key[1], key[1], 5), 0.5: (key[2], key[2], 5), 0.95: (key[3], key[4], 5)}
