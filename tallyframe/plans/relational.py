@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyframe.common import exact_percentiles, exact_sum, spread_join, union_all
+from tallyframe.common import dealt_by_key, exact_percentiles, exact_sum, spread_join, union_all
 from tallyframe.operators import relational as r
 from tallyframe.operators.reconcile import rows_only_in, shared_columns
 from tallyframe.plans.fixtures import column_inventory, daily_metrics, orders_dest, prices, query_log, with_ctes
@@ -89,9 +89,9 @@ def _(t):
 SELECT o_orderkey, 'missing' AS side FROM orders ANTI JOIN orders_dest USING (o_orderkey)
 UNION ALL SELECT o_orderkey, 'extra' FROM orders_dest ANTI JOIN orders USING (o_orderkey)""")
 def _(t):
-    a, b = t.orders.select("o_orderkey"), orders_dest(t).select("o_orderkey")
-    return spread_join(a, b.distinct(), ["o_orderkey"], "left_anti").withColumn("side", F.lit("missing")).unionByName(
-        spread_join(b, a.distinct(), ["o_orderkey"], "left_anti").withColumn("side", F.lit("extra")))
+    a, b = dealt_by_key([t.orders.select("o_orderkey"), orders_dest(t).select("o_orderkey")], ["o_orderkey"])
+    return spread_join(a, b.distinct(), ["o_orderkey"], "left_anti", no_broadcast=True).withColumn("side", F.lit("missing")).unionByName(
+        spread_join(b, a.distinct(), ["o_orderkey"], "left_anti", no_broadcast=True).withColumn("side", F.lit("extra")))
 
 
 @query("jn03_anti_on_row_hash", with_ctes("orders_dest") + """

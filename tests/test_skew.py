@@ -149,3 +149,15 @@ def test_outliers_by_median_deviation(spark):
     df = spark.createDataFrame([(float(i % 7),) for i in range(200)] + [(500.0,), (-500.0,), (None,)], "v double")
     assert sorted(x.v for x in cs.mark_outliers(df, "v", "bad").where("bad").collect()) == [-500.0, 500.0]
     assert cs.mark_outliers(df.where("v IS NULL"), "v", "bad").where("bad").count() == 0
+
+
+def test_dealt_by_key_bounds_the_rows_of_a_task(spark, monkeypatch):
+    monkeypatch.setattr(C, "SPREAD_FROM", 1000)
+    monkeypatch.setattr(C, "ROWS_PER_TASK", 500)
+    a, b = spark.range(20_000).toDF("k"), spark.range(100, 9000).toDF("k")
+    x, y = C.dealt_by_key([a, b], ["k"])
+    joined = C.spread_join(x, y.distinct(), ["k"], "left_anti", no_broadcast=True)
+    assert joined.count() == 20_000 - 8900
+    per_task = x.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_task) == 40 and max(r["count"] for r in per_task) < 700
+    assert C.dealt_by_key([spark.range(999), b.limit(5)], ["id"])[0].rdd.getNumPartitions() < 40
