@@ -4,7 +4,8 @@ Texts are dealt into two halves by a hash of their bytes; the model of each half
 other, so that no text is judged by what it taught itself. Four-grams are counted by Spark, hash
 partitioned, after each piece has added up its own. Modified Kneser-Ney values of both halves are joins
 of the tables of four-, three- and two-grams with their contexts; none is gathered or broadcast by hand.
-Each piece gets back two logarithms per distinct four-gram of its own.
+Each piece gets back two logarithms per distinct four-gram of its own: it sends its four-grams, coded, to
+the shards that a hash of the four-gram names, and each shard answers from the values of its own ones.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.common import cut_lineage
 from tallyframe.llm import exchange as ex
-from tallyframe.llm.batches import buffer
+from tallyframe.llm.batches import buffer, from_planes, to_planes
 
 ORDER = 4
 #: Bits that hold any code point; a half of a four-gram is two of them.
@@ -27,7 +28,14 @@ POINT = 21
 HALVES = (0, 1)
 #: Least discount: something is left for what the other half lacks.
 LEAST = 0.1
-_SENT = "piece long, hi long, lo long, n0 long, n1 long"
+#: Most four-grams of one row that a piece sends.
+PART = 1 << 18
+#: A prime and a factor below it: four-grams are dealt over shards by products within 62 bits.
+PRIME, FACTOR = (1 << 31) - 1, 1_640_531_527
+_SENT = "piece long, part long, n int, points binary, counts binary"
+SENT_TYPES = [("piece", pa.int64()), ("part", pa.int64()), ("n", pa.int32()), ("points", pa.binary()), ("counts", pa.binary())]
+_DEALT = "shard long, piece long, part long, n int, points binary"
+DEALT_TYPES = [("shard", pa.int64()), *SENT_TYPES[:4]]
 
 
 def code_points_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,17 +95,67 @@ class Grams:
             return np.where(self.scored > 0, -np.bincount(self.doc, lp, minlength=len(self.scored)) / self.scored, np.nan)
 
 
+def _coded(hi: np.ndarray, lo: np.ndarray) -> bytes:
+    mask = (1 << POINT) - 1
+    return to_planes(np.stack([hi >> POINT, hi & mask, lo >> POINT, lo & mask]).astype(np.uint32), 3)
+
+
+def _halves(raw, n: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b, c, d = from_planes(raw, (4, n), 3, np.uint32).astype(np.int64)
+    return a << POINT | b, c << POINT | d
+
+
 def _sent(pieces: DataFrame, text: str) -> DataFrame:
+    """The distinct four-grams of each piece in rising order, coded, and how often each half has them."""
+
     def send(piece: int, table: pa.Table) -> Iterator[pa.RecordBatch]:
         g = Grams(table, text)
-        for a in range(0, len(g.known), 1 << 16):
-            b = min(len(g.known), a + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, piece)), *(pa.array(x[a:b]) for x in (g.hi, g.lo, *g.counts))],
-                                             names=["piece", "hi", "lo", "n0", "n1"])
+        for part, a in enumerate(range(0, len(g.known), PART)):
+            hi, lo, counts = g.hi[a: a + PART], g.lo[a: a + PART], np.stack([n[a: a + PART] for n in g.counts])
+            yield ex._batch([(piece, part, len(hi), _coded(hi, lo), to_planes(counts.astype(np.uint32), 4))], SENT_TYPES)
 
     return ex.each_piece(pieces, send, _SENT)
 
 
+def _counted(sent: DataFrame) -> DataFrame:
+    """(hi, lo, n0, n1): what all pieces sent, added up."""
+
+    def decode(batches):
+        for batch in batches:
+            for n, points, counts in zip(*(batch.column(i) for i in range(3))):
+                columns = [*_halves(points.as_buffer(), n.as_py()), *from_planes(counts.as_buffer(), (2, n.as_py()), 4, np.uint32).astype(np.int64)]
+                for a in range(0, n.as_py(), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[a: a + (1 << 16)]) for x in columns], names=["hi", "lo", "n0", "n1"])
+
+    rows = sent.select("n", "points", "counts").mapInArrow(decode, "hi long, lo long, n0 long, n1 long")
+    return rows.groupBy("hi", "lo").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _shard(hi, lo, shards: int):
+    """The shard of four-grams, of arrays and of columns alike."""
+    return (hi % PRIME * FACTOR + lo) % PRIME % shards
+
+
+def _dealing(hi: np.ndarray, lo: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of four-grams by shard, and the range of each shard in that order."""
+    shard = _shard(hi, lo, shards)
+    order = np.argsort(shard, kind="stable")
+    found, begin = np.unique(shard[order], return_index=True)
+    return order, list(zip(found.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)]))
+
+
+def _dealt(sent: DataFrame, shards: int) -> DataFrame:
+    def deal(batches):
+        for batch in batches:
+            for piece, part, n, points in zip(*(batch.column(i) for i in range(4))):
+                hi, lo = _halves(points.as_buffer(), n.as_py())
+                order, ranges = _dealing(hi, lo, shards)
+                hi, lo = hi[order], lo[order]
+                yield ex._batch([(s, piece.as_py(), part.as_py(), b - a, _coded(hi[a:b], lo[a:b])) for s, a, b in ranges], DEALT_TYPES)
+
+    return sent.select("piece", "part", "n", "points").mapInArrow(deal, _DEALT)
+
+
 def _off(n: str, discounts: dict) -> Column:
     d1, d2, d3 = (F.lit(x) for x in discounts[n])
     return F.when(F.col(n) == 0, F.lit(0.0)).when(F.col(n) == 1, d1).when(F.col(n) == 2, d2).otherwise(d3)
@@ -148,23 +206,45 @@ def _values(grams: DataFrame) -> DataFrame:
     return lower
 
 
-def _packed(group: pa.Table) -> pa.Table:
-    order = np.lexsort((group["lo"].to_numpy(), group["hi"].to_numpy()))
-    values = np.log(np.stack([group[f"p{h}"].to_numpy()[order] for h in HALVES])).astype(np.float32)
-    return pa.Table.from_batches([ex._batch([(group["piece"][0].as_py(), 0, len(order), values.tobytes())], ex.BITS_TYPES)])
-
-
-def answers(pieces: DataFrame, text: str) -> DataFrame:
-    """For each piece the logarithms of both models for its distinct four-grams, in their order."""
-    sent = cut_lineage(_sent(pieces, text), "grams")
-    grams = cut_lineage(sent.groupBy("hi", "lo").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "grams")
-    return sent.select("piece", "hi", "lo").join(_values(grams), ["hi", "lo"]).groupBy("piece").applyInArrow(_packed, ex.BITS_SCHEMA)
-
-
-def held_out(table: pa.Table, text: str, found: dict) -> tuple[np.ndarray, np.ndarray]:
+def _answer(shards: int):
+    def answer(dealt: pa.Table, values: pa.Table) -> pa.Table:
+        hi, lo = (values[c].to_numpy() for c in ("hi", "lo"))
+        order = np.lexsort((lo, hi))
+        hi, lo = hi[order], lo[order]
+        logs = np.log(np.stack([values[f"p{h}"].to_numpy()[order] for h in HALVES])).astype(np.float32)
+        firsts, lasts = np.unique(hi), np.unique(lo)
+        place = lambda hi, lo: np.searchsorted(firsts, hi) * len(lasts) + np.searchsorted(lasts, lo)
+        known, out = place(hi, lo), []
+        for shard, piece, part, n, points in zip(*(dealt[c] for c in ("shard", "piece", "part", "n", "points"))):
+            own = _halves(points.as_buffer(), n.as_py())
+            at = np.minimum(np.searchsorted(known, place(*own)), len(known) - 1)
+            if len(known) == 0 or (hi[at] != own[0]).any() or (lo[at] != own[1]).any():
+                raise RuntimeError("a shard lacks a four-gram that was sent to it")
+            out.append((piece.as_py(), part.as_py() * shards + shard.as_py(), n.as_py(), to_planes(logs[:, at], 4)))
+        return pa.Table.from_batches([ex._batch(out, ex.BITS_TYPES)])
+
+    return answer
+
+
+def answers(pieces: DataFrame, text: str) -> tuple[DataFrame, int]:
+    """For each piece the logarithms of both models for its distinct four-grams, by part and shard, and
+    the number of shards."""
+    sent = cut_lineage(_sent(pieces, text), "grams", **ex.BLOBS)
+    shards = ex.exact_shards(sent.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 16)
+    grams = cut_lineage(_counted(sent), "grams")
+    values = _values(grams).withColumn("shard", _shard(F.col("hi"), F.col("lo"), shards))
+    return _dealt(sent, shards).groupBy("shard").cogroup(values.groupBy("shard")).applyInArrow(_answer(shards), ex.BITS_SCHEMA), shards
+
+
+def held_out(table: pa.Table, text: str, found: dict, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """log_perplexity of a piece's texts, NaN for those under four code points, and their four-grams."""
     grams = Grams(table, text)
-    n, raw = found.get(0, (0, b""))
-    if n != len(grams.known):
-        raise RuntimeError("an answer doesn't fit its piece")
-    return grams.log_perplexity(np.frombuffer(raw, np.float32).reshape(2, n)), grams.scored
+    values = np.empty((len(HALVES), len(grams.known)), np.float32)
+    for part, first in enumerate(range(0, len(grams.known), PART)):
+        order, ranges = _dealing(grams.hi[first: first + PART], grams.lo[first: first + PART], shards)
+        for s, a, b in ranges:
+            n, raw = found.get(part * shards + s, (0, b""))
+            if n != b - a:
+                raise RuntimeError("an answer doesn't fit its piece")
+            values[:, first + order[a:b]] = from_planes(raw, (len(HALVES), n), 4, np.float32)
+    return grams.log_perplexity(values), grams.scored

@@ -225,17 +225,18 @@ def quality(docs: DataFrame, text: str = "text", lang: str | None = "lang", carr
     new = {**METRICS, "log_perplexity": DOUBLE, "log_perplexity_points": DOUBLE, "__grams": LONG, "__points": LONG}
     drop = [] if carry_text else [text]
     pieces = ex.write_pieces(docs, text)
+    found_points, shards = alphabet.answers(pieces, text)
 
     def finish(piece, table, answers):
         memo = np.full(1 << BITS * ORDER, np.nan, np.float32)
-        points, scored = alphabet.held_out(table, text, answers[0])
+        points, scored = alphabet.held_out(table, text, answers[0], shards)
         for a, b in blocks(buffer(table[text])[1]):
             part = table.slice(a, b - a)
             found = _metrics(part, text, held.value, memo) | {"log_perplexity_points": points[a:b], "__points": scored[a:b]}
             ordered = {k: pa.array(found[k], pa.float64(), from_pandas=True) if t is DOUBLE else pa.array(found[k].astype(np.int64)) for k, t in new.items()}
             yield from with_columns(part.drop_columns(drop), ordered)
 
-    scored = cut_lineage(ex.with_answers(pieces, [alphabet.answers(pieces, text)], finish, output_schema(docs.drop(*drop), new)), "quality")
+    scored = cut_lineage(ex.with_answers(pieces, [found_points], finish, output_schema(docs.drop(*drop), new)), "quality")
     keyed = scored.withColumn("band_lang", F.coalesce(F.col(lang), F.lit("")) if lang else F.lit(""))
     judged = _by_language(keyed, language_bands(keyed))
     judged = _by_language(judged, language_bands(keyed, "log_perplexity_points", "__points").withColumnsRenamed(
