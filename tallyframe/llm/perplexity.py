@@ -237,6 +237,7 @@ def quality(docs: DataFrame, text: str = "text", lang: str | None = "lang", carr
             yield from with_columns(part.drop_columns(drop), ordered)
 
     scored = cut_lineage(ex.with_answers(pieces, [found_points], finish, output_schema(docs.drop(*drop), new)), "quality")
+    ex.drop_pieces(pieces)
     keyed = scored.withColumn("band_lang", F.coalesce(F.col(lang), F.lit("")) if lang else F.lit(""))
     judged = _by_language(keyed, language_bands(keyed))
     judged = _by_language(judged, language_bands(keyed, "log_perplexity_points", "__points").withColumnsRenamed(

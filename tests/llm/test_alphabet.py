@@ -73,6 +73,24 @@ def test_shards_agree(spark):
     assert len({x.s for x in rows}) > 30
 
 
+def test_pieces_go_once_scores_are_written(spark):
+    """Texts are kept in one written table, not in the pieces as well."""
+    import os
+
+    from tallyframe.common import scratch_dir
+    from tallyframe.llm.perplexity import keep_good
+
+    folder, tables = scratch_dir(spark), lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("tallyframe_pieces")}
+    before, known = set(os.listdir(folder)), tables()
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(["stone", "river", "garden", "window", "letter"]) for _ in range(60)), "en") for i in range(40)]
+    kept = keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    made = set(os.listdir(folder)) - before
+    assert any("-quality-" in x for x in made) and not any("-pieces-" in x for x in made)
+    assert tables() == known
+    assert {(x.doc_id, x.text, x.lang) for x in kept.collect()} <= set(rows) and kept.count() > 20
+
+
 def test_planes_come_back():
     for shape, width, dtype in (((4, 1000), 3, np.uint32), ((2, 7), 4, np.float32), ((2, 0), 4, np.uint32)):
         values = (np.random.default_rng(1).integers(0, 1 << 21, shape)).astype(dtype)
